@@ -1,0 +1,4 @@
+"""Queries of the literal detector."""
+
+QUERIES = {}
+ORACLE_SQL = {}
