@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.common import table
+from veilgrid.llm.packing import pack_documents
 
-BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_RANKS, WORD_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
