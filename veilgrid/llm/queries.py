@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.common import table
 from veilgrid.llm.packing import pack_documents
+from veilgrid.llm.quality_rules import fit_line_field, judge_documents
 
 BYTE_RANKS, WORD_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -18,3 +19,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
+def op2_line_field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = fit_line_field(spark, docs, table(spark, sf_dir, "labels"))
+    return judge_documents(docs, field)
