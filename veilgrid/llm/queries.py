@@ -9,6 +9,7 @@ from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.common import table
 from veilgrid.llm.packing import pack_documents
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
+from veilgrid.llm.sharding import shard_digest
 
 BYTE_RANKS, WORD_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -25,3 +26,7 @@ def op2_line_field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = fit_line_field(spark, docs, table(spark, sf_dir, "labels"))
     return judge_documents(docs, field)
+
+
+def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(spark, table(spark, sf_dir, "documents"))
