@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilgrid.llm.bpe import digest_documents
+from veilgrid.llm.chat_format import conversation_digest
 from veilgrid.llm.common import table
 from veilgrid.llm.packing import pack_documents
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
@@ -30,3 +31,7 @@ def op2_line_field_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digest(spark, table(spark, sf_dir, "conversations"))
