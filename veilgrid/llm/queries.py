@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.chat_format import conversation_digest
 from veilgrid.llm.common import table
+from veilgrid.llm.html_extract import extract_pages
 from veilgrid.llm.packing import pack_documents
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
 from veilgrid.llm.sharding import shard_digest
@@ -35,3 +36,7 @@ def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(spark, table(spark, sf_dir, "conversations"))
+
+
+def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
