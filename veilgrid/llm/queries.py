@@ -10,6 +10,7 @@ from veilgrid.llm.chat_format import conversation_digest
 from veilgrid.llm.common import table
 from veilgrid.llm.html_extract import extract_pages
 from veilgrid.llm.packing import pack_documents
+from veilgrid.llm.quality_classifier import fit_quality, score_documents
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
 from veilgrid.llm.sharding import shard_digest
 
@@ -40,3 +41,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality(spark, docs, table(spark, sf_dir, "labels")))
