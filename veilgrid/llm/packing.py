@@ -33,14 +33,19 @@ from veilgrid.llm.common import Scratch
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a block, islands of a block, epochs between which elites migrate, generations in an epoch, chromosomes of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 6, 4
-MEMO_CHUNKS, MEMO_CHARS = 600_000, 48
+#: Remembered chunks and stems at most, the longest of them, and the end of the characters that lower-case one by one and never compose.
+MEMO_CHUNKS, MEMO_STEMS, MEMO_CHARS, PLAIN_END, MARKS = 500_000, 400_000, 48, "\u0250", '.,!?;:*%$&#"()'
 
 
 class ChunkTokenizer:
     """Ids of whole texts, by way of their chunks between ASCII blanks.
 
     The vocabulary's own splitting never joins text across white space, so a chunk
-    has the same ids alone as in its text; frequent chunks are remembered.
+    has the same ids alone as in its text; frequent chunks are remembered. Nor does it
+    join letters with the marks after them, and it ignores case: a chunk of letters
+    and final marks is made of its lower-case stem's ids and the marks' own, and the
+    unknown stems of a text are tokenized in one call, each ending with its word-end
+    token.
     """
 
     def __init__(self, path: str):
@@ -49,22 +54,59 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_CHUNKS:
-                self.memo = {"": b""}
-            self.memo[chunk] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        if len(self.chunks) > MEMO_CHUNKS:
+            self.chunks = {"": b""}
+        if len(self.stems) > MEMO_STEMS:
+            self.stems = {"": b""}
+        stems, found, split, unknown = self.stems, {}, [], set()
+        for chunk in chunks:
+            if max(chunk) < PLAIN_END and "\u0130" not in chunk:
+                low = chunk.lower()
+                stem = low.rstrip(MARKS)
+                if stem.isalpha():
+                    tail = low[len(stem) :]
+                    split.append((chunk, stem, tail))
+                    if stem not in stems:
+                        unknown.add(stem)
+                    if tail not in stems:
+                        stems[tail] = self._ids(tail).tobytes()
+                    continue
+            found[chunk] = self._ids(chunk).tobytes()
+        if unknown:
+            unknown = list(unknown)
+            ids = self._ids(" ".join(unknown))
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            assert len(ends) == len(unknown)
+            raw, at = ids.tobytes(), 0
+            for stem, end in zip(unknown, ends):
+                stems[stem] = raw[4 * at : 4 * end]
+                at = end
+        for chunk, stem, tail in split:
+            found[chunk] = stems[stem] + stems[tail] if tail else stems[stem]
+        self.chunks.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHARS)
+        for stem in unknown:
+            if len(stem) > MEMO_CHARS:
+                del stems[stem]
+        return found
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        out = []
-        for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            ids = self.memo.get(chunk)
-            out.append(self._chunk(chunk) if ids is None else ids)
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        known = self.chunks
+        out = [known.get(c) for c in chunks]
+        if None in out:
+            more = self._learn({c for c, ids in zip(chunks, out) if ids is None})
+            out = [more[c] if ids is None else ids for c, ids in zip(chunks, out)]
         return b"".join(out)
 
 
