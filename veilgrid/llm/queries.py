@@ -9,6 +9,7 @@ from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.chat_format import conversation_digest
 from veilgrid.llm.common import table
 from veilgrid.llm.html_extract import extract_pages
+from veilgrid.llm.line_dedup import dedup_lines
 from veilgrid.llm.packing import pack_documents
 from veilgrid.llm.quality_classifier import fit_quality, score_documents
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
@@ -46,3 +47,7 @@ def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit_quality(spark, docs, table(spark, sf_dir, "labels")))
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")

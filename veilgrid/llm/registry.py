@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilgrid.llm import oracles
 from veilgrid.llm import queries as q
 
 
@@ -10,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op4_winnowing": oracles.LINE_DEDUP}
