@@ -10,6 +10,7 @@ from veilgrid.llm.chat_format import conversation_digest
 from veilgrid.llm.common import table
 from veilgrid.llm.html_extract import extract_pages
 from veilgrid.llm.line_dedup import dedup_lines
+from veilgrid.llm.ngram_join import components
 from veilgrid.llm.packing import pack_documents
 from veilgrid.llm.quality_classifier import fit_quality, score_documents
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
@@ -51,3 +52,7 @@ def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark, table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+
+
+def op3_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(spark, table(spark, sf_dir, "documents"))
