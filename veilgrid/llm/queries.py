@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from veilgrid.llm.ann import every_nth, nearest
 from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.chat_format import conversation_digest
 from veilgrid.llm.common import table
@@ -56,3 +57,8 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(spark, rows, every_nth(rows))
