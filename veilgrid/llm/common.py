@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word of the corpus contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +59,38 @@ class Scratch:
         """Delete a kept table that nothing will read again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: log2 of the bits that stand for a set of ids.
+ID_BITS = 22
+
+
+def mark_ids(scratch: Scratch, rows: DataFrame, id_col: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a flag that is true on all rows whose id is among ``ids``, and on few others.
+
+    The ids, a one-column table, are folded into a table of bits whose size does not
+    depend on their number (at most 2**ID_BITS / 63 rows of two longs), so it can be
+    sent to every task and the rows stay where they are. An exact join of the flagged
+    rows has to follow.
+    """
+    (name,) = ids.columns
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
+    cells = ids.select(place(name).alias("p")).groupBy(F.expr("p div 63").alias("cell_")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 63 AS int)))").alias("bits_"))
+    marked = rows.withColumn("place_", place(id_col)).join(F.broadcast(scratch.keep(cells)), F.expr("place_ div 63 = cell_"), "left")
+    return marked.withColumn(flag, F.expr("coalesce(shiftright(bits_, cast(place_ % 63 AS int)) & 1 = 1, false)")).drop("place_", "cell_", "bits_")
+
+
+def keep_rows(docs: DataFrame, columns: list[str], judge: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows whose values of ``columns`` the judge accepts, with all columns as they were.
+
+    ``judge`` is called once in a task and gives the function to call on each row;
+    a column that ``docs`` lacks is None. Batches pass through Arrow and are only filtered.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = judge()
+        for batch in batches:
+            held = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in columns]
+            yield batch.filter(pa.array([accepts(*row) for row in zip(*held)], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilgrid.llm.common import WORD, Scratch
+from veilgrid.llm.common import WORD, Scratch, mark_ids
 
 MIN_WORDS = 50
 
@@ -58,17 +58,17 @@ def removed_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     windows = lines.filter("least IS NOT NULL")
     place = F.struct("doc", "least.pos")
     shared = windows.groupBy("least.hash").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("hash")
-    windows = windows.select("content", "doc", "pos", F.col("least.hash").alias("hash")).join(shared, "hash", "left_semi")
+    windows = windows.select("content", "doc", "pos", F.col("least.hash").alias("hash")).join(shared.hint("merge"), "hash", "left_semi")
     first = windows.groupBy("content").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     diagonals = scratch.keep(
-        windows.join(first, "content")
+        windows.join(first.hint("merge"), "content")
         .filter(F.struct("doc", "pos") != F.col("first"))
         .select("doc", F.col("first.doc").alias("origin"), (F.col("pos") - F.col("first.pos")).alias("shift"))
         .distinct()
     )
-    later = diagonals.join(lines.select("doc", "line", "pos", "hash", "words"), "doc").withColumn("at", F.col("pos") - F.col("shift"))
+    later = diagonals.hint("merge").join(lines.select("doc", "line", "pos", "hash", "words"), "doc").withColumn("at", F.col("pos") - F.col("shift"))
     early = lines.select(F.col("doc").alias("origin"), F.col("pos").alias("at"), "hash")
-    equal = later.join(early, ["origin", "at", "hash"])
+    equal = later.join(early.hint("merge"), ["origin", "at", "hash"])
     on = ["doc", "origin", "shift"]
     run = equal.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*on).orderBy("pos")))
     size = F.sum("words").over(Window.partitionBy(*on, "run"))
@@ -88,7 +88,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
     doc = F.struct(F.col("doc_id").alias("id"), F.col("copy_").alias("copy"))
     gone = removed_lines(spark, held.select(doc.alias("doc"), "text"), min_words)
     gone = scratch.keep(gone.groupBy("doc").agg(F.collect_list("line").alias("gone_")))
-    joined = held.withColumn("doc_", doc).join(gone.withColumnRenamed("doc", "doc_"), "doc_", "left")
+    # only texts that may lose lines are exchanged
+    marked = mark_ids(scratch, held.withColumn("doc_", doc), "doc_", gone.select("doc"), "hit_")
+    changed = marked.filter("hit_").join(gone.withColumnRenamed("doc", "doc_").hint("merge"), "doc_", "left")
+    joined = changed.unionByName(marked.filter("NOT hit_").withColumn("gone_", F.lit(None).cast("array<int>")))
     left = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("gone_", k))
     text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("n_lines_removed"))
