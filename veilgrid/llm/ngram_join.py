@@ -11,6 +11,9 @@ each candidate's sets are cut at the same places, the parts of a pair that lie i
 one fragment meet apart from all others and give a partial count, and the counts
 are summed per pair.
 
+A pair first has to pass bounds: on sizes, on what is left of both orders from the
+shared n-gram on, and on the sum over strips of the hash range of the smaller count.
+
 Documents that share a prefix n-gram are first compared with one of them only. What
 that links is merged to components; then members of such a group that are in
 different components are compared too, those of its largest component only from the
@@ -39,13 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veilgrid.llm.common import Scratch
+from veilgrid.llm.common import Scratch, mark_ids
 
 WORDS, PERCENT = 3, 90
 #: log2 of the sketch's counters, counters in a chunk, sketches that one task merges, and fragments of the order.
 SKETCH_BITS, CHUNK, MERGE, FRAGMENTS = 22, 1 << 16, 128, 8
-#: log2 of the bits of the filter that picks the documents to cut up again.
-FILTER_BITS = 22
+#: log2 of the strips of the hash range whose n-grams every document counts, to bound overlaps without its set.
+SIZE_BITS = 6
 #: N-grams hashed before the sketch takes them in.
 BATCH_GRAMS = 2_000_000
 
@@ -122,7 +125,7 @@ def _keys(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
     """A row per document with its set's size and digest, and rows with chunks of each task's sketch."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("task", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("task", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     whole, names = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType)), schema.names
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,13 +134,13 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
             rows = []
             for text in frame["text"]:
                 grams = gram_set(text, words)
-                rows.append((len(grams), *_digest(grams)))
+                rows.append((len(grams), *_digest(grams), np.bincount((grams >> _U(64 - SIZE_BITS)).astype(np.int64), minlength=1 << SIZE_BITS).astype(np.int32)))
                 waiting.append((grams >> _U(64 - SKETCH_BITS)).astype(np.int32))
                 size += len(grams)
                 if size > BATCH_GRAMS:
                     counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
                     waiting, size = [], 0
-            out = pd.DataFrame(rows, columns=["n", "d1", "d2"])
+            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "sizes"])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out.assign(task=None, chunk=None, counts=None).astype({"n": "int64", "task": "Int64", "chunk": "Int32"})
         if waiting:
@@ -145,7 +148,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(counts.reshape(-1, CHUNK)) if x.any()]
         if parts:
             out = pd.DataFrame({"chunk": [k for k, _ in parts], "counts": [x for _, x in parts]}).astype({"chunk": "Int32"})
-            yield out.assign(doc_id=None, n=None, d1=None, d2=None, task=TaskContext.get().partitionId())[names].astype({"n": "Int64", "d1": "Int64", "d2": "Int64", "doc_id": "Int64" if whole else "object"})
+            yield out.assign(doc_id=None, n=None, d1=None, d2=None, sizes=None, task=TaskContext.get().partitionId())[names].astype({"n": "Int64", "d1": "Int64", "d2": "Int64", "doc_id": "Int64" if whole else "object"})
 
     return docs.select("doc_id", "text").mapInPandas(each, schema)
 
@@ -209,23 +212,10 @@ def _segments(docs: DataFrame, codes, borders: np.ndarray, words: int) -> DataFr
     return docs.mapInPandas(each, schema)
 
 
-def _among(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of all documents with one of the ids, and few others.
-
-    The ids are folded into a table of bits whose size does not depend on their number,
-    so it can be sent everywhere and the texts stay where they are.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    cells = ids.select(place("id").alias("p")).groupBy(F.expr("p div 63").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 63 AS int)))").alias("bits"))
-    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").withColumn("p_", place("doc_id"))
-    near = docs.join(F.broadcast(scratch.keep(cells)), F.expr("p_ div 63 = cell"))
-    return near.filter("shiftright(bits, cast(p_ % 63 AS int)) & 1 = 1").select("doc_id", "text")
-
-
 def _overlaps(scratch: Scratch, docs: DataFrame, chosen: DataFrame, pairs: DataFrame, codes, borders: np.ndarray, words: int, fragments: int) -> DataFrame:
     """(a, na, b, nb, common) of the given pairs: partial counts per fragment, summed. ``chosen``: (id, d1) of the sets."""
     ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    held = _segments(_among(scratch, docs, ids), codes, borders, words).join(chosen.join(ids, "id", "left_semi"), ["id", "d1"], "left_semi")
+    held = _segments(mark_ids(scratch, docs.select("doc_id", "text"), "doc_id", ids, "hit_").filter("hit_"), codes, borders, words).join(chosen.join(ids, "id", "left_semi"), ["id", "d1"], "left_semi")
     held = scratch.keep(held.dropDuplicates(["id", "fragment"]).drop("d1"))
     by_part = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
     met = by_part.join(held.withColumnsRenamed({"id": "a", "segment": "x"}), ["a", "fragment"]).join(held.withColumnsRenamed({"id": "b", "segment": "y"}), ["b", "fragment"])
@@ -261,12 +251,13 @@ def components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent
     profile = scratch.keep(_profile(docs, words))
     sketch = _merged_sketch(scratch, profile.filter("chunk IS NOT NULL").select("chunk", "task", "counts"))
     codes, borders = spark.sparkContext.broadcast(sketch), _borders(sketch, fragments)
-    sets = profile.filter("chunk IS NULL").select("doc_id", "n", "d1", "d2")
+    sets = profile.filter("chunk IS NULL").select("doc_id", "n", "d1", "d2", "sizes")
     classes = scratch.keep(sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
 
     # one set for each id; were an id to have several, the one of the least digest
     chosen = scratch.keep(classes.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1"))
 
+    sized = scratch.keep(sets.withColumnRenamed("doc_id", "id").join(chosen, ["id", "d1"], "left_semi").groupBy("id").agg(F.any_value("sizes").alias("sizes")))
     prefixes = _prefixes(docs, codes, words, percent).join(chosen, ["id", "d1"], "left_semi").dropDuplicates(["id"])
     by_gram = Window.partitionBy("gram")
     member = F.struct("id", "n", "pos")
@@ -284,12 +275,18 @@ def components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent
         left = 1 + F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) - 1
         return near & (left * (100 + percent) >= percent * (F.col(na) + F.col(nb)))
 
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs whose strips leave room for enough common n-grams."""
+        held = pairs.join(sized.select(F.col("id").alias("a"), F.col("sizes").alias("x")), "a").join(sized.select(F.col("id").alias("b"), F.col("sizes").alias("y")), "b")
+        most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda p, q: p + q)
+        return held.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+
     def linked(pairs: DataFrame) -> DataFrame:
         enough = "100 * common >= {0} * (na + nb - common)".format(percent)
         return scratch.keep(_overlaps(scratch, docs, chosen, pairs, codes, borders, words, fragments).filter(enough).select("a", "b"))
 
     star = groups.select(F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.pos").alias("pa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    star = scratch.keep(star.filter("a != b").filter(may_link("na", "pa", "nb", "pb")).select("a", "na", "b", "nb").distinct())
+    star = scratch.keep(bounded(star.filter("a != b").filter(may_link("na", "pa", "nb", "pb")).select("a", "na", "b", "nb").distinct()))
     links = linked(star)
     roots = scratch.keep(connected(scratch, links))
 
@@ -302,7 +299,7 @@ def components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent
     crossing = one.join(other, (F.col("gram") == F.col("gram2")) & (F.col("root1") != F.col("root2")) & ((F.col("id1") < F.col("id2")) | (F.col("root2") == F.col("largest"))) & may_link("n1", "pos1", "n2", "pos2"))
     first = F.col("id1") < F.col("id2")
     pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "id1", "id2"), ("na", "n1", "n2"), ("b", "id2", "id1"), ("nb", "n2", "n1"))]
-    crossing = scratch.keep(crossing.select(*pair).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    crossing = scratch.keep(bounded(crossing.select(*pair).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")))
     if not crossing.isEmpty():
         roots = scratch.keep(connected(scratch, links.unionByName(linked(crossing))))
 
@@ -311,3 +308,19 @@ def components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent
         sets.join(classes.withColumnsRenamed({"d1": "e1", "d2": "e2"}), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     )
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of one document of each component, the one of the least id.
+
+    Of rows that repeat a doc_id one stays. Rows without an id stay.
+    """
+    scratch = Scratch(spark, "ngram-distinct")
+    found = components(spark, docs, words, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_"), F.count("*").alias("times_"))
+    found = scratch.keep(found.filter("component_ != doc_id OR times_ > 1").select(F.col("doc_id").alias("id_"), "component_"))
+    # only rows that may go are exchanged
+    marked = mark_ids(scratch, docs, "doc_id", found.select("id_"), "hit_")
+    near = marked.filter("hit_").join(found.hint("merge"), F.col("doc_id") == F.col("id_"), "left")
+    order = Window.partitionBy("doc_id", "component_").orderBy("text")
+    near = near.withColumn("row_", F.row_number().over(order)).filter("component_ IS NULL OR (component_ = doc_id AND row_ = 1)")
+    return near.select(*docs.columns).unionByName(marked.filter("NOT hit_").select(*docs.columns))
