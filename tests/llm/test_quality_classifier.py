@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from veilgrid.llm.quality_classifier import _logistic, _Rows, fit_quality, score_documents
+from veilgrid.llm.quality_classifier import _logistic, _Rows, fit_quality, retain_documents, score_documents
 
 WORDS = [f"{a}{b}{c}" for a in ("th", "on", "re", "wa") for b in ("er", "al", "in") for c in ("ing", "ed", "s", "ly")]
 
@@ -36,7 +36,11 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "x" * 300_000, "en", "s", -5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert score_documents(odd, model).count() == 4
     assert score_documents(odd.limit(0), model).count() == 0
-    assert score_documents(odd.drop("lang", "n_chars"), model, carry=True).columns[:3] == ["doc_id", "text", "source"]
+    assert score_documents(odd.drop("lang", "n_chars"), model).count() == 4
+    kept = retain_documents(odd.drop("lang").withColumn("kept", odd.text), model)
+    assert kept.columns == ["doc_id", "text", "source", "n_chars", "kept"]
+    expected = sorted(r.doc_id for r in score_documents(odd.drop("lang"), model).filter("kept").collect())
+    assert sorted(r.doc_id for r in kept.collect()) == expected
     assert fit_quality(spark, docs, labels.filter("quality = 1")) is None
     rows = score_documents(odd, None).collect()
     assert all(r.score is None and r.kept for r in rows)

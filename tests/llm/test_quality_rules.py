@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from veilgrid.llm.quality_rules import N_FEATURES, LineField, fit_line_field, judge_documents, measure, repeated_words
+from veilgrid.llm.quality_rules import N_FEATURES, LineField, fit_line_field, judge_documents, measure, repeated_words, retain_documents
 
 WORDS = "the thing of and river stone walks slowly over bright fields near old town".split()
 
@@ -53,6 +53,9 @@ def test_held_out_documents(spark):
     held = [i for i in range(240) if i % 2 == 0]
     assert sum(rows[i].kept == (i < 120) for i in held) >= 0.95 * len(held)
     assert all(rows[i].base_failed and not rows[i].kept for i in (900, 901, 902))
+    kept = retain_documents(docs, field)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in rows.items() if r.kept)
     # no labels: the base rules decide alone
     assert fit_line_field(spark, docs, labels.limit(0)) is None
     assert judge_documents(docs, None).filter("kept").count() == sum(not r.base_failed for r in rows.values())

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD
+from veilgrid.llm.common import WORD, keep_rows
 
 _WORD = re.compile(WORD)
 LABELLED, POOL = 3000, 3000
@@ -184,9 +184,13 @@ def _with_metadata(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in META))
 
 
+def _row_features(text, lang, source, n_chars) -> tuple:
+    return (*content_features(text), metadata_features(lang, source, None if n_chars is None else float(n_chars)))
+
+
 def _features(frame: pd.DataFrame) -> Iterator[tuple]:
-    for text, lang, source, n in zip(frame["text"], frame["lang"], frame["source"], frame["n_chars"].astype(float)):
-        yield (*content_features(text), metadata_features(lang, source, n))
+    for row in zip(frame["text"], frame["lang"], frame["source"], frame["n_chars"].astype(float)):
+        yield _row_features(*row)
 
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
@@ -210,18 +214,22 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelle
 COLUMNS = ["content_score", "metadata_score", "score", "kept"]
 
 
-def score_documents(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE, carry: bool = False) -> DataFrame:
-    """Scores of every row; with ``carry`` beside all its columns, else beside its doc_id."""
-    held = docs.schema.fields if carry else [docs.schema["doc_id"]]
-    schema = T.StructType([*held, *(T.StructField(c, T.DoubleType()) for c in COLUMNS[:3]), T.StructField("kept", T.BooleanType())])
-    names = [f.name for f in held]
+def score_documents(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The scores of both views and of their combination beside the doc_id of every row."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.DoubleType()) for c in COLUMNS[:3]), T.StructField("kept", T.BooleanType())])
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            full = frame.assign(**{c: None for c in META if c not in frame})
-            scores = [(None, None, None)] * len(frame) if model is None else [model.score(*f) for f in _features(full)]
-            out = pd.DataFrame(scores, columns=COLUMNS[:3], index=frame.index, dtype="float64")
-            yield pd.concat([frame[names], out.assign(kept=[s[2] is None or s[2] >= min_score for s in scores])], axis=1)
+            scores = [(None, None, None)] * len(frame) if model is None else [model.score(*f) for f in _features(frame)]
+            out = pd.DataFrame(scores, columns=COLUMNS[:3], dtype="float64")
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+            yield out.assign(kept=[s[2] is None or s[2] >= min_score for s in scores])
+
+    return _with_metadata(docs).mapInPandas(each, schema)
+
 
-    source = docs if carry else docs.select("doc_id", "text", *(c for c in META if c in docs.columns))
-    return source.mapInPandas(each, schema)
+def retain_documents(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    if model is None:
+        return docs
+    return keep_rows(docs, ["text", *META], lambda: lambda *row: model.score(*_row_features(*row))[2] >= min_score)

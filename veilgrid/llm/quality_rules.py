@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD
+from veilgrid.llm.common import WORD, keep_rows
 
 _WORD = re.compile(WORD)
 _SYMBOLS = "#*$%&|<>"
@@ -232,17 +232,20 @@ def judge(text: str | None, field: LineField | None, min_share: float = MIN_CONT
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
 
 
-def judge_documents(docs: DataFrame, field: LineField | None, min_share: float = MIN_CONTENT_SHARE, carry: bool = False) -> DataFrame:
-    """The verdict on every row; with ``carry`` beside all its columns, else beside its doc_id."""
+def judge_documents(docs: DataFrame, field: LineField | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The counts and the verdict beside the doc_id of every row."""
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
-    held = docs.schema.fields if carry else [docs.schema["doc_id"]]
-    schema = T.StructType([*held, *(T.StructField(c, k) for c, k in zip(COLUMNS, kinds))])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in zip(COLUMNS, kinds))])
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [judge(t, field, min_share) for t in frame["text"]]
-            out = pd.DataFrame(rows, columns=COLUMNS, index=frame.index)
-            yield pd.concat([frame[[f.name for f in held]], out], axis=1)
+            out = pd.DataFrame([judge(t, field, min_share) for t in frame["text"]], columns=COLUMNS)
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+            yield out
 
-    source = docs if carry else docs.select("doc_id", "text")
-    return source.mapInPandas(each, schema)
+    return docs.select("doc_id", "text").mapInPandas(each, schema)
+
+
+def retain_documents(docs: DataFrame, field: LineField | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    return keep_rows(docs, ["text"], lambda: lambda text: judge(text, field, min_share)[-1])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from veilgrid.llm import oracles
 from veilgrid.llm import queries as q
 
 
 def queries():
-    return {name: f for name, f in vars(q).items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in vars(q).items() if name.startswith("op") and callable(f)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op4_winnowing": oracles.LINE_DEDUP}
+    found = {"op4_winnowing": oracles.LINE_DEDUP}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
