@@ -9,6 +9,7 @@ from veilgrid.functions import taxonomy
 from veilgrid.operators import baseline, evaluate, inventory, literals, policy
 from veilgrid.plans.fixtures import Fixture, sql_list, sql_value, with_
 from veilgrid.plans.literal_queries import _cards_sql, digest_sql
+from veilgrid.sources import reports
 from veilgrid.sources.tables import table
 
 FLOWS = Fixture(
@@ -219,6 +220,18 @@ def annotation_check(spark, _):
     return evaluate.check_annotations(evaluate.annotations(NOTES.df(spark)).filter("line IS NOT NULL"), REPORTED.df(spark))
 
 
+def sarif_levels(spark, sf_dir):
+    """How many results of each SARIF level the marked cards and the decided flows give."""
+    cards, accepted = _accepted(spark, sf_dir)
+    found = reports.literal_findings(baseline.mark(cards, accepted), "doc_id").unionByName(
+        reports.flow_findings(_applied(spark).withColumn("fingerprint", baseline.flow_fingerprint()).withColumn("is_new", F.col("violation"))))
+    return reports.sarif_results(found).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def csv_inventory(spark, _):
+    return reports.flow_inventory(_applied(spark)).select("data_type", "sink_rule", "dest_kind", "transforms", "guards", "file", "line", "violation")
+
+
 # ---------------------------------------------------------------- SQL
 
 _cards_cte = "cards AS (" + _cards_sql("documents", "doc_id", "text") + "),\nprinted AS (SELECT *, " + digest_sql("'literal'", "data_type", "CAST(doc_id AS VARCHAR)", "value_hash") + " AS fingerprint FROM cards)"
@@ -257,11 +270,15 @@ QUERIES = {
     "P01_decide": decide, "P03_allow": allow, "P05_severity": severity, "P04_literals": literal_policy, "B01_fingerprints": fingerprints, "B01_flow_fingerprints": flow_fingerprints,
     "B03_mark": marked, "B03_unseen": unseen, "B04_create": created, "M01_recipients": recipients, "M02_data_types": type_inventory, "M03_stores": stores, "G01_nodes": graph_nodes,
     "G01_edges": graph_edges, "V01_counts": report_counts, "V02_sorted": report_places, "A01_score": score, "A03_sweep": sweep, "A04_by_parts": by_parts, "A05_gates": gates,
-    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check,
+    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory,
 }
 
 ORACLE_SQL = {
     "P01_decide": with_(*_flow_ctes) + "SELECT flow, status, decided_by, severity, CASE decided_by WHEN 'transform' THEN 'transform: ' || array_to_string(transforms, ',') WHEN 'consent' THEN 'consent: ' || array_to_string(guards, '; ') WHEN 'allow' THEN CASE entry WHEN 1 THEN 'allow: seed data' ELSE 'allow' END END AS allowed FROM stated",
+    "IO13_sarif_levels": with_(*_flow_ctes, _applied_cte, _marked_cte) + """SELECT level, count(*) AS n FROM (
+  SELECT CASE WHEN baselined THEN 'note' ELSE 'error' END AS level FROM marked
+  UNION ALL SELECT CASE WHEN NOT violation THEN 'note' WHEN severity = 'high' THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END FROM applied) GROUP BY level""",
+    "IO14_csv": with_(*_flow_ctes, _applied_cte) + "SELECT data_type, sink_rule, dest_kind, array_to_string(transforms, ';') AS transforms, array_to_string(guards, ';') AS guards, sink_file AS file, sink_line AS line, violation FROM applied",
     "P03_allow": with_(*_flow_ctes[:3]) + f"SELECT flow, {ALLOW_SQL} AS entry FROM known",
     "P05_severity": with_(*_flow_ctes[:3]) + f"SELECT flow, {SEVERITY_SQL} AS severity FROM known",
     "P04_literals": "WITH " + _cards_cte + "\nSELECT doc_id, line, col, data_type, confidence, class, severity, TRUE AS violation FROM printed",

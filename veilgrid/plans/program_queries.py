@@ -301,7 +301,33 @@ def inherited(spark, _):
 
 _reach = lambda src, edges, depth: f"""hop AS (SELECT src, dst, 1 AS hops FROM {edges} UNION SELECT h.src, e.dst, h.hops + 1 FROM hop h JOIN {edges} e ON h.dst = e.src WHERE h.hops < {depth})"""
 
+IR_FUNCS = Fixture("ir_funcs", "func string, file string, start_line int, params array<int>", [("f", "a.py", 1, [0]), ("g", "b.py", 1, []), ("f", "c.py", 1, [])])
+IR = Fixture("ir", "func string, idx int, op string, dst int, args array<int>, block int", [("f", 0, "assign", 1, [0], 0), ("f", 1, "assign", 1, [0], 1), ("g", 0, "compute", 2, [7], 0), ("h", 0, "assign", 0, [], 0)])
+
+
+def ir_problems(spark, _):
+    return program.verify(IR_FUNCS.df(spark).limit(2), IR.df(spark), CFG.df(spark).filter("func = 'f' AND to_block <= 2"))
+
+
+def merged_modules(spark, _):
+    return program.merge_modules(IR_FUNCS.df(spark)).select("func", "file")
+
+
+CACHE = Fixture("cache", "func string, file string, file_hash string, engine string", [("f", "a.py", "1", "e1"), ("g", "b.py", "2", "e1"), ("h", "c.py", "3", "e0"), ("k", "a.py", "9", "e1")])
+
+
+def cache_valid(spark, _):
+    now = spark.createDataFrame([("a.py", "1"), ("b.py", "5"), ("c.py", "3")], "file string, file_hash string")
+    return program.valid_summaries(CACHE.df(spark), now, "e1").select("func", "file")
+
+
+def cache_updated(spark, _):
+    new = spark.createDataFrame([("f2", "a.py", "7", "e1")], "func string, file string, file_hash string, engine string")
+    return program.updated_summaries(CACHE.df(spark), new, spark.createDataFrame([("a.py",)], "file string"))
+
+
 QUERIES = {
+    "F09_verify": ir_problems, "F13_merge": merged_modules, "I02_cache_valid": cache_valid, "I03_cache_update": cache_updated,
     "C01_tokenize": tokenized, "C07_context": contexts, "C08_ident": identified, "C08_table_columns": table_columns, "C12_sanitizers": sanitizers, "IO02_ignore": ignored, "IO04_paths": chosen_paths,
     "IO05_languages": languages, "IO08_files": document_files, "H01_parsed_schemas": parsed_schemas, "H03_declared_fields": declared, "H04_field_lookup": looked_up, "H05_type_carries": carried,
     "R01_override": overridden_rules, "R03_match_calls": matched_calls, "R04_match_fields": matched_fields, "R05_match_parameters": matched_parameters, "R07_arguments": sink_arguments, "R09_destination": destinations,
@@ -310,6 +336,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "F09_verify": "SELECT * FROM (VALUES ('h', 'unknown function', '0'), ('f', 'defined twice', '1'), ('g', 'never defined', '7'), ('f', 'edge to no block', '2')) AS t(func, problem, detail)",
+    "F13_merge": with_(IR_FUNCS) + "SELECT CASE WHEN n > 1 THEN func || '~' || n ELSE func END AS func, file FROM (SELECT *, row_number() OVER (PARTITION BY func ORDER BY file, start_line) AS n FROM ir_funcs)",
+    "I02_cache_valid": with_(CACHE) + "SELECT func, file FROM cache WHERE engine = 'e1' AND (file, file_hash) IN (('a.py', '1'), ('b.py', '5'), ('c.py', '3'))",
+    "I03_cache_update": with_(CACHE) + "SELECT * FROM cache WHERE file != 'a.py' UNION ALL SELECT 'f2', 'a.py', '7', 'e1'",
     "C01_tokenize": with_(NAMES) + f"SELECT name, {SPLIT_SQL} AS tokens FROM names",
     "C08_ident": with_(NAMES, _patterns_cte(), _toks_ctes) + "SELECT n.name, b.data_type, CAST(round(b.c, 4) AS DOUBLE) AS confidence, b.transform, array_to_string(b.ptoks, ' ') AS pattern FROM names n LEFT JOIN best b ON b.name = n.name AND b.r = 1",
     "C07_context": with_(LABEL_LINES, "names AS (SELECT id, content AS name FROM label_lines)", _patterns_cte()) + f""", said AS (SELECT id, {_singular} AS toks FROM (SELECT id, {SPLIT_SQL} AS raw, [{sql_list(_vocabulary())}] AS vocabulary FROM names))
@@ -363,5 +393,13 @@ deep AS (SELECT *, sum(d) OVER (PARTITION BY flow ORDER BY pos) AS s FROM moved)
 SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY pos) - 1 AS INTEGER) AS step, function, line, CAST(s - min(s) OVER (PARTITION BY flow) AS INTEGER) AS depth FROM deep""",
     "T21_callers": "SELECT * FROM (VALUES (1, 'main'), (3, 'save')) AS t(flow, function)",
     "T22_reach": "WITH RECURSIVE e AS (SELECT CAST(n_regionkey AS BIGINT) AS src, CAST((n_nationkey * 7 + 3) % 25 + 100 AS BIGINT) AS dst FROM nation UNION SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_nationkey % 3 + 200 AS BIGINT) FROM nation),\n" + _reach("", "e", 64) + "\nSELECT src, dst, min(hops) AS hops FROM hop GROUP BY src, dst",
+    "H01_parsed_schemas": """SELECT * FROM (VALUES ('User', 'proto', 'email', 'string', NULL), ('User', 'proto', 'phones', '[]string', 'phone'), ('User.Inner', 'proto', 'zip', 'string', 'address'), ('User', 'proto', 'a', 'string', NULL),
+  ('table:app.users', 'table', 'id', 'bigint', NULL), ('table:app.users', 'table', 'e_mail', 'varchar(20)', 'email'), ('table:app.users', 'table', 'balance', 'decimal(10,2)', 'bank_account'), ('table:app.users', 'table', 'dob', 'date', NULL)) AS t(type, kind, field, field_type, pii)""",
+    "H03_declared_fields": """SELECT type, field, data_type, CAST(confidence AS DOUBLE) AS confidence, suppressed, contextual, via FROM (VALUES
+  ('model.Customer', 'Email', 'email', 0.9, FALSE, FALSE, 'field name Email'), ('model.Customer', 'Name', 'person_name', 0.6, FALSE, TRUE, 'field name Name'), ('model.Customer', 'Phone', NULL, 0.0, TRUE, FALSE, 'pii:"-"'),
+  ('model.Address', 'Street', 'address', 0.95, FALSE, FALSE, 'gorm:"street_address"'), ('View', 'email', 'email', 0.9, FALSE, FALSE, 'field name email'), ('model.Order', 'Card', 'credit_card', 1.0, FALSE, FALSE, 'pci:"credit_card"'),
+  ('lib.Ext', 'phone', 'phone', 0.9, FALSE, FALSE, 'field name phone'), ('Card', 'holderName', 'cardholder_name', 0.95, FALSE, FALSE, '@SerializedName("holder_name")'), ('Proto', 'b', 'passport', 0.95, FALSE, FALSE, 'protobuf:"passport_no"'),
+  ('table:people', 'x1', 'phi', 1.0, FALSE, FALSE, 'phi:"phi"'), ('table:people', 'dob', 'dob', 1.0, FALSE, FALSE, 'pii:"dob"')) AS t(type, field, data_type, confidence, suppressed, contextual, via)""",
+    "R01_override": "SELECT * FROM (VALUES (0, 'log.python', 'sink', 'log'), (1, 'sdk.track', 'sink', 'third_party'), (2, 'net.post', 'sink', 'ipc'), (3, 'xf.mask', 'transform', NULL), (4, 'src.body', 'source', NULL), (5, 'src.param', 'source', NULL), (6, 'api.build', 'api', NULL), (7, 'new.rule', 'sink', 'log')) AS t(ord, id, kind, dest_kind)",
     "I01_rescan": "SELECT * FROM (VALUES ('n.py', 'changed'), ('s.py', 'calls a changed file'), ('m.py', 'calls a changed file'), ('o.py', 'calls a changed file')) AS t(file, why)",
 }
