@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilgrid.llm.common import Scratch
+from veilgrid.llm.common import Scratch, ship
 
 K, EVERY = 20, 20
 #: Distinct vectors in a shard at most (on average), queries in a block.
@@ -225,6 +225,7 @@ def _search(pairs: DataFrame, k: int, beam: int) -> DataFrame:
 
 def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of every query's k nearest rows but its own; ties go to the smaller id."""
+    ship(spark)
     scratch = Scratch(spark, "ann")
     vectors = scratch.keep(valid_vectors(rows, id_col, vector_col))
     shards = max(1, -(-vectors.count() // shard))

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilgrid.llm.common import bound_batches
+
 #: Pieces up to this many bytes are remembered; at most so many of them in a worker.
 MEMO_BYTES, MEMO_PIECES, MEMO_PAIRS = 64, 500_000, 500_000
 
@@ -95,6 +97,11 @@ class BytePairCodec:
             known = self._fits[left, right] = self._compatible(left, right)
         return known
 
+    def forget(self) -> None:
+        """Workers are used again, so a task leaves nothing behind but the vocabulary."""
+        self._memo.clear()
+        self._fits.clear()
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece that the merges may not leave."""
         whole = self.ranks.get(piece)
@@ -165,8 +172,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for frame in frames:
             ids = [own.encode(t or "") for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": [own.decode(x) for x in ids]})
+        own.forget()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, schema)
+    return bound_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(each, schema)
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -185,5 +193,6 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out.astype({"n_tokens": "int64"})
+        own.forget()
 
-    return docs.select("doc_id", "text").mapInPandas(each, schema)
+    return bound_batches(docs.select("doc_id", "text")).mapInPandas(each, schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,44 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Whole texts that may share an Arrow batch, and bytes of one.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once in an application."""
+    app = spark.sparkContext.applicationId
+    if app in ship.sent:
+        return
+    ship.sent.add(app)
+    root = Path(__file__).resolve().parents[1]
+    if not root.is_dir():
+        return  # it runs from an archive that was sent already
+    archive = Path(tempfile.mkdtemp(prefix="veilgrid-")) / "veilgrid_source.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
+ship.sent = set()
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a Python map: the package is shipped and Arrow batches are bounded for whole texts.
+
+    Lower settings stay. They count when a plan runs, so they stay set afterwards.
+    """
+    ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        digits = str(now).lower().removesuffix("b")
+        if now is None or not digits.isdigit() or not 0 < int(digits) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df
+
+
 #: log2 of the bits that stand for a set of ids.
 ID_BITS = 22
 
@@ -90,7 +130,7 @@ def keep_rows(docs: DataFrame, columns: list[str], judge: Callable[[], Callable[
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepts = judge()
         for batch in batches:
-            held = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in columns]
+            held = [(x.as_py() for x in batch.column(c)) if c in batch.schema.names else [None] * batch.num_rows for c in columns]
             yield batch.filter(pa.array([accepts(*row) for row in zip(*held)], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return bound_batches(docs).mapInArrow(each, docs.schema)

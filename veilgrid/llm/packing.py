@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import Scratch
+from veilgrid.llm.common import Scratch, bound_batches, ship
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a block, islands of a block, epochs between which elites migrate, generations in an epoch, chromosomes of an island.
@@ -57,6 +57,10 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Workers are used again, so a task leaves nothing behind but the vocabulary."""
         self.chunks: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
@@ -134,8 +138,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=schema.names)
+        own.forget()
 
-    return docs.select("doc_id", "text").mapInPandas(each, schema)
+    return bound_batches(docs.select("doc_id", "text")).mapInPandas(each, schema)
 
 
 class Packer:
@@ -251,6 +256,7 @@ def pack(
     spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION
 ) -> DataFrame:
     """Every piece with ``sequence_id`` and ``offset``; other columns of ``pieces`` (with a ``length``) come along."""
+    ship(spark)
     scratch = Scratch(spark, "packing")
     columns = pieces.columns
     held = scratch.keep(pieces.withColumn("uid_", F.monotonically_increasing_id()))

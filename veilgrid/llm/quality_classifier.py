@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD, keep_rows
+from veilgrid.llm.common import WORD, bound_batches, keep_rows
 
 _WORD = re.compile(WORD)
 LABELLED, POOL = 3000, 3000
@@ -48,7 +48,7 @@ _buckets: dict[str, int] = {}
 def _bucket(word: str) -> int:
     known = _buckets.get(word)
     if known is None:
-        if len(_buckets) >= 400_000:
+        if len(_buckets) >= 150_000:
             _buckets.clear()
         known = _buckets[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BUCKET_BITS) - 1)
     return known
@@ -206,7 +206,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelle
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"].astype("Int32"), **{c: [r[k] for r in rows] for k, c in enumerate(("shapes", "buckets", "weights", "meta"))}})
 
     schema = "doc_id long, label int, shapes array<float>, buckets array<int>, weights array<float>, meta array<int>"
-    found = _with_metadata(docs).join(F.broadcast(chosen), "doc_id").mapInPandas(each, schema).collect()
+    found = bound_batches(_with_metadata(docs)).join(F.broadcast(chosen), "doc_id").mapInPandas(each, schema).collect()
     found = sorted({r.doc_id: r for r in found}.values(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
     return co_train([(r.label, r.shapes, r.buckets, r.weights, r.meta) for r in found])
 
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model | None, min_score: float = MIN
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out.assign(kept=[s[2] is None or s[2] >= min_score for s in scores])
 
-    return _with_metadata(docs).mapInPandas(each, schema)
+    return bound_batches(_with_metadata(docs)).mapInPandas(each, schema)
 
 
 def retain_documents(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD, keep_rows
+from veilgrid.llm.common import WORD, bound_batches, keep_rows
 
 _WORD = re.compile(WORD)
 _SYMBOLS = "#*$%&|<>"
@@ -208,7 +208,7 @@ def fit_line_field(spark: SparkSession, docs: DataFrame, labels: DataFrame, samp
             yield pd.DataFrame({"quality": [q for q, _ in rows], "lines": [f for _, f in rows]}).astype({"quality": "int32"})
 
     found = (
-        docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+        bound_batches(docs).select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
         .select("quality", "text").mapInPandas(features, "quality int, lines array<array<int>>").collect()
     )
@@ -243,7 +243,7 @@ def judge_documents(docs: DataFrame, field: LineField | None, min_share: float =
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(each, schema)
+    return bound_batches(docs.select("doc_id", "text")).mapInPandas(each, schema)
 
 
 def retain_documents(docs: DataFrame, field: LineField | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
