@@ -49,3 +49,31 @@ deduped AS (
 )"""
 
 LINE_DEDUP = f"WITH {REMOVED_LINES.format(docs='documents')},{DEDUPED.format(docs='documents')}\nSELECT doc_id, text, n_lines_removed FROM deduped"
+
+#: Word n-gram sets, all pairs that share one, and reachability over the links.
+NGRAM_JOIN = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words
+),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = s.doc_id), s.doc_id)) AS component_id FROM sets s"""
+
+_escaped = "replace(replace(replace(replace(replace({0}, '~', '~0'), '[INST]', '~1'), '[/INST]', '~2'), '<s>', '~3'), '</s>', '~4')"
+CHAT_FORMAT = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(23 + length({_escaped.format("role")}) + length({_escaped.format("text")})) AS BIGINT) AS formatted_chars,
+  CASE conv_id WHEN -1 THEN 'prompt_response' ELSE 'turns' END AS layout
+FROM turns GROUP BY conv_id"""

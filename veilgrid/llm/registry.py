@@ -13,5 +13,5 @@ def queries():
 
 
 def oracle_sql():
-    found = {"op4_winnowing": oracles.LINE_DEDUP}
+    found = {"op3_fragment_join": oracles.NGRAM_JOIN, "op4_winnowing": oracles.LINE_DEDUP, "op5_chat_format": oracles.CHAT_FORMAT}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
