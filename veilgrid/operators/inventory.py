@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilgrid.functions.ranking import with_place
+
 EXAMPLES, SOURCES = 5, 6
 #: The order of destination kinds, and kinds of declarations that persist.
 KIND_ORDER = ["third_party", "network", "ipc", "log", "storage", "first_party"]
@@ -116,5 +118,4 @@ def counts(findings: DataFrame) -> DataFrame:
 
 def report_order(findings: DataFrame, *, file: str = "file") -> DataFrame:
     """Adds ``place``: new first, violations, severity, position."""
-    order = Window.orderBy(F.col("is_new").desc(), F.col("violation").desc(), _place(SEVERITY_ORDER, "severity"), file, "line", "col", "data_type")
-    return findings.withColumn("place", F.row_number().over(order))
+    return with_place(findings, [~F.col("is_new"), ~F.col("violation"), _place(SEVERITY_ORDER, "severity"), F.col(file), F.col("line"), F.col("col"), F.col("data_type")])
