@@ -98,6 +98,17 @@ def dispatch(calls: DataFrame, class_edges: DataFrame, class_methods: DataFrame)
     return best.withColumn("r_", F.row_number().over(order)).filter(F.col("r_") <= MAX_TARGETS).drop("r_")
 
 
+def call_graph(sites: DataFrame, dispatched: DataFrame, created: DataFrame | None = None) -> DataFrame:
+    """(caller, callee): what every function may call: static targets and overrides, constructors and closures it creates.
+
+    ``sites``: call_id, func; ``dispatched``: call_id, target; ``created``: func, target.
+    """
+    edges = sites.join(dispatched, "call_id").select(F.col("func").alias("caller"), F.col("target").alias("callee"))
+    if created is not None:
+        edges = edges.unionByName(created.select(F.col("func").alias("caller"), F.col("target").alias("callee")))
+    return edges.filter("callee IS NOT NULL AND callee != ''").distinct()
+
+
 def call_chains(paths: DataFrame, funcs: DataFrame, calls: DataFrame) -> DataFrame:
     """(flow, step, function, line, depth): the innermost function around every path position, repeats collapsed.
 

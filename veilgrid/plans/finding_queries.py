@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import detect as D
 from veilgrid.functions import taxonomy
-from veilgrid.operators import baseline, evaluate, inventory, literals, policy
+from veilgrid.operators import baseline, evaluate, explain, inventory, literals, policy
 from veilgrid.plans.fixtures import Fixture, sql_list, sql_value, with_
 from veilgrid.plans.literal_queries import _cards_sql, digest_sql
 from veilgrid.sources import reports
@@ -232,6 +232,35 @@ def csv_inventory(spark, _):
     return reports.flow_inventory(_applied(spark)).select("data_type", "sink_rule", "dest_kind", "transforms", "guards", "file", "line", "violation")
 
 
+def policy_changes(spark, _):
+    made = policy.changes(policy.decide(_flows(spark), POLICY), POLICY)
+    return made.filter("status = 'violation'").select("flow", F.size("changes").cast("long").alias("n_changes"), F.element_at("changes", -1).alias("last_change"))
+
+
+def explained(spark, _):
+    made = policy.changes(policy.decide(_flows(spark), POLICY), POLICY)
+    return explain.story(made, STEPS.df(spark)).filter("part != 'policy' AND part != 'change'")
+
+
+def picked(spark, _):
+    flows = FLOWS.df(spark).withColumn("fingerprint", baseline.flow_fingerprint())
+    return explain.select(flows, "app/user.py:10", "sink_file", "sink_line").select("flow").unionByName(explain.select(flows, "").filter("flow = 7").select("flow"))
+
+
+def mermaid(spark, _):
+    return inventory.mermaid(_graph(spark)[1]).agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("-.->"))).alias("n_calls"))
+
+
+FOUND = Fixture(
+    "found", "file string, test boolean, data_type string, class string, confidence double",
+    [("src/a.py", False, "email", "pii", 0.8), ("src/a_test.py", True, "email", "pii", 0.8), ("src/b_test.py", True, "credit_card", "pci", 0.95), ("x/CONTRIBUTING.md", False, "email", "pii", 0.9), ("i18n/en.json", False, "email", "pii", 0.9), ("t/key_test.py", True, "api_key", "credential", 0.95), ("docs/authors.txt", False, "us_ssn", "pii", 0.92), ("src/w.py", False, "us_ssn", "pii", 0.59)],
+)
+
+
+def file_rules(spark, _):
+    return literals.file_rules(FOUND.df(spark))
+
+
 # ---------------------------------------------------------------- SQL
 
 _cards_cte = "cards AS (" + _cards_sql("documents", "doc_id", "text") + "),\nprinted AS (SELECT *, " + digest_sql("'literal'", "data_type", "CAST(doc_id AS VARCHAR)", "value_hash") + " AS fingerprint FROM cards)"
@@ -270,7 +299,7 @@ QUERIES = {
     "P01_decide": decide, "P03_allow": allow, "P05_severity": severity, "P04_literals": literal_policy, "B01_fingerprints": fingerprints, "B01_flow_fingerprints": flow_fingerprints,
     "B03_mark": marked, "B03_unseen": unseen, "B04_create": created, "M01_recipients": recipients, "M02_data_types": type_inventory, "M03_stores": stores, "G01_nodes": graph_nodes,
     "G01_edges": graph_edges, "V01_counts": report_counts, "V02_sorted": report_places, "A01_score": score, "A03_sweep": sweep, "A04_by_parts": by_parts, "A05_gates": gates,
-    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory,
+    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory, "P06_changes": policy_changes, "E01_story": explained, "E02_select": picked, "IO15_mermaid": mermaid, "L25_file_rules": file_rules,
 }
 
 ORACLE_SQL = {
@@ -279,6 +308,21 @@ ORACLE_SQL = {
   SELECT CASE WHEN baselined THEN 'note' ELSE 'error' END AS level FROM marked
   UNION ALL SELECT CASE WHEN NOT violation THEN 'note' WHEN severity = 'high' THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END FROM applied) GROUP BY level""",
     "IO14_csv": with_(*_flow_ctes, _applied_cte) + "SELECT data_type, sink_rule, dest_kind, array_to_string(transforms, ';') AS transforms, array_to_string(guards, ';') AS guards, sink_file AS file, sink_line AS line, violation FROM applied",
+    "P06_changes": with_(*_flow_ctes) + """SELECT flow, CAST(dest_host != '' AND dest_kind IN ('network', 'third_party') AS BIGINT) + CAST(len(guards) > 0 AS BIGINT) + CAST(len(transforms) > 0 AS BIGINT) + CAST(confidence - 0.55 < 0.1 AS BIGINT) + 1 AS n_changes,
+  'removing ' || dest_kind || ' from `policy.' || CASE class WHEN 'credential' THEN 'classes.credential.' ELSE '' END || 'fail_on` would make every ' || CASE class WHEN 'credential' THEN 'credential flow into ' || dest_kind ELSE dest_kind || ' flow' END || ' informational' AS last_change
+FROM stated WHERE status = 'violation'""",
+    "E01_story": with_(FLOWS, STEPS) + """, parts AS (
+  SELECT flow, 0 AS a, 0 AS b, 'source' AS part, CASE WHEN source_desc != '' THEN source_desc ELSE 'a value' END || ' holds ' || data_type AS text FROM flows
+  UNION ALL SELECT flow, 1, step, 'step', 'through ' || function FROM steps
+  UNION ALL SELECT flow, 2, 0, 'sink', sink_file || ':' || sink_line || ' matches ' || sink_rule || ', which sends to ' || dest_kind || CASE WHEN dest_host != '' THEN ' ' || dest_host ELSE '' END FROM flows)
+SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY a, b) AS INTEGER) AS place, part, text FROM parts""",
+    "E02_select": "SELECT unnest([1, 14, 7]) AS flow",
+    "IO15_mermaid": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte) + """, edges AS (SELECT from_id, to_id, bool_and(calls) AS calls FROM (
+  SELECT c.id AS from_id, c.to_id, FALSE AS calls FROM (SELECT flow, id, lead(id) OVER (PARTITION BY flow ORDER BY place) AS to_id FROM chain) c
+  UNION ALL SELECT k.id, e.entry, TRUE FROM called k JOIN (SELECT flow, 'fn:' || arg_min(function, step) AS entry FROM said GROUP BY flow) e USING (flow)) WHERE from_id != to_id GROUP BY from_id, to_id)
+SELECT count(*) AS n, count(*) FILTER (calls) AS n_calls FROM edges""",
+    "L25_file_rules": with_(FOUND) + f"""SELECT * FROM (SELECT file, test, data_type, class, CASE WHEN test AND class != 'credential' THEN floor(confidence * 0.6 * 100 + 0.5) / 100 ELSE confidence END AS confidence FROM found)
+WHERE confidence >= 0.6 AND NOT (data_type = 'email' AND (regexp_matches('/' || lower(file), '/(i18n|l10n|locales|locale|translations)/') OR regexp_matches(upper(regexp_extract(file, '[^/]*$')), '^({"|".join(literals.COMMUNITY_FILES)})')))""",
     "P03_allow": with_(*_flow_ctes[:3]) + f"SELECT flow, {ALLOW_SQL} AS entry FROM known",
     "P05_severity": with_(*_flow_ctes[:3]) + f"SELECT flow, {SEVERITY_SQL} AS severity FROM known",
     "P04_literals": "WITH " + _cards_cte + "\nSELECT doc_id, line, col, data_type, confidence, class, severity, TRUE AS violation FROM printed",

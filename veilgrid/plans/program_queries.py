@@ -326,7 +326,40 @@ def cache_updated(spark, _):
     return program.updated_summaries(CACHE.df(spark), new, spark.createDataFrame([("a.py",)], "file string"))
 
 
+def keys(spark, _):
+    rows = spark.createDataFrame([(k,) for k in ("email", "phone_number", "user.phone", "free text email", "9email", "x")], "key string")
+    return names.classify_keys(rows, "key", taxonomy.data_types(spark)).select("key", F.col("named.data_type").alias("data_type"), F.round("named.confidence", 4).alias("confidence"))
+
+
+def getters(spark, _):
+    rows = spark.createDataFrame([(k,) for k in ("getEmail", "GetPhoneNumber", "Email", "get", "getter", "getX")], "name string")
+    return names.classify_getters(rows, "name", taxonomy.data_types(spark)).select("name", F.col("named.data_type").alias("data_type"), F.round("named.confidence", 4).alias("confidence"))
+
+
+def owned_fields(spark, _):
+    rows = spark.createDataFrame([("model.Customer", "name"), ("Card", "holderName"), ("File", "name"), ("Cardholder", "name"), ("*app.User", "Name"), ("", "name"), (None, "email")], "owner string, field string")
+    return names.classify_fields(rows, "owner", "field", taxonomy.data_types(spark)).select("owner", "field", F.col("named.data_type").alias("data_type"), F.round("named.confidence", 4).alias("confidence"))
+
+
+def api_models(spark, _):
+    return rules.best_api(rules.match_calls(CALLS.df(spark), rules.load(spark, RULES))).select("call_id", "rule", "match_confidence")
+
+
+def heuristics(spark, _):
+    base = spark.createDataFrame([("sinks", "log", None), ("returns", "size", "int"), ("returns", "get", "any")], "table string, word string, value string")
+    extra = spark.createDataFrame([("sinks", "trace", None), ("sinks", "log", None), ("returns", "size", "long")], "table string, word string, value string")
+    return rules.merge_heuristics(base, extra)
+
+
+def call_graph(spark, _):
+    sites = SITES.df(spark).select("call_id", F.concat(F.lit("caller"), (F.col("call_id") % 3).cast("string")).alias("func"))
+    made = program.dispatch(SITES.df(spark), CLASS_EDGES.df(spark), CLASS_METHODS.df(spark))
+    created = spark.createDataFrame([("caller0", "closure$1"), ("caller0", "")], "func string, target string")
+    return program.call_graph(sites, made, created)
+
+
 QUERIES = {
+    "C09_keys": keys, "C10_getters": getters, "C11_fields": owned_fields, "R06_api": api_models, "R10_heuristics": heuristics, "T01_call_graph": call_graph,
     "F09_verify": ir_problems, "F13_merge": merged_modules, "I02_cache_valid": cache_valid, "I03_cache_update": cache_updated,
     "C01_tokenize": tokenized, "C07_context": contexts, "C08_ident": identified, "C08_table_columns": table_columns, "C12_sanitizers": sanitizers, "IO02_ignore": ignored, "IO04_paths": chosen_paths,
     "IO05_languages": languages, "IO08_files": document_files, "H01_parsed_schemas": parsed_schemas, "H03_declared_fields": declared, "H04_field_lookup": looked_up, "H05_type_carries": carried,
@@ -335,7 +368,15 @@ QUERIES = {
     "T21_call_chain": chains, "T21_callers": chain_callers, "T22_reach": order_reach, "I01_rescan": rescans,
 }
 
+_named_sql = lambda key, rows: f"SELECT {key}, data_type, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES {rows}) AS t({key}, data_type, confidence)"
+
 ORACLE_SQL = {
+    "C09_keys": _named_sql("key", "('email', 'email', 0.8), ('phone_number', 'phone', 0.8), ('user.phone', 'phone', 0.75), ('free text email', NULL, NULL), ('9email', NULL, NULL), ('x', NULL, NULL)"),
+    "C10_getters": _named_sql("name", "('getEmail', 'email', 0.85), ('GetPhoneNumber', 'phone', 0.85), ('Email', 'email', 0.85), ('get', NULL, NULL), ('getter', NULL, NULL), ('getX', NULL, NULL)"),
+    "C11_fields": _named_sql("owner, field", "('model.Customer', 'name', 'person_name', 0.6), ('Card', 'holderName', 'cardholder_name', 0.9), ('File', 'name', NULL, NULL), ('Cardholder', 'name', 'cardholder_name', 0.6), ('*app.User', 'Name', 'person_name', 0.6), ('', 'name', NULL, NULL), (NULL, 'email', 'email', 0.9)"),
+    "R06_api": "SELECT call_id, rule, CAST(c AS DOUBLE) AS match_confidence FROM (VALUES (10, 'api.build', 0.75), (11, 'api.build', 1.0)) AS t(call_id, rule, c)",
+    "R10_heuristics": """SELECT * FROM (VALUES ('sinks', 'log', NULL), ('sinks', 'trace', NULL), ('returns', 'size', 'long'), ('returns', 'get', 'any')) AS t("table", word, value)""",
+    "T01_call_graph": "SELECT * FROM (VALUES ('caller1', 'Animal.say'), ('caller1', 'Dog.say'), ('caller1', 'Puppy.say'), ('caller2', 'Puppy.say'), ('caller0', 'Bird.say'), ('caller1', 'Loop.go'), ('caller2', 'X.f'), ('caller0', 'closure$1')) AS t(caller, callee)",
     "F09_verify": "SELECT * FROM (VALUES ('h', 'unknown function', '0'), ('f', 'defined twice', '1'), ('g', 'never defined', '7'), ('f', 'edge to no block', '2')) AS t(func, problem, detail)",
     "F13_merge": with_(IR_FUNCS) + "SELECT CASE WHEN n > 1 THEN func || '~' || n ELSE func END AS func, file FROM (SELECT *, row_number() OVER (PARTITION BY func ORDER BY file, start_line) AS n FROM ir_funcs)",
     "I02_cache_valid": with_(CACHE) + "SELECT func, file FROM cache WHERE engine = 'e1' AND (file, file_hash) IN (('a.py', '1'), ('b.py', '5'), ('c.py', '3'))",
