@@ -331,7 +331,7 @@ WHERE confidence >= 0.6 AND NOT (data_type = 'email' AND (regexp_matches('/' ||
     "B03_mark": "WITH " + _marked_cte + "\nSELECT doc_id, line, col, baselined, NOT baselined AS is_new FROM marked",
     "B03_unseen": "WITH " + _accepted_cte + "\nSELECT fingerprint, file FROM accepted WHERE fingerprint NOT IN (SELECT fingerprint FROM printed WHERE doc_id % 4 != 0)",
     "B04_create": "WITH " + _cards_cte + "\nSELECT DISTINCT fingerprint, 'literal' AS kind, data_type, CAST(doc_id AS VARCHAR) AS file FROM printed",
-    "M01_recipients": with_(*_flow_ctes, _applied_cte) + f"""SELECT row_number() OVER (ORDER BY {_kind_rank}, name, dest_kind, dest_host, dest_vendor) AS place, name, dest_kind, flows, violations, data_types, sinks, transforms, held AS examples
+    "M01_recipients": with_(*_flow_ctes, _applied_cte) + f"""SELECT CAST(row_number() OVER (ORDER BY {_kind_rank}, name, dest_kind, dest_host, dest_vendor) AS INTEGER) AS place, name, dest_kind, flows, violations, data_types, sinks, transforms, held AS examples
 FROM (SELECT dest_kind, dest_host, dest_vendor, any_value(name) AS name, count(*) AS flows, count(*) FILTER (violation) AS violations, list_sort(list(DISTINCT data_type)) AS data_types,
   list_sort(list(DISTINCT sink_rule)) AS sinks, list_sort(list_distinct(flatten(list(transforms)))) AS transforms FROM applied GROUP BY dest_kind, dest_host, dest_vendor)
 JOIN {_few("dest_kind, dest_host, dest_vendor", "sink_file || ':' || sink_line", 5)} USING (dest_kind, dest_host, dest_vendor)""",

@@ -393,7 +393,7 @@ SELECT path FROM paths WHERE path NOT IN (SELECT path FROM met WHERE NOT kept)""
     "IO04_paths": with_(PATHS) + "SELECT path FROM paths WHERE prefix(path, 'src/') OR path = 'lib/test_x.py' OR prefix(path, 'web/')",
     "IO05_languages": with_(PATHS) + f"SELECT path, {_lang_sql} AS lang, coalesce({_test_sql}, FALSE) AS test, coalesce({_lang_sql} = 'go' AND len(list_filter(string_split(path, '/')[:-2], lambda d: d[1] = '.' OR d[1] = '_' OR d = 'testdata')) > 0, FALSE) AS skipped FROM paths",
     "IO08_files": "SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS size, substr(sha256(text), 1, 32) AS file_hash FROM documents WHERE strlen(text) BETWEEN 1 AND 2097152 AND NOT contains(substr(text, 1, 8000), chr(0))",
-    "H04_field_lookup": "SELECT * FROM (VALUES (1, 'sensitive', 'email', 0.9), (2, 'suppressed', NULL, NULL), (3, 'unknown', NULL, NULL), (4, 'sensitive', 'credit_card', 0.95), (5, 'sensitive', 'email', 0.85), (6, 'sensitive', 'address', 0.85), (7, 'unknown', NULL, NULL)) AS t(id, state, data_type, confidence)",
+    "H04_field_lookup": "SELECT id, state, data_type, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES (1, 'sensitive', 'email', 0.9), (2, 'suppressed', NULL, NULL), (3, 'unknown', NULL, NULL), (4, 'sensitive', 'credit_card', 0.95), (5, 'sensitive', 'email', 0.85), (6, 'sensitive', 'address', 0.85), (7, 'unknown', NULL, NULL)) AS t(id, state, data_type, confidence)",
     "H05_type_carries": with_(HINTED) + r""", direct AS (SELECT DISTINCT type, data_type FROM hinted WHERE data_type IS NOT NULL AND NOT suppressed AND confidence >= 0.6),
 keyed AS (SELECT type AS of, data_type, unnest(list_distinct([type, regexp_extract(type, '[^./]*$')])) AS key FROM direct),
 fields AS (SELECT type, unnest(list_distinct([regexp_replace(field_type, '^[*&]+', ''), regexp_extract(field_type, '[^./*]*$')])) AS key FROM hinted WHERE NOT prefix(field_type, '[]')),
