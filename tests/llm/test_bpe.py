@@ -38,3 +38,8 @@ def test_rows_and_nulls(spark, both):
     assert got == sorted([one, one, (2, 0, sha(b""), sha(b"")), (3, 0, sha(b""), sha(b""))])
     assert [bytes(r.decoded) for r in encode_documents(docs, PATH, public_tokenizers.PATTERN).orderBy("doc_id").collect()] == [b"hello thing", b"hello thing", b"", b""]
     assert digest_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_large_ids_beside_a_null_one(spark):
+    docs = spark.createDataFrame([(9007199254740993, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in digest_documents(docs, PATH, public_tokenizers.PATTERN).collect()} == {9007199254740993, None}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import bound_batches
+from veilgrid.llm.common import map_texts
 
 #: Pieces up to this many bytes are remembered; at most so many of them in a worker.
 MEMO_BYTES, MEMO_PIECES, MEMO_PAIRS = 64, 500_000, 500_000
@@ -174,7 +174,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": [own.decode(x) for x in ids]})
         own.forget()
 
-    return bound_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(each, schema)
+    return map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), each, schema)
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -195,4 +195,4 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield out.astype({"n_tokens": "int64"})
         own.forget()
 
-    return bound_batches(docs.select("doc_id", "text")).mapInPandas(each, schema)
+    return map_texts(docs.select("doc_id", "text"), each, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the corpus contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +104,30 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return a finished task's free memory to the system, for workers live on between tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_texts(df: DataFrame, each: Callable, schema: T.StructType) -> DataFrame:
+    """``df.mapInPandas(each, schema)`` where the schema's first field is the first column of ``df``, an id.
+
+    Ids travel as text, so a null among them does not turn the others into floats.
+    """
+    key, kind = schema[0].name, schema[0].dataType
+
+    def task(frames: Iterator) -> Iterator:
+        yield from each(frames)
+        give_back()
+
+    texts = df.select(F.col(df.columns[0]).cast("string"), *df.columns[1:])
+    out = bound_batches(texts).mapInPandas(task, T.StructType([T.StructField(key, T.StringType()), *schema.fields[1:]]))
+    return out.withColumn(key, F.col(key).cast(kind))
+
+
 #: log2 of the bits that stand for a set of ids.
 ID_BITS = 22
 
@@ -132,5 +159,6 @@ def keep_rows(docs: DataFrame, columns: list[str], judge: Callable[[], Callable[
         for batch in batches:
             held = [(x.as_py() for x in batch.column(c)) if c in batch.schema.names else [None] * batch.num_rows for c in columns]
             yield batch.filter(pa.array([accepts(*row) for row in zip(*held)], pa.bool_()))
+        give_back()
 
     return bound_batches(docs).mapInArrow(each, docs.schema)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import bound_batches
+from veilgrid.llm.common import map_texts
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
@@ -295,4 +295,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(x) for x in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(x) for x in texts]}).astype({"n_chars": "int64"})
 
-    return bound_batches(pages.select("page_id", "url", "html")).mapInPandas(each, schema)
+    return map_texts(pages.select("page_id", "url", "html"), each, schema)

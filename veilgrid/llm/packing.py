@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import Scratch, bound_batches, ship
+from veilgrid.llm.common import Scratch, map_texts, ship
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a block, islands of a block, epochs between which elites migrate, generations in an epoch, chromosomes of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 6, 4
 #: Remembered chunks and stems at most, the longest of them, and the end of the characters that lower-case one by one and never compose.
-MEMO_CHUNKS, MEMO_STEMS, MEMO_CHARS, PLAIN_END, MARKS = 500_000, 400_000, 48, "\u0250", '.,!?;:*%$&#"()'
+MEMO_CHUNKS, MEMO_STEMS, MEMO_CHARS, PLAIN_END, MARKS = 150_000, 400_000, 48, "\u0250", '.,!?;:*%$&#"()'
 
 
 class ChunkTokenizer:
@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             yield pd.DataFrame(rows, columns=schema.names)
         own.forget()
 
-    return bound_batches(docs.select("doc_id", "text")).mapInPandas(each, schema)
+    return map_texts(docs.select("doc_id", "text"), each, schema)
 
 
 class Packer:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD, bound_batches, keep_rows
+from veilgrid.llm.common import WORD, bound_batches, keep_rows, map_texts
 
 _WORD = re.compile(WORD)
 LABELLED, POOL = 3000, 3000
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model | None, min_score: float = MIN
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out.assign(kept=[s[2] is None or s[2] >= min_score for s in scores])
 
-    return bound_batches(_with_metadata(docs)).mapInPandas(each, schema)
+    return map_texts(_with_metadata(docs), each, schema)
 
 
 def retain_documents(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD, bound_batches, keep_rows
+from veilgrid.llm.common import WORD, bound_batches, keep_rows, map_texts
 
 _WORD = re.compile(WORD)
 _SYMBOLS = "#*$%&|<>"
@@ -243,7 +243,7 @@ def judge_documents(docs: DataFrame, field: LineField | None, min_share: float =
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return bound_batches(docs.select("doc_id", "text")).mapInPandas(each, schema)
+    return map_texts(docs.select("doc_id", "text"), each, schema)
 
 
 def retain_documents(docs: DataFrame, field: LineField | None, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
