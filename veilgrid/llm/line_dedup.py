@@ -76,7 +76,8 @@ def removed_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` with the text that stays, and ``n_lines_removed``."""
+    """All columns of ``docs`` with the text that stays, and ``n_lines_removed`` (replaced if there is one)."""
+    docs = docs.drop("n_lines_removed")
     scratch = Scratch(spark, "line-dedup-rows")
     ties = Window.partitionBy("doc_id").orderBy("text", *(c for c, k in docs.dtypes if c not in ("doc_id", "text") and not k.startswith(("map", "variant"))))
     held = docs

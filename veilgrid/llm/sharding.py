@@ -131,7 +131,10 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard)."""
+    """All rows and columns with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard).
+
+    Columns of these names that ``docs`` already has are replaced.
+    """
     scratch = Scratch(spark, "sharding")
     keyed = _keys(docs, id_col, text_col)
     keys = scratch.keep(keyed.select("key1_", "key2_", "size_"))
