@@ -17,7 +17,7 @@ shared n-gram on, and on the sum over strips of the hash range of the smaller co
 Documents that share a prefix n-gram are first compared with one of them only. What
 that links is merged to components; then members of such a group that are in
 different components are compared too, those of its largest component only from the
-other side. Pairs inside one component need no comparison, so large groups of near
+other side, and the likeliest pairs by their bounds before the rest. Pairs inside one component need no comparison, so large groups of near
 copies never expand to all pairs and yet no link between components is missed.
 
 Null and empty texts have an empty set and are linked with nothing. Texts with fewer
@@ -42,15 +42,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veilgrid.llm.common import Scratch, mark_ids
+from veilgrid.llm.common import Scratch, map_texts, mark_ids
 
 WORDS, PERCENT = 3, 90
 #: log2 of the sketch's counters, counters in a chunk, sketches that one task merges, and fragments of the order.
 SKETCH_BITS, CHUNK, MERGE, FRAGMENTS = 22, 1 << 16, 128, 8
 #: log2 of the strips of the hash range whose n-grams every document counts, to bound overlaps without its set.
-SIZE_BITS = 6
+SIZE_BITS = 8
+#: Coarser strips, and how many fine ones make one.
+FOLDED = 64
+WIDTH = (1 << SIZE_BITS) // FOLDED
+#: Pairs of every set that are compared before the rest of the pairs across components.
+LIKELY = 2
 #: N-grams hashed before the sketch takes them in.
-BATCH_GRAMS = 2_000_000
+BATCH_GRAMS = 1_000_000
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -123,10 +128,19 @@ def _keys(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (codes[(grams >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(_U) << _U(56)) | (grams >> _U(8))
 
 
+def _count(counts: np.ndarray, places: list[np.ndarray]) -> None:
+    """Add the places' counts, chunk by chunk, so that nothing else of the sketch's size is held."""
+    held = np.sort(np.concatenate(places))
+    cuts = np.searchsorted(held, np.arange(0, len(counts) + 1, CHUNK))
+    for k in range(len(cuts) - 1):
+        if cuts[k] < cuts[k + 1]:
+            counts[k * CHUNK : (k + 1) * CHUNK] += np.bincount(held[cuts[k] : cuts[k + 1]] - k * CHUNK, minlength=CHUNK).astype(np.int32)
+
+
 def _profile(docs: DataFrame, words: int) -> DataFrame:
     """A row per document with its set's size and digest, and rows with chunks of each task's sketch."""
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("task", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-    whole, names = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType)), schema.names
+    names = schema.names
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
@@ -138,19 +152,20 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 waiting.append((grams >> _U(64 - SKETCH_BITS)).astype(np.int32))
                 size += len(grams)
                 if size > BATCH_GRAMS:
-                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
+                    _count(counts, waiting)
                     waiting, size = [], 0
             out = pd.DataFrame(rows, columns=["n", "d1", "d2", "sizes"])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out.assign(task=None, chunk=None, counts=None).astype({"n": "int64", "task": "Int64", "chunk": "Int32"})
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.int32)
+            _count(counts, waiting)
+        waiting = []
         parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(counts.reshape(-1, CHUNK)) if x.any()]
         if parts:
             out = pd.DataFrame({"chunk": [k for k, _ in parts], "counts": [x for _, x in parts]}).astype({"chunk": "Int32"})
-            yield out.assign(doc_id=None, n=None, d1=None, d2=None, sizes=None, task=TaskContext.get().partitionId())[names].astype({"n": "Int64", "d1": "Int64", "d2": "Int64", "doc_id": "Int64" if whole else "object"})
+            yield out.assign(doc_id=None, n=None, d1=None, d2=None, sizes=None, task=TaskContext.get().partitionId())[names].astype({"n": "Int64", "d1": "Int64", "d2": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(each, schema)
+    return map_texts(docs.select("doc_id", "text"), each, schema)
 
 
 def _merged_sketch(scratch: Scratch, parts: DataFrame) -> np.ndarray:
@@ -182,7 +197,7 @@ def _prefixes(docs: DataFrame, codes, words: int, percent: int) -> DataFrame:
                     rows.append((doc, _digest(found)[0], len(found), first.view(np.int64)))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(each, schema)
+    return map_texts(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), each, schema)
 
 
 def _borders(codes: np.ndarray, fragments: int) -> np.ndarray:
@@ -197,7 +212,7 @@ def _borders(codes: np.ndarray, fragments: int) -> np.ndarray:
 
 def _segments(docs: DataFrame, codes, borders: np.ndarray, words: int) -> DataFrame:
     """(id, d1, fragment, segment): the sets of the given documents, cut by fragments."""
-    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("d1", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("segment", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("d1", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("segment", T.ArrayType(T.LongType()))])
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -206,10 +221,10 @@ def _segments(docs: DataFrame, codes, borders: np.ndarray, words: int) -> DataFr
                 grams = gram_set(text, words)
                 part = np.searchsorted(borders, _keys(grams, codes.value), side="right")
                 d1 = _digest(grams)[0]
-                rows += [(doc, d1, int(k), grams[part == k].tobytes()) for k in np.unique(part)]
+                rows += [(doc, d1, int(k), grams[part == k].view(np.int64)) for k in np.unique(part)]
             yield pd.DataFrame(rows, columns=schema.names).astype({"fragment": "int32", "d1": "int64"})
 
-    return docs.mapInPandas(each, schema)
+    return map_texts(docs.select("doc_id", "text"), each, schema)
 
 
 def _overlaps(scratch: Scratch, docs: DataFrame, chosen: DataFrame, pairs: DataFrame, codes, borders: np.ndarray, words: int, fragments: int) -> DataFrame:
@@ -220,11 +235,8 @@ def _overlaps(scratch: Scratch, docs: DataFrame, chosen: DataFrame, pairs: DataF
     by_part = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
     met = by_part.join(held.withColumnsRenamed({"id": "a", "segment": "x"}), ["a", "fragment"]).join(held.withColumnsRenamed({"id": "b", "segment": "y"}), ["b", "fragment"])
 
-    @F.pandas_udf("long")
-    def partial(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(p, _U), np.frombuffer(q, _U), assume_unique=True)) for p, q in zip(x, y)], dtype="int64")
-
-    return met.select("a", "na", "b", "nb", partial("x", "y").alias("common")).groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
+    partial = F.size(F.array_intersect("x", "y")).cast("long")
+    return met.select("a", "na", "b", "nb", partial.alias("common")).groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
 
 
 def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -279,29 +291,46 @@ def components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent
         """The pairs whose strips leave room for enough common n-grams."""
         held = pairs.join(sized.select(F.col("id").alias("a"), F.col("sizes").alias("x")), "a").join(sized.select(F.col("id").alias("b"), F.col("sizes").alias("y")), "b")
         most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda p, q: p + q)
-        return held.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb")
+        return held.withColumn("most", most).filter(F.col("most") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb", "most")
 
     def linked(pairs: DataFrame) -> DataFrame:
         enough = "100 * common >= {0} * (na + nb - common)".format(percent)
         return scratch.keep(_overlaps(scratch, docs, chosen, pairs, codes, borders, words, fragments).filter(enough).select("a", "b"))
 
     star = groups.select(F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.pos").alias("pa"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    star = scratch.keep(bounded(star.filter("a != b").filter(may_link("na", "pa", "nb", "pb")).select("a", "na", "b", "nb").distinct()))
+    star = scratch.keep(bounded(star.filter("a != b").filter(may_link("na", "pa", "nb", "pb")).select("a", "na", "b", "nb").distinct()).drop("most"))
     links = linked(star)
     roots = scratch.keep(connected(scratch, links))
 
     labelled = groups.drop("pivot").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     per_root = labelled.groupBy("gram", "root").agg(F.count("*").alias("k"))
     largest = per_root.groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    mixed = scratch.keep(labelled.join(largest, "gram"))
-    one = mixed.filter("root != largest").select("gram", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "root")))
-    other = mixed.select(F.col("gram").alias("gram2"), "largest", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "root")))
-    crossing = one.join(other, (F.col("gram") == F.col("gram2")) & (F.col("root1") != F.col("root2")) & ((F.col("id1") < F.col("id2")) | (F.col("root2") == F.col("largest"))) & may_link("n1", "pos1", "n2", "pos2"))
+    # coarser strips go along, so that most pairs end inside the join
+    folded = F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda k: F.aggregate(F.slice("sizes", k * WIDTH + 1, F.lit(WIDTH)), F.lit(0), lambda x, y: x + y))
+    mixed = scratch.keep(labelled.join(largest, "gram").join(sized.select("id", folded.alias("strips")), "id"))
+    member_columns = ("id", "n", "pos", "root", "strips")
+    one = mixed.filter("root != largest").select("gram", *(F.col(c).alias(f"{c}1") for c in member_columns))
+    other = mixed.select(F.col("gram").alias("gram2"), "largest", *(F.col(c).alias(f"{c}2") for c in member_columns))
+    common = F.aggregate(F.zip_with("strips1", "strips2", lambda p, q: F.least(p, q)), F.lit(0), lambda p, q: p + q)
+    room = common * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+    crossing = one.join(other, (F.col("gram") == F.col("gram2")) & (F.col("root1") != F.col("root2")) & ((F.col("id1") < F.col("id2")) | (F.col("root2") == F.col("largest"))) & may_link("n1", "pos1", "n2", "pos2") & room)
     first = F.col("id1") < F.col("id2")
     pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "id1", "id2"), ("na", "n1", "n2"), ("b", "id2", "id1"), ("nb", "n2", "n1"))]
     crossing = scratch.keep(bounded(crossing.select(*pair).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")))
-    if not crossing.isEmpty():
-        roots = scratch.keep(connected(scratch, links.unionByName(linked(crossing))))
+    for last in (False, True):
+        if crossing.isEmpty():
+            break
+        chosen_pairs = crossing
+        if not last:  # the likeliest partners of every set; what they link spares most other pairs
+            rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy((F.col("most") / (F.col("na") + F.col("nb"))).desc(), "a", "b"))
+            chosen_pairs = scratch.keep(crossing.withColumns({"ra": rank("a"), "rb": rank("b")}).filter(F.least("ra", "rb") <= LIKELY))
+        links = scratch.keep(links.unionByName(linked(chosen_pairs.select("a", "na", "b", "nb"))))
+        roots = scratch.keep(connected(scratch, links))
+        if not last:
+            rest = crossing.join(chosen_pairs.select("a", "b"), ["a", "b"], "left_anti")
+            for c in ("a", "b"):
+                rest = rest.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+            crossing = scratch.keep(rest.filter("ra != rb").select("a", "na", "b", "nb", "most"))
 
     classes = classes.join(roots, "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("root"))
     return (
