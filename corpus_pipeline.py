@@ -20,6 +20,8 @@ from veilgrid.llm import line_dedup, ngram_join, packing, quality_classifier, qu
 from veilgrid.llm.common import WORD, Scratch, table
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Chunks and stems that a packing task remembers, fewer than alone: Python workers have four stages behind them.
+PACKING_MEMO = 40_000, 100_000
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"), memo=PACKING_MEMO)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("best_fit_packing", sequences)]

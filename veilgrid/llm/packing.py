@@ -34,7 +34,7 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces in a block, islands of a block, epochs between which elites migrate, generations in an epoch, chromosomes of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 2, 6, 4
 #: Remembered chunks and stems at most, the longest of them, and the end of the characters that lower-case one by one and never compose.
-MEMO_CHUNKS, MEMO_STEMS, MEMO_CHARS, PLAIN_END, MARKS = 150_000, 400_000, 48, "\u0250", '.,!?;:*%$&#"()'
+MEMO_CHUNKS, MEMO_STEMS, MEMO_CHARS, PLAIN_END, MARKS = 500_000, 400_000, 48, "\u0250", '.,!?;:*%$&#"()'
 
 
 class ChunkTokenizer:
@@ -57,6 +57,7 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.limits = MEMO_CHUNKS, MEMO_STEMS
         self.forget()
 
     def forget(self) -> None:
@@ -68,9 +69,9 @@ class ChunkTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        if len(self.chunks) > MEMO_CHUNKS:
+        if len(self.chunks) > self.limits[0]:
             self.chunks = {"": b""}
-        if len(self.stems) > MEMO_STEMS:
+        if len(self.stems) > self.limits[1]:
             self.stems = {"": b""}
         stems, found, split, unknown = self.stems, {}, [], set()
         for chunk in chunks:
@@ -119,8 +120,8 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents: doc_id, piece, start, length, ids_crc32."""
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, memo: tuple[int, int] = (MEMO_CHUNKS, MEMO_STEMS)) -> DataFrame:
+    """Pieces of all documents: doc_id, piece, start, length, ids_crc32. ``memo``: chunks and stems that a task remembers."""
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
         + [T.StructField("piece", T.IntegerType())]
@@ -130,6 +131,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path)
+        own.limits = memo
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"].tolist(), frame["text"]):
@@ -295,6 +297,6 @@ def pack(
     return placed.unionByName(whole).select(*columns, "sequence_id", "offset")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, **options) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, memo: tuple[int, int] = (MEMO_CHUNKS, MEMO_STEMS), **options) -> DataFrame:
     """Tokenize and pack whole documents."""
-    return pack(spark, token_pieces(docs, path, capacity), capacity, **options)
+    return pack(spark, token_pieces(docs, path, capacity, memo), capacity, **options)
