@@ -37,3 +37,11 @@ def test_rows(spark):
     got = sorted(map(tuple, extract_pages(df).collect()), key=lambda r: r[0])
     assert got == sorted([(i, None if i % 2 else f"u{i}", t, len(t)) for i, (_, t) in enumerate(CASES)] + [(0, "u0", CASES[0][1], len(CASES[0][1]))], key=lambda r: r[0])
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_main_text_split_over_plain_containers():
+    paragraphs = [f"<p>{c * 300}</p>" for c in "abcdefg"]
+    split = f'<div id="c"><div>{"".join(paragraphs[:3])}</div><div>{"".join(paragraphs[3:])}</div></div>'
+    assert extract(f"<html><body>{split}</body></html>") == " ".join(c * 300 for c in "abcdefg")
+    links = "".join(f'<li><a href="/{k}">go {k}</a></li>' for k in range(30))
+    assert extract(page(f"{split}<div><ul>{links}</ul></div>")) == " ".join(c * 300 for c in "abcdefg")

@@ -7,10 +7,11 @@ LC and link tags LT; with NLC = C - LC its density is
 
 (counts of zero taken as one), so many links pull a node down. A node's density sum
 is the sum of its children's densities. The node with the largest density sum is
-found, the least density on its path up to the body becomes the threshold, and the
-largest-sum subtree among nodes at least that dense is the main content. The text is
-what the subtree shows, without parts that are never content: scripts, styles,
-forms, navigation, notices, adverts, sidebars, reader comments and markup.
+found, and the least density on its path up to the body becomes the threshold. Of
+every node at least that dense the subtree of largest density sum is main content,
+with the article or main element, or else the block, that holds it. The text is what
+these subtrees show in page order, without parts that are never content: scripts,
+styles, forms, navigation, notices, adverts, sidebars, reader comments and markup.
 
 White space in a block becomes one space, blocks are joined in page order by one
 space, and character references are decoded. A null, empty or textless page has the
@@ -251,39 +252,56 @@ def _shown(top: Node) -> str:
     return " ".join(x for x in (_SPACES.sub(" ", b).strip() for b in blocks) if x)
 
 
-def main_node(page: str) -> Node | None:
-    """The subtree of the page's main content; None without any text."""
+def main_nodes(page: str) -> list[Node]:
+    """The subtrees of the page's main content in page order, none inside another; empty without any text."""
     body, order = _measure(parse(page))
     if not body.chars:
-        return None
-    inside = [n for n in order if n.chars and (n is body or _within(n, body))]
-    densest = max(inside, key=lambda n: n.total)
-    threshold, up = body.density, densest
-    while up is not None and up is not body:
+        return []
+    held = {id(body)}
+    inside = [body]
+    for node in order:
+        if node.parent is not None and id(node.parent) in held and node.chars:
+            held.add(id(node))
+            inside.append(node)
+    # the subtree of largest density sum at or below each node, the outer one of equals
+    fullest = {id(n): n for n in inside}
+    for node in reversed(inside):
+        if fullest[id(node)].total <= node.total:
+            fullest[id(node)] = node
+        if node is not body and fullest[id(node)].total >= fullest[id(node.parent)].total:
+            fullest[id(node.parent)] = fullest[id(node)]
+    threshold, up = body.density, fullest[id(body)]
+    while up is not body:
         threshold = min(threshold, up.density)
         up = up.parent
-    best = max((n for n in inside if n.density >= threshold), key=lambda n: n.total, default=body)
-    # a content container that holds the chosen subtree belongs to it whole
-    up = best
-    while up is not None and up is not body:
+    chosen = {id(_whole(fullest[id(n)], body)) for n in inside if n.density >= threshold}
+    out, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if id(node) in chosen:
+            out.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if type(c) is not str and id(c) in held)
+    return out
+
+
+def _whole(node: Node, body: Node) -> Node:
+    """The content container that holds a chosen subtree, or else the block that it is part of."""
+    up = best = node
+    while up is not body:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
-    return best if best.tag in BLOCK or best.tag == "#root" or best.parent is None else best.parent
-
-
-def _within(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+    while best is not body and best.tag not in BLOCK:
+        best = best.parent
+    return best
 
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    top = main_node(page)
-    return _shown(top) if top is not None else ""
+    return " ".join(filter(None, map(_shown, main_nodes(page))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
