@@ -53,3 +53,10 @@ def test_logistic_gradient_reaches_the_optimum():
     w = _logistic(_Rows([([0, 1, 2], list(r)) for r in x], 3), y, np.ones(300), 2000, 0.05, 0.0)
     residual = y - 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
     assert abs(residual.mean()) < 1e-3 and np.abs(x.T @ residual / 300).max() < 1e-3
+
+
+def test_scores_keep_the_share_of_all_labels(spark):
+    docs = spark.createDataFrame([(i, "the same words", "en", "s", 14) for i in range(720)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 6 != 0), 0) for i in range(720)], "doc_id long, quality int, toxic int")
+    scores = [score_documents(docs.limit(1), fit_quality(spark, docs, labels, labelled=n)).first().score for n in (60, 720)]
+    assert all(abs(s - 5 / 6) < 0.04 for s in scores) and abs(scores[0] - scores[1]) < 0.02

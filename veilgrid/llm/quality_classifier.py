@@ -8,7 +8,9 @@ other view takes these pseudo-labels into its next fit. In the end both calibrat
 log-odds are combined by one more logistic model and score every document.
 
 Fitting uses a bounded sample: at most ``labelled`` labelled documents (half of each
-kind, as far as there are) and ``pool`` others, both chosen by hash of the id.
+kind, as far as there are) and ``pool`` others, both chosen by hash of the id. Labelled
+rows weigh as much as all labels of their kind together do in fit, calibration and
+mixture, so a score means the same however many labels there are.
 Scoring covers every row and its whole text in one map without a shuffle.
 
 Null texts have no words, null metadata is a value of its own. Without labels of
@@ -135,18 +137,29 @@ def _logistic(x: _Rows, y: np.ndarray, weight: np.ndarray, rounds: int = 200, ra
     return w
 
 
-def _calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset that turn scores into log-odds; a slope below zero counts as no information."""
     target = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    centre, width = score.mean(), score.std() + 1e-9
+    centre = np.average(score, weights=weight)
+    width = math.sqrt(np.average((score - centre) ** 2, weights=weight)) + 1e-9
     rows = _Rows([([0], [float(s)]) for s in (score - centre) / width], 1)
-    b, a = _logistic(rows, target, np.ones(len(y)), 300, 0.1, 1e-3)
-    prior = math.log((y.sum() + 1) / ((1 - y).sum() + 1))
+    b, a = _logistic(rows, target, weight, 300, 0.1, 1e-3)
+    prior = math.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1))
     return (float(a / width), float(b - a * centre / width)) if a > 0 else (0.0, prior)
 
 
-def co_train(sample: list[tuple[int | None, list[float], list[int], list[float], list[int]]], rounds: int = ROUNDS) -> Model | None:
-    """Fit on (label or None, shapes, buckets, weights, metadata) rows; None without both kinds of labels."""
+def _weights(y: np.ndarray, counts: tuple[int, int] | None) -> np.ndarray:
+    """Weights that make up for a sample that holds another share of each kind than the whole labels do."""
+    if counts is None:
+        return np.ones(len(y))
+    return np.where(y > 0.5, counts[1] / max(1, (y > 0.5).sum()), counts[0] / max(1, (y <= 0.5).sum())) * len(y) / sum(counts)
+
+
+def co_train(sample: list[tuple[int | None, list[float], list[int], list[float], list[int]]], rounds: int = ROUNDS, counts: tuple[int, int] | None = None) -> Model | None:
+    """Fit on (label or None, shapes, buckets, weights, metadata) rows; None without both kinds of labels.
+
+    ``counts``: bad and good labels of the whole table, which the labelled rows stand for.
+    """
     labelled = [r for r in sample if r[0] is not None]
     if len({r[0] for r in labelled}) < 2:
         return None
@@ -162,11 +175,12 @@ def co_train(sample: list[tuple[int | None, list[float], list[int], list[float],
     y_held = np.array([r[0] for r in held], float)
     both, both_held = views(fit + pool), views(held)
     known = np.arange(len(y)) < len(fit)
-    given = [(np.where(known, y, 0.5), known.astype(float)) for _ in both]
+    own, weight_held = np.concatenate([_weights(y[: len(fit)], counts), np.zeros(len(pool))]), _weights(y_held, counts)
+    given = [(np.where(known, y, 0.5), own) for _ in both]
     models, odds = [], []
     for turn in range(rounds + 1):
         models = [_logistic(x, t, w) for x, (t, w) in zip(both, given)]
-        odds = [_calibrate(x.times(w), y_held) for x, w in zip(both_held, models)]
+        odds = [_calibrate(x.times(w), y_held, weight_held) for x, w in zip(both_held, models)]
         if turn == rounds or not pool:
             break
         given = []
@@ -174,9 +188,9 @@ def co_train(sample: list[tuple[int | None, list[float], list[int], list[float],
             a, b = odds[other]
             p = 1 / (1 + np.exp(-np.clip(a * both[other].times(models[other]) + b, -35, 35)))
             sure = ~known & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            given.append((np.where(known, y, np.where(p >= 0.5, 1.0, 0.0)), np.where(known, 1.0, np.where(sure, 0.5, 0.0))))
+            given.append((np.where(known, y, np.where(p >= 0.5, 1.0, 0.0)), np.where(known, own, np.where(sure, 0.5, 0.0))))
     logits = [a * x.times(w) + b for x, w, (a, b) in zip(both_held, models, odds)]
-    mixed = _logistic(_Rows([([0, 1], [float(p), float(q)]) for p, q in zip(*(np.clip(z, -10, 10) for z in logits))], 2), y_held, np.ones(len(held)), 300, 0.05, 1e-3)
+    mixed = _logistic(_Rows([([0, 1], [float(p), float(q)]) for p, q in zip(*(np.clip(z, -10, 10) for z in logits))], 2), y_held, weight_held, 300, 0.05, 1e-3)
     return Model(models[0].astype("float32"), models[1].astype("float32"), tuple(odds), tuple(map(float, mixed)))
 
 
@@ -195,6 +209,7 @@ def _features(frame: pd.DataFrame) -> Iterator[tuple]:
 
 def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    number = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
     order = [F.xxhash64(F.lit("co-training"), "doc_id"), F.col("doc_id")]
     kinds = [ids.filter(F.col("label") == q).orderBy(*order).limit(labelled // 2) for q in (0, 1)]
     others = docs.select("doc_id").filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").orderBy(*order).limit(pool).select("doc_id", F.lit(None).cast("int").alias("label"))
@@ -208,7 +223,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelle
     schema = "doc_id long, label int, shapes array<float>, buckets array<int>, weights array<float>, meta array<int>"
     found = bound_batches(_with_metadata(docs)).join(F.broadcast(chosen), "doc_id").mapInPandas(each, schema).collect()
     found = sorted({r.doc_id: r for r in found}.values(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
-    return co_train([(r.label, r.shapes, r.buckets, r.weights, r.meta) for r in found])
+    return co_train([(r.label, r.shapes, r.buckets, r.weights, r.meta) for r in found], counts=(number.get(0, 0), number.get(1, 0)))
 
 
 COLUMNS = ["content_score", "metadata_score", "score", "kept"]
