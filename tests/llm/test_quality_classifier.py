@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from veilgrid.llm.quality_classifier import _logistic, _Rows, fit_quality, retain_documents, score_documents
+from veilgrid.llm.quality_classifier import SHAPES, _bucket, _logistic, _Rows, fit_quality, retain_documents, score_documents
 
 WORDS = [f"{a}{b}{c}" for a in ("th", "on", "re", "wa") for b in ("er", "al", "in") for c in ("ing", "ed", "s", "ly")]
 
@@ -60,3 +62,15 @@ def test_scores_keep_the_share_of_all_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 6 != 0), 0) for i in range(720)], "doc_id long, quality int, toxic int")
     scores = [score_documents(docs.limit(1), fit_quality(spark, docs, labels, labelled=n)).first().score for n in (60, 720)]
     assert all(abs(s - 5 / 6) < 0.04 for s in scores) and abs(scores[0] - scores[1]) < 0.02
+
+
+def test_every_unlabelled_document_teaches(spark):
+    """A word that only documents beyond the first 3,000 by hash hold is learnt from their metadata."""
+    docs = spark.range(4200).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).alias("good"), F.xxhash64(F.lit("co-training"), "id").alias("place"))
+    docs = docs.withColumn("late", (F.col("doc_id") >= 900) & (F.row_number().over(Window.orderBy(F.col("doc_id") < 900, "place")) > 3000))
+    said = F.when(F.col("late"), F.when(F.col("good"), "plain words omega").otherwise("plain words zeta")).otherwise("plain words")
+    docs = docs.select("doc_id", said.alias("text"), F.lit("en").alias("lang"), F.when(F.col("good"), "a").otherwise("b").alias("source"), F.lit(14).cast("long").alias("n_chars")).cache()
+    labels = spark.range(900).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    model = fit_quality(spark, docs, labels)
+    omega, zeta = (model.content[1 + SHAPES + _bucket(w)] for w in ("omega", "zeta"))
+    assert docs.filter("text like '%zeta'").count() > 50 and omega > 0.05 and zeta < -0.05

@@ -3,14 +3,22 @@
 The content view sees hashed words and a few shape measures of the whole text; the
 metadata view sees language, source and recorded length only. Both are logistic
 models. In each round every view, calibrated on labelled rows that it was not fitted
-on, labels the documents of an unlabelled pool that it is confident about, and the
-other view takes these pseudo-labels into its next fit. In the end both calibrated
-log-odds are combined by one more logistic model and score every document.
-
-Fitting uses a bounded sample: at most ``labelled`` labelled documents (half of each
-kind, as far as there are) and ``pool`` others, both chosen by hash of the id. Labelled
-rows weigh as much as all labels of their kind together do in fit, calibration and
-mixture, so a score means the same however many labels there are.
+on, labels the unlabelled documents that it is confident about, and the other view
+takes these pseudo-labels into its next fit. In the end both calibrated log-odds are
+combined by one more logistic model and score every document.
+
+Only labelled rows are sampled: at most ``labelled`` of them (half of each kind, as far
+as there are), chosen by hash of the id. They weigh as much as all labels of their kind
+together do in fit, calibration and mixture, so a score means the same however many
+labels there are.
+
+All unlabelled documents take part in every round (``pool`` can limit them). Their
+features are written once to the shared folder, and executors add up what a fit needs:
+for the metadata view the confident documents of every combination of buckets, which is
+exact, and for the content view the gradient of their loss with a bound of its
+curvature. The driver fits the content view to its labelled rows and to the quadratic
+upper bound of the pseudo-labelled loss that these make, PASSES times a round, so each
+fit lowers the loss over all of them; the sums do not grow with the number of rows.
 Scoring covers every row and its whole text in one map without a shuffle.
 
 Null texts have no words, null metadata is a value of its own. Without labels of
@@ -24,7 +32,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD, bound_batches, keep_rows, map_texts
+from veilgrid.llm.common import WORD, Scratch, bound_batches, keep_rows, map_texts, mark_ids
 
 _WORD = re.compile(WORD)
-LABELLED, POOL = 3000, 3000
+LABELLED = 3000
 BUCKET_BITS, SHAPES, META_BITS = 14, 10, 8
 ROUNDS, CONFIDENT, MIN_SCORE = 3, 0.98, 0.5
+#: Fits of the content view in a round, each with new sums over the unlabelled documents; weight of one of these beside a label.
+PASSES, PSEUDO = 2, 0.5
 #: Labelled rows kept from fitting, for calibration: one in so many.
 HELD_OUT = 3
 _SYMBOLS = "#*$%&|<>!"
@@ -127,11 +137,26 @@ class _Rows:
         return np.concatenate([[g.sum()], np.bincount(self.at, self.value * g[self.row], self.width)])
 
 
-def _logistic(x: _Rows, y: np.ndarray, weight: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+@dataclass
+class _Pull:
+    """A quadratic upper bound, tangent at ``at``, of the loss of rows that were summed up elsewhere."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curvature: np.ndarray
+    weight: float
+
+
+def _logistic(x: _Rows, y: np.ndarray, weight: np.ndarray, rounds: int = 200, rate: float = 0.1, decay: float = 1e-4, pull: _Pull | None = None) -> np.ndarray:
     w, m, v = (np.zeros(x.width + 1) for _ in range(3))
-    weight = weight / max(weight.sum(), 1e-9)
+    total = max(weight.sum() + (pull.weight if pull else 0.0), 1e-9)
+    weight = weight / total
+    if pull:
+        w = pull.at.copy()
     for it in range(1, rounds + 1):
         g = x.transposed(weight * (y - 1 / (1 + np.exp(-np.clip(x.times(w), -35, 35))))) - decay * w
+        if pull:
+            g += (pull.gradient - pull.curvature * (w - pull.at)) / total
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w + rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
     return w
@@ -148,52 +173,141 @@ def _calibrate(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return (float(a / width), float(b - a * centre / width)) if a > 0 else (0.0, prior)
 
 
-def _weights(y: np.ndarray, counts: tuple[int, int] | None) -> np.ndarray:
-    """Weights that make up for a sample that holds another share of each kind than the whole labels do."""
-    if counts is None:
-        return np.ones(len(y))
-    return np.where(y > 0.5, counts[1] / max(1, (y > 0.5).sum()), counts[0] / max(1, (y <= 0.5).sum())) * len(y) / sum(counts)
+def _weights(y: np.ndarray, counts: tuple[int, int]) -> np.ndarray:
+    """Weights by which a sample stands for all labels of each kind."""
+    return np.where(y > 0.5, counts[1] / max(1, (y > 0.5).sum()), counts[0] / max(1, (y <= 0.5).sum()))
+
+
+#: What a view's calibrated log-odds are made of: weights and (slope, offset).
+View = tuple[np.ndarray, tuple[float, float]]
+Sums = tuple[_Pull, list[tuple[list[int], float, float]]]
 
 
-def co_train(sample: list[tuple[int | None, list[float], list[int], list[float], list[int]]], rounds: int = ROUNDS, counts: tuple[int, int] | None = None) -> Model | None:
-    """Fit on (label or None, shapes, buckets, weights, metadata) rows; None without both kinds of labels.
+def co_train(sample: list[tuple[int, list[float], list[int], list[float], list[int]]], counts: tuple[int, int], teach: Callable[[View, View, np.ndarray], Sums] | None, rounds: int = ROUNDS) -> Model | None:
+    """Fit on labelled (label, shapes, buckets, weights, metadata) rows; None without both kinds of labels.
 
-    ``counts``: bad and good labels of the whole table, which the labelled rows stand for.
+    ``counts``: bad and good labels of the whole table, which the rows stand for.
+    ``teach`` sums up the unlabelled documents, as ``_teacher`` tells; None: there are none.
     """
-    labelled = [r for r in sample if r[0] is not None]
-    if len({r[0] for r in labelled}) < 2:
+    if len({r[0] for r in sample}) < 2:
         return None
-    pool = [r for r in sample if r[0] is None]
-    groups = [[r for k, r in enumerate(labelled) if (k % HELD_OUT == 0) == held] for held in (False, True)]
-    fit, held = groups if len({r[0] for r in groups[0]}) == len({r[0] for r in groups[1]}) == 2 else (labelled, labelled)
+    groups = [[r for k, r in enumerate(sample) if (k % HELD_OUT == 0) == held] for held in (False, True)]
+    fit, held = groups if len({r[0] for r in groups[0]}) == len({r[0] for r in groups[1]}) == 2 else (sample, sample)
 
     def views(rows):
         content = _Rows([(list(range(SHAPES)) + [SHAPES + b for b in r[2]], [*r[1], *r[3]]) for r in rows], SHAPES + (1 << BUCKET_BITS))
         return content, _Rows([(r[4], [1.0] * len(r[4])) for r in rows], 1 << META_BITS)
 
-    y = np.array([r[0] for r in fit] + [0.5] * len(pool), float)
-    y_held = np.array([r[0] for r in held], float)
-    both, both_held = views(fit + pool), views(held)
-    known = np.arange(len(y)) < len(fit)
-    own, weight_held = np.concatenate([_weights(y[: len(fit)], counts), np.zeros(len(pool))]), _weights(y_held, counts)
-    given = [(np.where(known, y, 0.5), own) for _ in both]
-    models, odds = [], []
-    for turn in range(rounds + 1):
-        models = [_logistic(x, t, w) for x, (t, w) in zip(both, given)]
-        odds = [_calibrate(x.times(w), y_held, weight_held) for x, w in zip(both_held, models)]
-        if turn == rounds or not pool:
-            break
-        given = []
-        for other in (1, 0):  # the content view learns from the metadata view, and the other way round
-            a, b = odds[other]
-            p = 1 / (1 + np.exp(-np.clip(a * both[other].times(models[other]) + b, -35, 35)))
-            sure = ~known & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            given.append((np.where(known, y, np.where(p >= 0.5, 1.0, 0.0)), np.where(known, own, np.where(sure, 0.5, 0.0))))
+    y, y_held = (np.array([r[0] for r in rows], float) for rows in (fit, held))
+    weight, weight_held = _weights(y, counts), _weights(y_held, counts)
+    both, both_held = views(fit), views(held)
+    models = [_logistic(x, y, weight) for x in both]
+    calibrated = lambda: [_calibrate(x.times(w), y_held, weight_held) for x, w in zip(both_held, models)]
+    odds = calibrated()
+    for _ in range(rounds if teach else 0):
+        # the content view learns from the metadata view, and the other way round
+        teachers, metadata = list(zip(models, odds)), None
+        content = models[0]
+        for _ in range(PASSES):
+            pull, found = teach(*teachers, content)
+            metadata = found if metadata is None else metadata
+            content = _logistic(both[0], y, weight, pull=pull)
+        kinds = [(m, label, PSEUDO * n) for m, bad, good in metadata for label, n in ((0.0, bad), (1.0, good)) if n]
+        rows = _Rows([(r[4], [1.0] * len(r[4])) for r in fit] + [(m, [1.0] * len(m)) for m, _, _ in kinds], 1 << META_BITS)
+        models = [content, _logistic(rows, np.concatenate([y, [k[1] for k in kinds]]), np.concatenate([weight, [k[2] for k in kinds]]))]
+        odds = calibrated()
     logits = [a * x.times(w) + b for x, w, (a, b) in zip(both_held, models, odds)]
     mixed = _logistic(_Rows([([0, 1], [float(p), float(q)]) for p, q in zip(*(np.clip(z, -10, 10) for z in logits))], 2), y_held, weight_held, 300, 0.05, 1e-3)
     return Model(models[0].astype("float32"), models[1].astype("float32"), tuple(odds), tuple(map(float, mixed)))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The features of every row as bytes: shapes, word buckets with their counts, and metadata."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("shapes", "buckets", "weights", "meta"))])
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kinds = ("f4", "u2", "f4", "u1")
+            rows = [[np.array(x, k).tobytes() for x, k in zip(f, kinds)] for f in _features(frame)]
+            out = pd.DataFrame(rows, columns=["shapes", "buckets", "weights", "meta"])
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+            yield out
+
+    return map_texts(_with_metadata(docs), each, schema)
+
+
+def _log_odds(z: np.ndarray, calibration: tuple[float, float]) -> np.ndarray:
+    return np.clip(calibration[0] * z + calibration[1], -35, 35)
+
+
+def _sums(frames: Iterator[pd.DataFrame], content: View, metadata: View, at: np.ndarray) -> Iterator[pd.DataFrame]:
+    """One task's sums over its documents, as (kind, place, a, b) rows.
+
+    Kind 0: gradient and curvature of a content weight; kind 1: bad and good documents of
+    a combination of metadata buckets; kind 2: weight of the documents in kind 0.
+    """
+    width = SHAPES + (1 << BUCKET_BITS)
+    gradient, curvature, weight = np.zeros(width + 1), np.zeros(width + 1), 0.0
+    combinations: Counter = Counter()
+    sure = math.log(CONFIDENT / (1 - CONFIDENT))
+    for frame in frames:
+        n = len(frame)
+        if not n:
+            continue
+        shapes = np.frombuffer(b"".join(frame["shapes"]), "f4").reshape(n, SHAPES).astype(float)
+        sizes = np.array([len(b) // 2 for b in frame["buckets"]], int)
+        buckets = np.frombuffer(b"".join(frame["buckets"]), "u2").astype(int)
+        weights = np.frombuffer(b"".join(frame["weights"]), "f4").astype(float)
+        meta = np.frombuffer(b"".join(frame["meta"]), "u1").reshape(n, -1).astype(int)
+        row = np.repeat(np.arange(n), sizes)
+
+        def times(w: np.ndarray) -> np.ndarray:
+            return w[0] + shapes @ w[1 : SHAPES + 1] + np.bincount(row, w[SHAPES + 1 :][buckets] * weights, n)
+
+        says = _log_odds(times(content[0]), content[1])
+        for key, good in zip(meta[np.abs(says) >= sure] @ (1 << META_BITS * np.arange(meta.shape[1])), says[np.abs(says) >= sure] > 0):
+            combinations[int(key), bool(good)] += 1
+        told = _log_odds(metadata[0][0] + metadata[0][1:][meta].sum(1), metadata[1])
+        share = np.where(np.abs(told) >= sure, PSEUDO, 0.0)
+        z = np.clip(times(at), -35, 35)
+        missing = share * ((told > 0) - 1 / (1 + np.exp(-z)))
+        half = np.maximum(np.abs(z) / 2, 1e-6)
+        # of a row's curvature, its largest for any weights by the tangent bound, each weight takes its part of the row's sum
+        bent = share * np.tanh(half) / (4 * half) * (1 + np.abs(shapes).sum(1) + np.bincount(row, weights, n))
+        for out, each in ((gradient, missing), (curvature, bent)):
+            out[0] += each.sum()
+            out[1 : SHAPES + 1] += each @ shapes
+            out[SHAPES + 1 :] += np.bincount(buckets, each[row] * weights, 1 << BUCKET_BITS)
+        weight += share.sum()
+    used = np.flatnonzero(curvature)
+    yield pd.DataFrame({"kind": 0, "place": used, "a": gradient[used], "b": curvature[used]})
+    keys = sorted({k for k, _ in combinations})
+    yield pd.DataFrame({"kind": 1, "place": np.array(keys, "int64"), "a": [float(combinations[k, False]) for k in keys], "b": [float(combinations[k, True]) for k in keys]})
+    yield pd.DataFrame({"kind": [2], "place": [0], "a": [weight], "b": [0.0]})
+
+
+def _teacher(unlabelled: DataFrame) -> Callable[[View, View, np.ndarray], Sums]:
+    """Sums over packed documents: what the metadata view tells a content view at given weights, and what the content view tells."""
+
+    def teach(content: View, metadata: View, at: np.ndarray) -> Sums:
+        sent = unlabelled.sparkSession.sparkContext.broadcast((content, metadata, at))
+        made = bound_batches(unlabelled.select("shapes", "buckets", "weights", "meta")).mapInPandas(lambda frames: _sums(frames, *sent.value), "kind int, place long, a double, b double")
+        rows = made.groupBy("kind", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("kind", "place").collect()
+        sent.unpersist()
+        pull = _Pull(at, np.zeros(len(at)), np.zeros(len(at)), 0.0)
+        combinations = []
+        for r in rows:
+            if r.kind == 0:
+                pull.gradient[r.place], pull.curvature[r.place] = r.a, r.b
+            elif r.kind == 1:
+                combinations.append(([r.place >> META_BITS * k & (1 << META_BITS) - 1 for k in range(4)], r.a, r.b))
+            else:
+                pull.weight = r.a
+        return pull, combinations
+
+    return teach
+
+
 def _with_metadata(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in META))
 
@@ -207,13 +321,14 @@ def _features(frame: pd.DataFrame) -> Iterator[tuple]:
         yield _row_features(*row)
 
 
-def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None) -> Model | None:
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     number = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
+    if len(number) < 2:
+        return None
     order = [F.xxhash64(F.lit("co-training"), "doc_id"), F.col("doc_id")]
     kinds = [ids.filter(F.col("label") == q).orderBy(*order).limit(labelled // 2) for q in (0, 1)]
-    others = docs.select("doc_id").filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").orderBy(*order).limit(pool).select("doc_id", F.lit(None).cast("int").alias("label"))
-    chosen = spark.createDataFrame(kinds[0].unionByName(kinds[1]).unionByName(others).collect(), "doc_id long, label int")
+    chosen = spark.createDataFrame(kinds[0].unionByName(kinds[1]).collect(), "doc_id long, label int")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -223,7 +338,17 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelle
     schema = "doc_id long, label int, shapes array<float>, buckets array<int>, weights array<float>, meta array<int>"
     found = bound_batches(_with_metadata(docs)).join(F.broadcast(chosen), "doc_id").mapInPandas(each, schema).collect()
     found = sorted({r.doc_id: r for r in found}.values(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
-    return co_train([(r.label, r.shapes, r.buckets, r.weights, r.meta) for r in found], counts=(number.get(0, 0), number.get(1, 0)))
+    others = docs
+    if pool is not None:
+        least = docs.select("doc_id").filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
+        others = docs.join(least, "doc_id", "left_semi")
+    scratch = Scratch(spark, "quality")
+    # only rows that could be labelled meet the labels, so the features of the others stay where they are
+    marked = mark_ids(scratch, _with_metadata(others), "doc_id", ids.select("doc_id"), "maybe")
+    unlabelled = scratch.keep(_packed(marked.filter("NOT maybe")).unionByName(_packed(marked.filter("maybe")).join(ids, "doc_id", "left_anti")))
+    model = co_train([(r.label, r.shapes, r.buckets, r.weights, r.meta) for r in found], (number[0], number[1]), _teacher(unlabelled))
+    scratch.drop(unlabelled)
+    return model
 
 
 COLUMNS = ["content_score", "metadata_score", "score", "kept"]
