@@ -225,6 +225,14 @@ def mixed(spark, _):
     return literals.scan(MIXED.df(spark))
 
 
+def all_detectors_documents(spark, sf_dir):
+    return literals.scan(_docs(spark, sf_dir), types=taxonomy.data_types(spark))
+
+
+def all_detectors_pages(spark, sf_dir):
+    return literals.scan(table(spark, sf_dir, "pages").select("page_id", "html"), "html", types=taxonomy.data_types(spark))
+
+
 def _mixed_sql() -> str:
     secrets = []
     for data_type, detector, pattern, keywords, confidence, bits in taxonomy.VALUE_PATTERNS:
@@ -269,6 +277,8 @@ QUERIES = {
     "L14_ssn": ssn,
     "L15_iban": iban,
     "L16_all_detectors": mixed,
+    "L16_all_detectors_documents": all_detectors_documents,
+    "L16_all_detectors_pages": all_detectors_pages,
     "L19_entropy": entropy,
     "L20_masks": masks,
     "L22_value_hashes": value_hashes,
