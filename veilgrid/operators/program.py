@@ -8,6 +8,8 @@ Tables come from an extractor: ``ir_funcs`` (func, name, lang, file, start_line,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,18 +17,21 @@ from pyspark.sql.window import Window
 from veilgrid.sources.scratch import kept
 
 MAX_TARGETS, MAX_CALLERS, CALLER_DEPTH, MAX_DEPTH = 16, 5, 2, 64
+#: Hops after which the table of all pairs is written.
+CUT = 8
 
 
-def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(src, dst, hops): every pair joined by a path of 1 to ``depth`` edges with its fewest hops; cycles are fine."""
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(src, dst, hops): every pair joined by a path, of at most ``depth`` edges if given, with its fewest hops; cycles are fine."""
     base = edges.select("src", "dst").distinct()
     seen = frontier = base.withColumn("hops", F.lit(1))
-    for hop in range(2, depth + 1):
+    for hop in count(2) if depth is None else range(2, depth + 1):
         step = frontier.select("src", F.col("dst").alias("via")).join(base.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         frontier = kept(step.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        seen = seen if hop % CUT else kept(seen)
     return seen
 
 

@@ -12,6 +12,8 @@ returned variables to results (``call_edges``).
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +22,9 @@ from veilgrid.functions.detect import rounded
 from veilgrid.operators import names
 from veilgrid.sources.scratch import kept
 
-MAX_ROUNDS, MIN_CONFIDENCE = 40, 0.2
+MIN_CONFIDENCE = 0.2
+#: Decimals to which confidences are compared.
+PLACES = 12
 #: Rounds after which the table of all facts is written.
 CUT = 4
 #: Factors of operations.
@@ -64,27 +68,28 @@ def seeds(variables: DataFrame, types: DataFrame) -> DataFrame:
     return named.select(node("func", "var").alias("var"), F.col("named.data_type").alias("data_type"), own.alias("transforms"), F.col("named.confidence").alias("confidence"), F.concat(F.lit("variable "), "name").alias("source_desc"), "file", "line")
 
 
-def propagate(seeded: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS, floor: float = MIN_CONFIDENCE) -> DataFrame:
+def propagate(seeded: DataFrame, edges: DataFrame, rounds: int | None = None, floor: float = MIN_CONFIDENCE) -> DataFrame:
     """The best fact of every (var, data_type, transforms) with its path, an array of (file, line).
 
     Better is: more confident, then from a shorter path, then by source and path.
+    Without ``rounds`` it goes on until no fact gets better, however long the flows are.
     """
     here = F.struct("file", F.col("line").cast("int").alias("line"))
     key = ["var", "data_type", "transforms"]
-    order = Window.partitionBy(*key).orderBy(F.col("confidence").desc(), F.size("path"), "source_desc", "path")
+    order = Window.partitionBy(*key).orderBy(F.round("confidence", PLACES).desc(), F.size("path"), "source_desc", "path")
     best = lambda df: df.withColumn("r_", F.row_number().over(order)).filter("r_ = 1").drop("r_")
     columns = [*key, "confidence", "source_desc", "path"]
     facts = newest = kept(best(seeded.withColumn("path", F.array(here)).select(*columns)))
     steps = edges.select("src", "dst", "factor", "transform", here.alias("here"))
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         carried = newest.join(steps, newest["var"] == steps["src"]).select(
             F.col("dst").alias("var"), "data_type",
             F.array_sort(F.when(F.col("transform").isNull(), F.col("transforms")).otherwise(F.array_union("transforms", F.array("transform")))).alias("transforms"),
             (F.col("confidence") * F.col("factor")).alias("confidence"), "source_desc",
             F.when(F.element_at("path", -1) == F.col("here"), F.col("path")).otherwise(F.concat("path", F.array("here"))).alias("path"),
         ).filter(F.col("confidence") >= floor)
-        old = facts.select(*key, F.col("confidence").alias("c_"), F.size("path").alias("n_"))
-        better = best(carried).join(old, key, "left").filter("c_ IS NULL OR confidence > c_ + 1e-12 OR (confidence > c_ - 1e-12 AND size(path) < n_)")
+        old = facts.select(*key, F.round("confidence", PLACES).alias("c_"), F.size("path").alias("n_"))
+        better = best(carried).join(old, key, "left").filter(f"c_ IS NULL OR round(confidence, {PLACES}) > c_ OR (round(confidence, {PLACES}) = c_ AND size(path) < n_)")
         newest = kept(better.select(*columns))
         if newest.isEmpty():
             break
