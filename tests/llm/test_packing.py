@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from veilgrid.llm.packing import Packer, pack, pack_documents, tokenizer
+from veilgrid.llm.packing import ChunkTokenizer, Packer, pack, pack_documents, token_pieces, tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,19 +56,106 @@ def test_documents(spark):
     assert pack_documents(spark, docs.limit(0), PATH, capacity=64).count() == 0
 
 
-def test_evolution_beats_or_equals_best_fit():
-    rnd = random.Random(4)
-    lengths = [rnd.randint(20, 60) for _ in range(300)]
-    packer = Packer(lengths, 100, 1)
-    plain = packer.best_fit(packer.decreasing(list(range(300))), [])
-    best = packer.evolve([], 10, 6)
-    assert sorted(i for b in best for i in b) == list(range(300))
-    assert all(sum(lengths[i] for i in b) <= 100 for b in best)
-    assert packer.bound <= len(best) <= len(plain)
+def hard(seed, n=500):
+    """Lengths of which best fit leaves a few sequences too many."""
+    rnd = random.Random(seed)
+    return Packer([rnd.randint(20, 100) for _ in range(n)], 150, seed)
+
+
+def whole(packer, bins):
+    assert sorted(i for b in bins for i in b) == list(range(len(packer.lengths)))
+    assert all(sum(packer.lengths[i] for i in b) <= packer.capacity for b in bins)
+    return len(bins)
+
+
+def test_crossover_lowers_the_number_of_sequences(monkeypatch):
+    def total():
+        return sum(whole(p, p.evolve([], 40, 12)) for p in map(hard, (1, 2, 3)))
+
+    plain = sum(len(p.best_fit(p.decreasing(list(range(500))), [])) for p in map(hard, (1, 2, 3)))
+    evolved, bound = total(), sum(p.bound for p in map(hard, (1, 2, 3)))
+    assert bound <= evolved <= bound + 2 < plain
+    monkeypatch.setattr(Packer, "crossover", lambda self, host, donor: host)
+    assert evolved < total()
+
+
+def triplets(seed, n=300):
+    """Lengths of which every three fill a sequence, if they are the right ones."""
+    rnd, lengths = random.Random(seed), []
+    for _ in range(n // 3):
+        a = rnd.randint(380, 490)
+        b = rnd.randint(250, (1000 - a) // 2)
+        lengths += [a, b, 1000 - a - b]
+    rnd.shuffle(lengths)
+    return Packer(lengths, 1000, seed)
+
+
+def test_migration_lowers_the_number_of_sequences():
+    def total(migrate):
+        found = 0
+        for packer in map(triplets, range(6)):
+            islands = [packer.evolve([packer.best_fit(packer.decreasing(list(range(300)), 0.3), [])], 40, 12, rounds=1) for _ in range(3)]
+            for _ in range(3):
+                islands = [packer.evolve([islands[k], islands[k - 1]] if migrate else [islands[k]], 40, 12, rounds=1) for k in range(3)]
+            found += min(whole(packer, x) for x in islands)
+        return found
+
+    assert total(True) < total(False)
+
+
+def best_number(lengths, capacity):
+    """The least number of bins, by trying all places of every item."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for b in range(len(rooms)):
+            if rooms[b] >= lengths[k] and rooms[b] not in rooms[:b]:
+                place(k + 1, [r - lengths[k] * (j == b) for j, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_packings_are_mostly_optimal():
+    rnd, optimal = random.Random(9), 0
+    for seed in range(40):
+        lengths = sorted((rnd.randint(15, 60) for _ in range(rnd.randint(1, 11))), reverse=True)
+        packer = Packer(lengths, 100, seed)
+        n, best = whole(packer, packer.evolve([], 20, 8)), best_number(lengths, 100)
+        assert n <= best + 1
+        optimal += n == best
+    assert optimal >= 36
+
+
+def test_very_long_texts_and_memory(spark):
+    rnd = random.Random(5)
+    own = ChunkTokenizer(PATH)
+    own.limit = 50
+    texts = ["".join(rnd.choice("abcdeé .,;A'1\n") for _ in range(n)) for n in (300_000, 10, 0, 1_200_000, 2000)] * 2
+    for text, ids in zip(texts, own.encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == reference_ids(text)[:-1]
+    assert len(own.known) <= 50
+    pieces = token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, 4096).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in pieces} == {i: len(reference_ids(t)) for i, t in enumerate(texts)}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (3, "c"), (3, "c"), (2**60 + 1, "d")], "doc_id long, text string")
+    rows = pack_documents(spark, docs, PATH, capacity=4).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (0, 3), (3, 2), (3, 2), (2**60 + 1, 2)]
+    check(rows, 4)
 
 
 def test_pieces_with_other_columns(spark):
-    pieces = spark.range(500).selectExpr("id AS name", "1 + id % 37 AS length")
+    pieces = spark.range(500).selectExpr("id AS name", "1 + id % 37 AS length", "0 AS sequence_id", "'x' AS offset", "1 AS uid", "2 AS block", "3 AS bin", "4 AS size", "5 AS row")
     rows = pack(spark, pieces, capacity=40, block=100).collect()
     assert sorted(r.name for r in rows) == list(range(500))
+    assert {(r.uid, r.block, r.bin, r.size, r.row) for r in rows} == {(1, 2, 3, 4, 5)}
     check(rows, 40)
