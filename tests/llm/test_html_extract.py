@@ -1,6 +1,10 @@
+import math
+import random
+import time
+
 import pytest
 
-from veilgrid.llm.html_extract import extract, extract_pages
+from veilgrid.llm.html_extract import _measure, extract, extract_pages, parse
 
 LONG = "Stones and rivers were the first things that anyone in the valley ever learned to name. "
 
@@ -45,3 +49,108 @@ def test_main_text_split_over_plain_containers():
     assert extract(f"<html><body>{split}</body></html>") == " ".join(c * 300 for c in "abcdefg")
     links = "".join(f'<li><a href="/{k}">go {k}</a></li>' for k in range(30))
     assert extract(page(f"{split}<div><ul>{links}</ul></div>")) == " ".join(c * 300 for c in "abcdefg")
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (page(f"<article><p title='the hidden valley' data-x=\"role=menu class=ad\">{LONG}</p><p>{LONG}</p></article>"), f"{LONG.strip()} {LONG.strip()}"),
+        (f'<html><body><div class="post social"><p>{LONG}</p><p>{LONG}</p></div><p>tiny</p></body></html>', f"{LONG.strip()} {LONG.strip()}"),
+        (f'<html><body><form action="/x"><div><p>{LONG}</p><p>{LONG}</p><input name="q"></div></form></body></html>', f"{LONG.strip()} {LONG.strip()}"),
+        (page(f'<form><article><p>{LONG}</p></article></form>'), LONG.strip()),
+        (page(f"<article><header><h1>Title</h1></header><p>{LONG}</p><footer>by me</footer></article>"), f"Title {LONG.strip()}"),
+        (page(f'<article><p>{LONG}</p></article><article class="comment"><p>{LONG * 20}</p></article><section id="comments"><p>{LONG * 40}</p></section>'), LONG.strip()),
+        (page(f"<article><p>{LONG}</p><p hidden>{LONG}</p><div style='display: none'>{LONG}</div><p aria-hidden='true'>x</p></article>"), LONG.strip()),
+        (page(f"<article><svg><p>{LONG}</p></article>"), LONG.strip()),
+        (page("<article><p>one</p></article>"), "one"),
+    ],
+)
+def test_names_are_hints(html, text):
+    assert extract(html) == text
+
+
+def test_time_is_linear():
+    n = 50_000
+    pages = {
+        "nested": "<div>" * n + LONG,
+        "stray ends": "<b>" * n + "</i>" * n + LONG,
+        "crossed ends": "<b>" + "<div>" * n + "</b>" * n + LONG,
+        "inline then titles": "<b>" * n + "<h1></h1>" * n + LONG,
+        "unclosed drawings": "<svg>" * n + LONG,
+        "signs": "< " * n + LONG,
+        "quotes": "<a '" * n + LONG,
+        "classes": "<div class='ad post'>" * n + LONG,
+        "paragraphs": f"<p>{LONG}" * n,
+    }
+    for name, html in pages.items():
+        began = time.process_time()
+        assert extract(html) or name == "quotes"
+        assert time.process_time() - began < 8, name
+
+
+def counts(node):
+    """(C, T, LC, LT) of a subtree, by recursion."""
+    c, t, lc, lt = (sum(len("".join(x.split())) for x in node.children if isinstance(x, str)), 0, 0, 0)
+    for child in node.children:
+        if not isinstance(child, str) and child.wanted:
+            c2, t2, lc2, lt2 = counts(child)
+            c, t, lc, lt = c + c2, t + t2 + (child.tag not in ("br", "wbr")), lc + lc2, lt + lt2
+    return (c, t, c, lt + 1) if node.tag == "a" else (c, t, lc, lt)
+
+
+def test_densities_by_definition():
+    rnd = random.Random(7)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rnd.randint(0, 3))) if depth else ""
+        tag = rnd.choice(["div", "section", "a", "span", "blockquote"])
+        return f"<{tag}>{'word ' * rnd.randint(0, 12)}{kids}</{tag}>"
+
+    def every(node):
+        yield node
+        for child in node.children:
+            if not isinstance(child, str):
+                yield from every(child)
+
+    for _ in range(200):
+        root = parse(f"<html><body>{tree(4)}{tree(3)}</body></html>")
+        body, order = _measure(root)
+        c_body, _, lc_body, _ = counts(body)
+
+        def density(node):
+            c, t, lc, lt = counts(node)
+            if not c:
+                return 0.0
+            t, lc_, lt_, plain = max(1, t), max(1, lc), max(1, lt), max(1, c - lc)
+            base = math.log(c / plain * lc + lc_body / c_body * c + math.e)
+            return c / t * math.log(max(c * t / (lc_ * lt_), 1.0000001)) / (math.log(base) if base > 1 + 1e-9 else 1)
+
+        if not c_body:
+            continue
+        for node in order:
+            assert node.density == pytest.approx(density(node), rel=1e-6)
+            assert node.total == pytest.approx(sum(density(x) for x in node.children if not isinstance(x, str)), rel=1e-6, abs=1e-9)
+        # the threshold is the least density from the fullest node up to the body; every node as dense gives its fullest subtree
+        fullest = max(every(body), key=lambda n: n.total)
+        threshold, up = body.density, fullest
+        while up is not body:
+            threshold, up = min(threshold, up.density), up.parent
+        shown = extract(f"<html><body>{''.join(_source(c) for c in body.children)}</body></html>")
+        dense = [n for n in every(body) if n.chars and n.density >= threshold]
+        assert all(_plain(max(every(n), key=lambda x: x.total)) in shown.replace(" ", "") for n in dense)
+
+
+def _plain(node):
+    return "".join("".join(x.split()) if isinstance(x, str) else _plain(x) for x in node.children)
+
+
+def _source(node):
+    return node if isinstance(node, str) else f"<{node.tag}>{''.join(map(_source, node.children))}</{node.tag}>"
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    html = page(f"<article>{''.join(f'<p>{k} {LONG}</p>' for k in range(20_000))}</article>")
+    df = spark.createDataFrame([(1, "u", html, "mine", 5), (None, None, html[:3000], None, None)], "page_id long, url string, html string, text string, n_chars long")
+    rows = {r.page_id: r for r in extract_pages(df).collect()}
+    expected = " ".join(f"{k} {LONG.strip()}" for k in range(20_000))
+    assert rows[1].text == expected and rows[1].n_chars == len(expected) and rows[None].url is None

@@ -5,19 +5,25 @@ LC and link tags LT; with NLC = C - LC its density is
 
     C / T * log(C * T / (LC * LT)) / log(log(C / NLC * LC + LCb / Cb * C + e))
 
-(counts of zero taken as one), so many links pull a node down. A node's density sum
+(zero T, LC, LT and NLC taken as one under a fraction, and an inner logarithm of one as
+e, where a page has no links), so many links pull a node down. A node's density sum
 is the sum of its children's densities. The node with the largest density sum is
 found, and the least density on its path up to the body becomes the threshold. Of
 every node at least that dense the subtree of largest density sum is main content,
 with the article or main element, or else the block, that holds it. The text is what
-these subtrees show in page order, without parts that are never content: scripts,
-styles, forms, navigation, notices, adverts, sidebars, reader comments and markup.
+these subtrees show in page order, without scripts, styles, hidden parts and markup.
+
+Tags and names (navigation, header, footer, form, notice, advert, sidebar, reader
+comments) are hints, not verdicts: elements they speak against are left out of the
+measurement only where an article or main element stands beside them, or else where
+they hold less than most of the page's text outside links.
 
 White space in a block becomes one space, blocks are joined in page order by one
 space, and character references are decoded. A null, empty or textless page has the
 empty text. Malformed markup does not fail: unclosed elements close with their
 parent, stray end tags are passed over, and cut-off tags are dropped. Long pages are
-read whole; the tree is walked without recursion, so depth is no limit.
+read whole, in time linear in their length; the tree is walked without recursion, so
+depth is no limit.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?|["']""")
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -47,11 +53,11 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("br td th tr tbody thead tfoot legend option optgroup body html head".split())
-NEVER = frozenset(
-    "script style noscript template head title meta link iframe object embed svg math canvas form input button select option textarea label fieldset "
-    "nav header footer aside menu dialog audio video map".split()
-)
-#: Words of class, id and role that mark what is never content.
+#: Elements that never show page text, and those that mostly hold something else.
+NEVER = frozenset("script style noscript template head title meta link iframe object embed svg math canvas input button select option textarea label audio video map".split())
+BESIDE = frozenset("nav header footer aside menu dialog form fieldset".split())
+CONTAINERS, TITLES = frozenset(["article", "main"]), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of class, id and role that hint at what is not content.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead sidebar aside widget notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
@@ -59,84 +65,159 @@ UNWANTED = frozenset(
     "disclaimer legal skip alert complementary contentinfo search searchbox dialog form".split()
 )
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Doubts about an element, by part of a name or by a whole name, and the parts of the page's text that settle them in its favour.
+WEAK, STRONG = 1, 2
+SHARES = {WEAK: 0.5, STRONG: 0.9}
 _SPACES = re.compile(r"\s+")
-_INLINE_IN_P = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+_CLOSED = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = {"p": frozenset(["article", "section", "div", "body", "td", "th", "li", "blockquote", "main", "aside", "nav", "footer", "header", "form", "html", "button"]), "li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table", "tbody", "thead", "tfoot"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "wanted", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "wanted", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, wanted: bool | None = True):
-        self.tag, self.parent, self.wanted = tag, parent, wanted
+    def __init__(self, tag: str, parent: Node | None, wanted: bool = True, doubt: int = 0):
+        self.tag, self.parent, self.wanted, self.doubt = tag, parent, wanted, doubt
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _wanted(tag: str, attributes: str) -> bool | None:
-    """Whether an element can be content; None: only part of a class or id speaks against it."""
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    """Names in lower case with their values; what stands inside a value is no name."""
+    for name, value in _ATTRIBUTE.findall(text):
+        if name:
+            quote = value[:1] if value[:1] in ("'", '"') else ""
+            yield name.lower(), value[1:].removesuffix(quote) if quote else value
+
+
+def _judged(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element can be shown at all, and the doubt that it is content."""
     if tag in NEVER:
-        return False
+        return False, 0
+    doubt = STRONG if tag in BESIDE else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return True
-    verdict = True
-    for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return False
+        return True, doubt
+    for name, value in _attributes(attributes):
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return False, 0
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return False
+                return False, 0
         elif name == "itemprop":
             if value.lower() in ("comment", "comments"):
-                return False
-        elif tag not in ("html", "body", "main", "article", "h1"):
+                doubt = STRONG
+        elif name in ("class", "id", "role") and tag not in ("html", "body", "main", "h1"):
             if any(w.lower() in UNWANTED for w in value.split()):
-                return False
-            if any(w.lower() in UNWANTED for w in _WORDS.findall(value)):
-                verdict = None
-    return verdict
+                doubt = STRONG
+            elif any(w.lower() in UNWANTED for w in _WORDS.findall(value)):
+                doubt = max(doubt, WEAK)
+    return True, doubt
 
 
 def _settle(root: Node) -> None:
-    """Elements of doubtful names stay only where they hold most of the page's text."""
+    """Decide about elements that names or tags speak against.
+
+    Where an article or main element with text stands free of doubt, doubtful elements
+    go, unless they hold such an element. Elsewhere they stay if they hold most of the
+    page's text outside links. A header with a title inside an article or main element
+    is its own.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(c for c in node.children if type(c) is not str and c.wanted is not False)
-    if all(n.wanted for n in order):
+        stack.extend(c for c in node.children if type(c) is not str and c.wanted)
+    if not any(n.doubt for n in order):
         return
     size: dict[int, int] = {}
+    titled, free, inside, linked, holds = set(), {id(root): True}, set(), set(), set()
+    for node in order[1:]:  # parents come first
+        up = id(node.parent)
+        if up in linked or node.tag == "a":
+            linked.add(id(node))
+        if up in inside or node.tag in CONTAINERS and not node.doubt:
+            inside.add(id(node))
     for node in reversed(order):
-        n = size.get(id(node), 0) + sum(len(c) for c in node.children if type(c) is str)
+        n = size.get(id(node), 0) + (0 if id(node) in linked else sum(len(c.strip()) for c in node.children if type(c) is str))
         size[id(node)] = n
         if node.parent is not None:
-            size[id(node.parent)] = size.get(id(node.parent), 0) + n
+            up = id(node.parent)
+            size[up] = size.get(up, 0) + n
+            if node.tag in TITLES or id(node) in titled:
+                titled.add(up)
+    for node in order[1:]:
+        if node.tag == "header" and node.doubt and id(node) in titled and id(node.parent) in inside:
+            node.doubt = 0
+        free[id(node)] = free[id(node.parent)] and not node.doubt
+    real = [n for n in order if n.tag in CONTAINERS and not n.doubt and size[id(n)]]
+    for node in real:
+        while node is not None and id(node) not in holds:
+            holds.add(id(node))
+            node = node.parent
+    sure = any(free[id(n)] for n in real)
     for node in order:
-        if node.wanted is None:
-            node.wanted = 2 * size[id(node)] > size[id(root)]
+        if node.doubt:
+            share = size[id(node)] > SHARES[node.doubt] * size[id(root)]
+            node.wanted = id(node) in holds or not sure and share
+
+
+class _Open:
+    """The open elements, and for every tag the places where it is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def nearest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: frozenset, scope: frozenset) -> None:
+        """Close the nearest element of ``tags``, unless one of ``scope`` is nearer."""
+        at = self.nearest(tags)
+        if at and at >= self.nearest(scope - tags):
+            self.cut(at)
+
+    def end(self, tag: str) -> bool:
+        """An end tag; an inline one closes no block that opened inside its element."""
+        at = self.nearest((tag,))
+        if at and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self.cut(at)
+            return True
+        return False
 
 
 def parse(page: str) -> Node:
-    """The page's tree; text is held as strings with references decoded."""
-    root = node = Node("#root", None)
-    at, size = 0, len(page)
+    """The page's tree; text is held as strings with references decoded. Time is linear in the page."""
+    root = Node("#root", None)
+    open_ = _Open(root)
+    at, size, last, endless = 0, len(page), max(page.rfind("<"), page.rfind(">")), set()
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
             lt = size
         if lt > at:
-            node.children.append(entities.unescape(page[at:lt]))
+            open_.nodes[-1].children.append(entities.unescape(page[at:lt]))
         if lt == size:
             break
         found = _TOKEN.match(page, lt)
         if not found:
             # a sign that opens no tag is text, unless the page is cut off in a tag
-            if re.match(r"</?[a-zA-Z]?[^<>]*\Z", page[lt:]) and (lt + 1 == size or page[lt + 1] in "/" or page[lt + 1].isalpha()):
+            if lt == last and (lt + 1 == size or page[lt + 1] in "/" or page[lt + 1].isalpha()):
                 break
-            node.children.append("<")
+            open_.nodes[-1].children.append("<")
             at = lt + 1
             continue
         at = found.end()
@@ -145,58 +226,35 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None and not (tag not in BLOCK and _crosses_block(node, up)):
-                node = up.parent
-            elif tag == "br":
-                node.children.append(Node("br", node))
+            if not open_.end(tag) and tag == "br":
+                open_.nodes[-1].children.append(Node("br", open_.nodes[-1]))
             continue
         if found[4] != ">":
             break  # cut off inside a tag
         if tag in CLOSES_P and tag != "p":
-            node = _close(node, _INLINE_IN_P["p"], _SCOPE["p"])
-        if tag in _INLINE_IN_P:
-            node = _close(node, _INLINE_IN_P[tag], _SCOPE[tag])
-        made = Node(tag, node, _wanted(tag, found[3]))
+            open_.close(_CLOSED["p"], _SCOPE["p"])
+        if tag in _CLOSED:
+            open_.close(_CLOSED[tag], _SCOPE[tag])
+        node = open_.nodes[-1]
+        made = Node(tag, node, *_judged(tag, found[3]))
         node.children.append(made)
         if tag in VOID or found[3].endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end:
                 at = end.end()
             elif tag in ("script", "style", "title", "textarea"):
                 break
+            else:
+                endless.add(tag)
             made.wanted = False
             continue
-        node = made
+        open_.push(made)
     _settle(root)
     return root
 
 
-def _crosses_block(node: Node, up: Node) -> bool:
-    """Whether an inline end tag would close a block that opened inside its element."""
-    while node is not up:
-        if node.tag in BLOCK:
-            return True
-        node = node.parent
-    return False
-
-
-def _close(node: Node, tags: frozenset, scope: frozenset) -> Node:
-    """The node to go on from once an open element of ``tags`` in scope is closed."""
-    up = node
-    while up.parent is not None:
-        if up.tag in tags:
-            return up.parent
-        if up.tag in scope:
-            return node
-        up = up.parent
-    return node
-
-
 def _measure(root: Node) -> tuple[Node, list[Node]]:
     """Count characters and tags of wanted parts, then densities; returns the body and all nodes in page order."""
     order, stack = [], [root]
@@ -274,7 +332,12 @@ def main_nodes(page: str) -> list[Node]:
     while up is not body:
         threshold = min(threshold, up.density)
         up = up.parent
-    chosen = {id(_whole(fullest[id(n)], body)) for n in inside if n.density >= threshold}
+    # the outermost article or main element around a node, or else the nearest block
+    whole: dict[int, Node] = {}
+    for node in inside:
+        up = whole.get(id(node.parent))
+        whole[id(node)] = up if up and (up.tag in CONTAINERS or node.tag not in BLOCK) else node
+    chosen = {id(whole[id(fullest[id(n)])]) for n in inside if n.density >= threshold}
     out, stack = [], [body]
     while stack:
         node = stack.pop()
@@ -285,18 +348,6 @@ def main_nodes(page: str) -> list[Node]:
     return out
 
 
-def _whole(node: Node, body: Node) -> Node:
-    """The content container that holds a chosen subtree, or else the block that it is part of."""
-    up = best = node
-    while up is not body:
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.parent
-    while best is not body and best.tag not in BLOCK:
-        best = best.parent
-    return best
-
-
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
