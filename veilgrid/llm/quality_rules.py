@@ -5,14 +5,21 @@ word as content or boilerplate. Viterbi decoding gives the best label sequence,
 the share of the document's words in content lines decides whether it stays. A few
 plain counts of the text reject documents beforehand.
 
-The field is trained here, on a bounded sample of labelled documents (parameter
-``sample``, taken by hash of the id): the document's quality label stands for each of
-its lines. Everything else runs over every row and whole texts in one map without a
-shuffle.
+The field is trained here, on a bounded sample of labelled documents (parameters
+``sample``, by hash of the id, and ``segments``, by hash of id and place: runs of at
+most SEGMENT lines, into which long documents are cut). Labels come by document, lines
+get theirs by self-training: first every line has its document's label and a field
+without transitions learns what lines of each kind look like; its decisions, such as
+proper sentences above a page of junk, or a menu in a good text, are the labels for a
+field with transitions, which decides once more for the last one. A document whose
+lines would all get the other label keeps its own. Everything else runs over every row
+and whole texts in one map without a shuffle.
 
 Null texts have no words and fail the base rules. Without a labelled document of each
-kind there is no field, and the base rules decide alone. Repeated rows are judged as
-often as they occur.
+kind there is no field, and the base rules decide alone. Repeated rows and rows without
+an id are judged as often as they occur. Of ``docs`` only doc_id and text are read;
+other columns, whatever their names, stay out of the verdicts and, in
+``retain_documents``, come along. A text may have any length: it is measured whole.
 """
 
 from __future__ import annotations
@@ -36,8 +43,10 @@ BOILERPLATE, CONTENT = 0, 1
 MIN_WORDS, MAX_REPEATED = 10, 20
 #: Least share of words in content lines for a document to stay.
 MIN_CONTENT_SHARE = 0.5
-#: Labelled documents to train on, and the most lines that one of them may have.
-SAMPLE, SAMPLE_LINES = 1500, 64
+#: Labelled documents to train on, runs of their lines, and lines of a run, at most.
+SAMPLE, SEGMENTS, SEGMENT = 1500, 6000, 64
+#: Times that lines get new labels.
+RELABEL = 2
 WINDOW = 5
 
 #: Upper ends of the bins that turn each measure of a line into indicator features.
@@ -153,26 +162,29 @@ class LineField:
         return self._list
 
     @classmethod
-    def train(cls, sequences: list[tuple[list[list[int]], int]], rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> LineField:
-        """Maximise the mean conditional log-likelihood of the label sequences by Adam steps.
+    def train(cls, features: list[list[list[int]]], labels: list[list[int]], weights: np.ndarray, chained: bool = True, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> LineField:
+        """Maximise the weighted conditional log-likelihood of the label sequences by Adam steps.
 
-        Both kinds of documents weigh the same in total, however many there are.
+        Without ``chained`` there are no transitions, and every line is on its own.
         """
-        n, steps = len(sequences), max(len(f) for f, _ in sequences)
-        x = np.zeros((n, steps, N_FEATURES), "float32")
-        y = np.array([label for _, label in sequences])
-        size = np.array([len(f) for f, _ in sequences])
-        for d, (rows, _) in enumerate(sequences):
-            for t, found in enumerate(rows):
-                x[d, t, found] = 1
+        size = np.array(list(map(len, features)))
+        n, steps = len(size), int(size.max())
+        row = np.repeat(np.arange(n), size)
+        at = np.concatenate([np.arange(k) for k in size])
+        x = np.zeros((len(row), N_FEATURES), "float32")
+        for line, found in enumerate(f for run in features for f in run):
+            x[line, found] = 1
+        said = np.eye(2)[np.concatenate([np.asarray(y, int) for y in labels])]
         live = np.arange(steps)[None, :] < size[:, None]
-        weight = (0.5 / np.bincount(y, minlength=2))[y] / size
+        wide = np.zeros((n, steps, 2))
+        wide[row, at] = said
+        changes = np.einsum("d,dta,dtb->ab", weights, wide[:, :-1], wide[:, 1:])
         theta = np.zeros(2 * N_FEATURES + 4)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        onehot = np.eye(2)[y]
         for it in range(1, rounds + 1):
             emit, move = theta[:-4].reshape(N_FEATURES, 2), theta[-4:].reshape(2, 2)
-            score = x @ emit.astype("float32")
+            score = np.zeros((n, steps, 2))
+            score[row, at] = x @ emit.astype("float32")
             up, down = np.zeros((n, steps, 2)), np.zeros((n, steps, 2))
             up[:, 0] = score[:, 0]
             for t in range(1, steps):
@@ -181,21 +193,44 @@ class LineField:
                 ahead = down[:, t + 1] + score[:, t + 1]
                 down[:, t] = np.where(live[:, t + 1, None], np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:]), 0)
             total = np.logaddexp(up[:, -1, 0], up[:, -1, 1])
-            prob = np.exp(up + down - total[:, None, None]) * live[..., None]
-            miss = (onehot[:, None, :] * live[..., None] - prob) * weight[:, None, None]
-            g_emit = np.einsum("dtf,dtl->fl", x, miss.astype("float32"))
+            miss = (said - np.exp(up[row, at] + down[row, at] - total[row, None])) * weights[row, None]
             g_move = np.zeros((2, 2))
-            for t in range(1, steps):
-                pair = np.exp(up[:, t - 1, :, None] + move + (score[:, t] + down[:, t])[:, None, :] - total[:, None, None])
-                g_move += np.einsum("d,dab->ab", weight * live[:, t], onehot[:, :, None] * onehot[:, None, :] - pair)
-            g = np.concatenate([g_emit.ravel(), g_move.ravel()]) - decay * theta
+            if chained:
+                pair = np.exp(up[:, :-1, :, None] + move + (score[:, 1:] + down[:, 1:])[:, :, None, :] - total[:, None, None, None])
+                g_move = changes - np.einsum("dt,dtab->ab", weights[:, None] * live[:, 1:], pair)
+            g = np.concatenate([(x.T @ miss.astype("float32")).ravel(), g_move.ravel()]) - decay * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta += rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
         return cls(theta[:-4].reshape(N_FEATURES, 2), theta[-4:].reshape(2, 2))
 
 
-def fit_line_field(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField | None:
-    """Train on at most ``sample`` labelled documents; None without both kinds of labels."""
+def self_train(runs: list[tuple[int, int, list[list[int]]]], relabel: int = RELABEL) -> LineField | None:
+    """A field from (document, label, features) of runs of lines; None without both labels.
+
+    Both kinds of documents weigh the same in total, and a document the same as any
+    other of its kind, however many lines it has.
+    """
+    if len({label for _, label, _ in runs}) < 2:
+        return None
+    documents = {doc: label for doc, label, _ in runs}
+    lines = Counter()
+    for doc, _, run in runs:
+        lines[doc] += len(run)
+    kinds = Counter(documents.values())
+    weights = np.array([0.5 / kinds[documents[doc]] / lines[doc] for doc, _, _ in runs])
+    features = [run for _, _, run in runs]
+    labels = [[label] * len(run) for _, label, run in runs]
+    field = LineField.train(features, labels, weights, chained=False)
+    for _ in range(relabel):
+        found = [field.viterbi(run) for run in features]
+        own = {doc for (doc, label, _), said in zip(runs, found) if label in said}
+        labels = [said if doc in own else [label] * len(said) for (doc, label, _), said in zip(runs, found)]
+        field = LineField.train(features, labels, weights)
+    return field
+
+
+def fit_line_field(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, segments: int = SEGMENTS) -> LineField | None:
+    """Train on at most ``segments`` runs of lines of ``sample`` labelled documents; None without both kinds of labels."""
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     # as many of each kind, as far as there are
     kinds = [ids.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for q in (0, 1)]
@@ -203,19 +238,16 @@ def fit_line_field(spark: SparkSession, docs: DataFrame, labels: DataFrame, samp
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(q, measure(t)[1]) for q, t in zip(frame["quality"].tolist(), frame["text"])]
-            rows = [(q, f) for q, f in rows if 0 < len(f) <= SAMPLE_LINES]
-            yield pd.DataFrame({"quality": [q for q, _ in rows], "lines": [f for _, f in rows]}).astype({"quality": "int32"})
+            rows = [(d, q, k, f[k : k + SEGMENT]) for d, q, t in zip(frame["doc_id"].tolist(), frame["quality"].tolist(), frame["text"]) for f in [measure(t)[1]] for k in range(0, len(f), SEGMENT)]
+            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "quality": [r[1] for r in rows], "line": [r[2] for r in rows], "lines": [r[3] for r in rows]}).astype({"doc_id": "int64", "quality": "int32", "line": "int64"})
 
-    found = (
+    runs = (
         bound_batches(docs).select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-        .select("quality", "text").mapInPandas(features, "quality int, lines array<array<int>>").collect()
+        .mapInPandas(features, "doc_id long, quality int, line long, lines array<array<int>>")
+        .orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line").limit(segments).collect()
     )
-    found = sorted((r.quality, r.lines) for r in found)
-    if len({q for q, _ in found}) < 2:
-        return None
-    return LineField.train([(lines, CONTENT if q else BOILERPLATE) for q, lines in found])
+    return self_train(sorted((r.doc_id, CONTENT if r.quality else BOILERPLATE, r.lines) for r in runs))
 
 
 def judge(text: str | None, field: LineField | None, min_share: float = MIN_CONTENT_SHARE) -> tuple[int, int, int, int, int, bool, float, bool]:
