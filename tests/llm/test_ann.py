@@ -1,6 +1,6 @@
 import numpy as np
 
-from veilgrid.llm.ann import _beam, _lifted, _prune, build_graph, every_nth, nearest
+from veilgrid.llm.ann import DEGREE, SHARD, SHARD_BYTES, _beam, _lifted, _prune, build_graph, every_nth, nearest, shard_size
 
 
 def brute(rows, k, every):
@@ -60,3 +60,17 @@ def test_beam_on_a_small_graph_finds_everything():
     ids, near = _beam(points, edges, entry, points[:4], 60)
     assert [sorted(x) for x in ids.tolist()] == [list(range(60))] * 4
     assert (np.diff(near, axis=1) >= 0).all() and ids[:, 0].tolist() == [0, 1, 2, 3]
+
+
+def test_shards_grow_slower_than_the_table():
+    sizes = [shard_size(n, 64) for n in (100, 10**4, 10**5, 10**6, 10**12)]
+    assert sizes[:2] == [SHARD, SHARD] and sizes == sorted(sizes)
+    assert all(10 * n / shard_size(10 * n, 64) < 5 * n / shard_size(n, 64) for n in (10**5, 10**6))
+    assert all(shard_size(10**12, d) * (20 * d + 8 * DEGREE) <= SHARD_BYTES for d in (2, 64, 1024, 4096))
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.0, 1.0]), (None, [1.0, 1.0]), (7, [0.6, 0.8]), (7, [0.6, 0.8]), (8, [0.6, 0.8])]
+    df = spark.createDataFrame([(i, v, "x", "y", 1, 2.0, [1]) for i, v in rows], "vec_id long, embedding array<float>, shard string, size string, id int, score double, ids array<int>")
+    found = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest(spark, df, every_nth(df)).orderBy("query_id", "rank").collect()]
+    assert found == [(20, 1, 7, 0.6), (20, 2, 8, 0.6), (20, 3, 40, 0.0), (40, 1, 7, 0.8), (40, 2, 8, 0.8), (40, 3, 20, 0.0)]

@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by largest inner product, on robust-pruned graphs.
 
-Distinct vectors are dealt by hash into shards of bounded size. In each shard a
-directed graph grows in batches: a greedy beam search on the graph so far proposes
+Distinct vectors are dealt by hash into shards. A shard grows with the square root of
+the table, up to a bound in bytes, so that searching every shard costs less than one
+comparison of all queries with all rows would; every shard goes to a task of its own. In
+each shard a directed graph grows in batches: a greedy beam search on the graph so far proposes
 neighbours for every new vector, relaxed distance pruning keeps a diverse few of
 them (one neighbour hides another that is much nearer to it than to the vector), and
-reverse edges are added and pruned likewise. Queries come in blocks and beam-search
-every shard; the best of all shards are scored again in double precision on the
-original vectors.
+reverse edges are added and pruned likewise. A shard with its graph is sent once for a
+chunk of many queries, which stream past it and beam-search it in small blocks; the
+best of all shards are scored again in double precision on the original vectors.
 
 Largest inner product becomes least distance by one more coordinate that gives all
 vectors of a shard the same length. Equal vectors are one node that stands for its
@@ -14,7 +16,8 @@ smallest ids, as many as a result can hold, so copies neither crowd the graph no
 get lost. Vectors that are null, empty or zero, or hold a null or non-finite
 component, take no part; queries meet vectors of their own dimension. Where there
 are fewer candidates than ``k``, all are returned. Rows that repeat an
-id count once for each distinct vector. An empty table gives an empty result.
+id count once for each distinct vector; rows without an id take no part. Columns but
+the two named are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilgrid.llm.common import Scratch, ship
+from veilgrid.llm.common import Scratch, bound_batches
 
 K, EVERY = 20, 20
-#: Distinct vectors in a shard at most (on average), queries in a block.
-SHARD, QUERY_BLOCK = 8192, 512
+#: Vectors of a shard on average: ROOT times the square root of all, at least SHARD, at most what fits SHARD_BYTES.
+SHARD, ROOT, SHARD_BYTES = 8192, 64, 256 << 20
+#: Queries that search a shard at once, bytes of their visited sets, and bytes of the queries that a shard is sent for.
+QUERY_BLOCK, SEEN_BYTES, CHUNK_BYTES = 512, 64 << 20, 64 << 20
 #: Edges of a node, beam while building and while searching, and the relaxation of the pruning.
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 64, 128, 1.2
 #: Salts that pre-select the smallest ids of a hot vector.
@@ -178,72 +183,121 @@ def _nodes(vectors: DataFrame, shards: int, k: int) -> DataFrame:
     return nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
 
 
-def _index(nodes: DataFrame) -> DataFrame:
+def shard_size(n: int, size: int) -> int:
+    """Vectors of a shard, for ``n`` vectors of ``size`` components."""
+    most = max(1, SHARD_BYTES // (20 * size + 8 * DEGREE))
+    return min(most, max(SHARD, int(ROOT * n**0.5)))
+
+
+def _indexed(shard: int, size: int, vectors: list, ids: list) -> pd.DataFrame:
+    held = np.array(vectors, np.float64)
+    edges, entry = build_graph(_lifted(held))
+    count = np.array([len(x) for x in ids], np.int64)
+    row = {"shard": shard, "size": size, "entry": entry, "vectors": held.tobytes(), "edges": edges.astype(np.int32).tobytes(), "counts": count.tobytes(), "ids": np.concatenate(ids).tobytes()}
+    return pd.DataFrame([row]).astype({"shard": "int32", "size": "int32", "entry": "int32"})
+
+
+def _index(nodes: DataFrame, shards: int) -> DataFrame:
     """One row for each shard and dimension: its vectors, ids, edges and entry as bytes."""
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ids", key=lambda s: s.map(lambda x: x[0]), kind="stable")
-        vectors = np.array(frame["vector"].tolist(), np.float64)
-        edges, entry = build_graph(_lifted(vectors))
-        count = np.array([len(x) for x in frame["ids"]], np.int64)
-        ids = np.concatenate([np.asarray(x, np.int64) for x in frame["ids"]])
-        row = {"shard": int(frame["shard"].iloc[0]), "size": vectors.shape[1], "entry": entry, "vectors": vectors.tobytes(), "edges": edges.astype(np.int32).tobytes(), "counts": count.tobytes(), "ids": ids.tobytes()}
-        return pd.DataFrame([row]).astype({"shard": "int32", "size": "int32", "entry": "int32"})
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, vectors, ids = None, [], []
+        for frame in frames:
+            for shard, size, vector, held in zip(frame["shard"], frame["size"], frame["vector"], frame["ids"]):
+                if (shard, size) != key and vectors:
+                    yield _indexed(*key, vectors, ids)
+                    vectors, ids = [], []
+                key = shard, size
+                vectors.append(vector)
+                ids.append(np.asarray(held, np.int64))
+        if vectors:
+            yield _indexed(*key, vectors, ids)
 
     schema = "shard int, size int, entry int, vectors binary, edges binary, counts binary, ids binary"
-    return nodes.withColumn("size", F.size("vector")).groupBy("shard", "size").applyInPandas(each, schema)
+    dealt = nodes.withColumn("size", F.size("vector")).repartitionById(shards, "shard").sortWithinPartitions("shard", "size", F.col("ids")[0])
+    return bound_batches(dealt.select("shard", "size", "vector", "ids")).mapInPandas(each, schema)
+
+
+class _Shard:
+    """One shard with its graph, ready to be searched."""
 
+    def __init__(self, row):
+        self.vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, row.size)
+        self.edges = np.frombuffer(row.edges, np.int32).reshape(len(self.vectors), -1).astype(np.int64)
+        self.ids, self.entry = np.frombuffer(row.ids, np.int64), row.entry
+        self.starts = np.concatenate([[0], np.cumsum(np.frombuffer(row.counts, np.int64))])
+        self.points = _lifted(self.vectors)
+        self.block = max(16, min(QUERY_BLOCK, SEEN_BYTES // len(self.vectors)))
 
-def _search(pairs: DataFrame, k: int, beam: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of one shard for each query of one block."""
+    def search(self, ids: list[int], queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        """(query, id, score) of the k best for each query, its own id left out."""
+        unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
+        aim = np.concatenate([unit, np.zeros((len(unit), 1))], 1).astype(np.float32)
+        found, _ = _beam(self.points, self.edges, self.entry, aim, min(len(self.vectors), max(beam, k + 1)))
+        for q, query, nodes in zip(ids, queries, found):
+            nodes = nodes[nodes >= 0]
+            scores = self.vectors[nodes] @ query
+            if len(nodes) > k + 1:  # a node has an id at least, and the query is one of them at most
+                near = scores >= np.partition(scores, -k - 1)[-k - 1]
+                nodes, scores = nodes[near], scores[near]
+            hits = [(-s, i) for s, n in zip(scores.tolist(), nodes.tolist()) for i in self.ids[self.starts[n] : self.starts[n + 1]].tolist() if i != q]
+            hits.sort()
+            for s, i in hits[:k]:
+                yield q, i, -s
+
+
+def _search(index: DataFrame, asked: DataFrame, shards: int, chunks: int, k: int, beam: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every shard for each query. A shard meets a chunk of queries in a task of their own."""
+    shard_columns = ["entry", "vectors", "edges", "counts", "ids"]
+    at_shard = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    at_query = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    task = (F.col("shard") * chunks + F.col("chunk")).cast("int").alias("task")
+    # no null among numbers, for pandas would turn them into floats
+    none = {c: F.lit(None).cast(t) for c, t in index.dtypes if c in shard_columns} | {"entry": F.lit(-1)}
+    every = at_shard.select(task, "size", *shard_columns, F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vector")).unionByName(
+        at_query.select(task, "size", *(none[c].alias(c) for c in shard_columns), "id", "vector")
+    )
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, at, ids, vectors = None, None, [], []
+
+        def ask() -> pd.DataFrame:
+            out = list(shard.search(ids, np.array(vectors, np.float64), k, beam)) if shard and ids else []
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
         for frame in frames:
-            for r in frame.itertuples(index=False):
-                vectors = np.frombuffer(r.vectors, np.float64).reshape(-1, r.size)
-                edges = np.frombuffer(r.edges, np.int32).reshape(len(vectors), -1).astype(np.int64)
-                count, ids = np.frombuffer(r.counts, np.int64), np.frombuffer(r.ids, np.int64)
-                starts = np.concatenate([[0], np.cumsum(count)])
-                points = _lifted(vectors)
-                query_ids = np.asarray(r.query_ids, np.int64)
-                queries = np.array([np.asarray(v, np.float64) for v in r.queries])
-                unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
-                aim = np.concatenate([unit, np.zeros((len(unit), 1))], 1).astype(np.float32)
-                width = min(len(vectors), max(beam, k + 1))
-                found, _ = _beam(points, edges, r.entry, aim, width)
-                out = []
-                for q, query, nodes in zip(query_ids.tolist(), queries, found):
-                    nodes = nodes[nodes >= 0]
-                    scores = vectors[nodes] @ query
-                    hits = [(-s, i) for s, n in zip(scores.tolist(), nodes.tolist()) for i in ids[starts[n] : starts[n + 1]].tolist() if i != q]
-                    hits.sort()
-                    out += [(q, i, -s) for s, i in hits[:k]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return pairs.mapInPandas(each, "query_id long, vec_id long, score double")
-
-
-def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, beam: int = BEAM) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of every query's k nearest rows but its own; ties go to the smaller id."""
-    ship(spark)
+            for row in frame.itertuples(index=False):
+                if (row.task, row.size) != at:
+                    yield ask()
+                    shard, at, ids, vectors = None, (row.task, row.size), [], []
+                if row.vectors is not None:
+                    shard = _Shard(row)
+                elif shard is not None:  # else the shard has no vectors of this dimension
+                    ids.append(int(row.id))
+                    vectors.append(row.vector)
+                    if len(ids) >= shard.block:
+                        yield ask()
+                        ids, vectors = [], []
+        yield ask()
+
+    dealt = every.repartitionById(shards * chunks, "task").sortWithinPartitions("task", "size", F.col("vectors").isNull(), "id")
+    return bound_batches(dealt).mapInPandas(each, "query_id long, vec_id long, score double")
+
+
+def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, beam: int = BEAM) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of every query's k nearest rows but its own; ties go to the smaller id.
+
+    ``shard``: vectors of a shard on average, instead of what ``shard_size`` gives.
+    """
     scratch = Scratch(spark, "ann")
     vectors = scratch.keep(valid_vectors(rows, id_col, vector_col))
-    shards = max(1, -(-vectors.count() // shard))
-    index = scratch.keep(_index(_nodes(vectors, shards, k + 1)))
-    asked = valid_vectors(queries, id_col, vector_col).dropDuplicates(["id"]).withColumn("size", F.size("vector"))
-    asked = scratch.keep(asked)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.groupBy("size", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list("id").alias("query_ids"), F.collect_list("vector").alias("queries"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = asked.join(index.hint("merge"), ["shard", "size"])
-    # a row holds a whole shard, so few may share a batch
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "2")
-    try:
-        hits = scratch.keep(_search(pairs.drop("block"), k, beam))
-    finally:
-        spark.conf.set(name, before)
+    n, size = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    shards = max(1, -(-n // (shard or shard_size(n, size))))
+    index = scratch.keep(_index(_nodes(vectors, shards, k + 1), shards))
+    asked = scratch.keep(valid_vectors(queries, id_col, vector_col).dropDuplicates(["id"]).withColumn("size", F.size("vector")))
+    # enough chunks to bound one, and to give every core a task
+    chunks = max(1, -(-asked.count() * 8 * size // CHUNK_BYTES), -(-spark.sparkContext.defaultParallelism // shards))
+    hits = scratch.keep(_search(index, asked, shards, chunks, k, beam))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(by).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
