@@ -4,12 +4,16 @@ Rows are ordered by (hash of the text, hash of the id), so equal texts stand sid
 side. Shard borders come from exact byte counts: a first histogram over the top bits
 of the key, then, for each border that still misses its target by more than the
 tolerance, finer probes inside the one cell it falls into, between the smallest and
-largest key there. A border may end up inside a group of equal texts when the group
-is larger than the tolerance allows. Each round is one aggregation with a bounded
-result; the rows themselves move once, to the cell that numbers their slots.
-
-Null texts count as no bytes. Rows equal in id and text have equal keys and stay in
-one shard. An empty table gives an empty result. Only DataFrame functions run.
+largest key there. A border takes the nearest edge of a group of equal texts if that misses
+the target by no more than GROUP_TOLERANCE of a shard, so groups of up to twice that
+never part; only a larger group, which no shard could absorb, is cut, to the finer
+tolerance. Each round is one aggregation with a bounded result; the rows themselves
+move once, to the cell that numbers their slots.
+
+Null texts count as no bytes and are equal to each other; rows without an id are placed
+like any other. Rows equal in id and text have equal keys and stay in one shard. A very
+long text may fill more than a shard. An empty table gives an empty result. Only
+DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Part of a shard's bytes by which a border may miss.
 TOLERANCE = 0.002
+#: The same where the border falls into a group of equal texts and would cut it.
+GROUP_TOLERANCE = 0.05
 #: A round has 2**PROBE_BITS probes inside a cell; after so many rounds the nearest border is taken.
 PROBE_BITS, ROUNDS = 9, 24
 #: Cells that number slots: rows above 1/HEAVY of all (and above HEAVY_ROWS) split a cell.
@@ -82,13 +88,13 @@ def _probe(keys: DataFrame, cells: list[tuple[int, int, int, int]]) -> dict[int,
     return out
 
 
-def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[list[tuple[int, int] | None], list]:
+def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE, rounds: int = ROUNDS) -> tuple[list[tuple[int, int] | None], list]:
     """Keys at which the shards 1, 2, ... begin, and the first round's histogram."""
     whole = (LOW, HIGH, LOW, HIGH)
     first = _probe(keys, [whole]).get(0, [])
     total = sum(r.bytes for r in first)
     borders = [_Border(total * k / shards) for k in range(1, shards)]
-    slack = tolerance * total / shards
+    slack, group_slack = tolerance * total / shards, group_tolerance * total / shards
     histograms = {whole: first}
     for _ in range(rounds):
         for b in (b for b in borders if b.cell):
@@ -115,7 +121,8 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
                 hi = (r.max_key1_ + 1, LOW) if r.max_key1_ < HIGH else None
             edges = [(below, lo), (below + r.bytes, hi)]
             least = one and r.min_key2_ == r.max_key2_
-            if least or min(abs(e[0] - b.want) for e in edges) <= slack:
+            # edges of a first key's only value are those of a group of equal texts
+            if least or min(abs(e[0] - b.want) for e in edges) <= (group_slack if one and by_first else slack):
                 b.settle(edges)
             else:
                 b.below, b.cell = below, (r.min_key1_, r.max_key1_, r.min_key2_, r.max_key2_)
@@ -130,7 +137,7 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return [b.at for b in borders], first
 
 
-def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Columns of these names that ``docs`` already has are replaced.
@@ -138,7 +145,7 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, toler
     scratch = Scratch(spark, "sharding")
     keyed = _keys(docs, id_col, text_col)
     keys = scratch.keep(keyed.select("key1_", "key2_", "size_"))
-    at, first = splitters(keys, shards, tolerance)
+    at, first = splitters(keys, shards, tolerance, group_tolerance)
     above = [(F.col("key1_") > a) | ((F.col("key1_") == a) & (F.col("key2_") >= b)) for a, b in filter(None, at)]
     shard = reduce(lambda x, y: x + y, [c.cast("int") for c in above], F.lit(0))
     most = max(HEAVY_ROWS, sum(r.rows for r in first) // HEAVY)
