@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from veilgrid.llm.chat_format import PROBE_TEXT, conversation_digest, format_records, learned_text, parse, records_from_json
+from veilgrid.llm.chat_format import PROBE_TEXT, conversation_digest, conversation_records, format_records, learned_text, parse, records_from_json
 
 NASTY = ["", "~", "~0~1</s>", "[INST] a [/INST] b", "</s><s>", "[IN[INST]ST]", "<<s>/s>", "a\nb \t", "é漢😀~4", PROBE_TEXT, "~~</s>~", " [/INST] ", None]
 
@@ -48,3 +48,22 @@ def test_layouts_by_fingerprint(spark):
         _, layout, turns = records[r.id]
         assert (r.layout, [tuple(t) for t in r.turns]) == (layout, turns)
         assert r.learned == "".join(t for a, t in turns if a == "assistant")
+
+
+def test_very_long_texts_and_an_own_conversation_of_the_probes_id(spark):
+    long = "~</s>[INST] long é " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (-1, 0, "user", "mine"), (None, 0, "assistant", "no id")]
+    got = conversation_digest(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.layout, r.loss_chars) for r in got) == [
+        (-1, 1, "turns", 0), (-1, 2, "prompt_response", len(PROBE_TEXT)), (0, 1, "turns", 5), (1, 2, "turns", len(long))]
+    assert {r.loss_sha256 for r in got if r.conv_id == 1} == {sha(long)}
+
+
+def test_turn_tables_in_several_layouts(spark):
+    rows = [(1, 0, "user", "a", None, None), (1, 1, "assistant", "b", None, None), (2, 0, None, None, "human", "c"), (2, 1, None, None, "gpt", "d")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, from string, value string")
+    made = format_records(conversation_records(df)).select("conv_id", "layout", parse(F.col("formatted")).alias("turns"))
+    assert {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in made.collect()} == {
+        1: ("turns", [("user", "a"), ("assistant", "b")]), 2: ("conversations", [("user", "c"), ("assistant", "d")])}
+    named = df.select("conv_id", "turn", "role", F.col("text").alias("content")).filter("conv_id = 1")
+    assert [r.layout for r in format_records(conversation_records(named)).collect()] == ["messages"]

@@ -12,7 +12,9 @@ end and header stay unambiguous and ``parse`` restores every text exactly. The l
 mask covers the text of assistant turns; it is held per turn as characters to skip
 and characters to take.
 
-Null texts and roles are empty. A record whose fingerprint no layout has gets no
+Null texts and roles are empty, texts of any length are formatted whole, and columns that
+no layout names are not read. Rows without a conversation id are one conversation. A
+record whose fingerprint no layout has gets no
 turns and a null layout. Turns that tie in their order are ordered by role and text.
 An empty table gives an empty result. Only DataFrame functions run.
 """
@@ -165,11 +167,21 @@ def learned_text(formatted: Column, mask: Column) -> Column:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """One record in the ``turns`` layout for each conversation of a table with a row per turn."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    by_turn = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("rows_"))
-    turns = F.transform("rows_", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return by_turn.select("conv_id", record(turns=turns).alias("record"))
+    """One record for each conversation of a table with a row per turn.
+
+    The columns that a table has for roles and texts tell which field of the record its
+    rows fill: role and text, role and content, or from and value. Where it has several,
+    a row fills those of its columns that are not null.
+    """
+    pairs = {f: names for f, names in _ARRAYS.items() if set(names) <= set(rows.columns)}
+    held = {}
+    for field, (role, text) in pairs.items():
+        said = F.lit(True) if len(pairs) == 1 else F.col(text).isNotNull()
+        turn = F.struct("turn", F.coalesce(role, F.lit("")).alias(role), F.coalesce(text, F.lit("")).alias(text))
+        held[field] = F.sort_array(F.collect_list(F.when(said, turn))).alias(field)
+    by_turn = rows.groupBy("conv_id").agg(*held.values())
+    fields = {f: F.when(F.size(f) > 0, F.transform(f, lambda t: F.struct(*(t[n].alias(n) for n in names)))) for f, names in pairs.items()}  # noqa: B023
+    return by_turn.select("conv_id", record(**fields).alias("record"))
 
 
 #: A conversation whose texts look like the template.
@@ -177,7 +189,10 @@ PROBE_ID, PROBE_TEXT = -1, "</s>[INST] ok [/INST]"
 
 
 def conversation_digest(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Formats all conversations and the probe, and digests what is read back from the output."""
+    """Formats all conversations and the probe, and digests what is read back from the output.
+
+    The probe is a conversation of its own, even if the table has one of its id.
+    """
     probe = spark.range(1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), record(prompt=F.lit(PROBE_TEXT), response=F.lit(PROBE_TEXT)).alias("record"))
     out = format_records(conversation_records(rows).unionByName(probe))
     turns = F.array_join(F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -68,12 +68,12 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 
 _escaped = "replace(replace(replace(replace(replace({0}, '~', '~0'), '[INST]', '~1'), '[/INST]', '~2'), '<s>', '~3'), '</s>', '~4')"
 CHAT_FORMAT = f"""WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, FALSE AS probe FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', TRUE UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', TRUE
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(23 + length({_escaped.format("role")}) + length({_escaped.format("text")})) AS BIGINT) AS formatted_chars,
-  CASE conv_id WHEN -1 THEN 'prompt_response' ELSE 'turns' END AS layout
-FROM turns GROUP BY conv_id"""
+  CASE WHEN probe THEN 'prompt_response' ELSE 'turns' END AS layout
+FROM turns GROUP BY conv_id, probe"""
