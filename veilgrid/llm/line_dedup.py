@@ -9,7 +9,13 @@ first place (by document and line) that has the same; each join fixes a diagonal
 the pair of documents with the distance of the positions. Along a diagonal the match
 is extended both ways, line by line, and every run of equal lines with ``min_words``
 words or more is deleted from the later place. The earliest place of every line so
-deleted stays.
+deleted stays; of a passage that repeats inside itself (forty equal short lines), that
+is the first line alone, however short. Only whole equal lines are compared: a passage
+whose ends lie inside longer lines keeps those.
+
+Windows are joined by all their lines, not by the fingerprint alone, for the first place
+of a line need not be the first of the run around it, and pairing all places of a line
+that many documents share would grow with the square of their number.
 
 Lines without a word are not compared and stay. Null texts stay null; a document
 whose lines all go keeps an empty text. Rows that repeat a doc_id are one
