@@ -57,7 +57,7 @@ def test_scan_of_a_file(spark):
 def test_names(spark):
     types = taxonomy.data_types(spark)
     cases = {
-        "email": ("email", 0.9, None), "userEmail": ("email", 0.85, None), "maskedPhone": ("phone", 0.85, "masked"), "emailValidator": None, "isEmail": None, "customer_first_name": ("person_name", 0.85, None),
+        "email": ("email", 0.9, None), "userEmail": ("email", 0.85, None), "maskedPhone": ("phone", 0.85, "masked"), "emailValidator": None, "isEmail": None, "phonePlatform": None, "walletAddress": None, "tokenExpirationDate": None, "githubTrackData": None, "home_address": ("address", 0.9, None), "customer_first_name": ("person_name", 0.85, None),
         "SSNNumber": ("us_ssn", 0.72, None), "workemails": ("email", 0.55, None), "microphone": None, "ip": ("ip_address", 0.65, None), "sha256Email": ("email", 0.72, "sha256"), "cardLast4": None, "x": None, "c_phone": ("phone", 0.72, None),
     }
     df = spark.createDataFrame([(k,) for k in cases], "name string")
@@ -71,10 +71,10 @@ def test_names(spark):
 
 def test_taxonomy_merge_and_lookup(spark):
     base = taxonomy.data_types(spark)
-    extra = taxonomy.load(spark, "email | contact | phi | |\n+ electronic mail\nbadge_id | identity | pii | |\n+ badge id")
+    extra = taxonomy.load(spark, '{"data_types": [{"id": "email", "category": "contact", "class": "phi", "patterns": ["electronic mail"]}, {"id": "badge_id", "category": "identity", "class": "pii", "patterns": ["badge id"]}]}')
     merged = taxonomy.merge(base, extra)
     assert merged.count() == len(taxonomy.DATA_TYPES) + 1
     rows = spark.createDataFrame([("email",), ("badge_id",), ("pci",), ("unheard",)], "data_type string")
     assert {(r.data_type, r["class"], r.category, r.raised) for r in taxonomy.lookup(rows, merged).collect()} == {("email", "phi", "contact", True), ("badge_id", "pii", "identity", False), ("pci", "pci", "custom", True), ("unheard", "pii", "custom", False)}
     with pytest.raises(ValueError):
-        taxonomy.parse("a | b | c | maybe |")
+        taxonomy.load(spark, '{"data_types": [{"id": "a", "class": "pii", "pattern": ["x"]}]}')

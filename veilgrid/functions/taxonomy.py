@@ -1,8 +1,7 @@
 """The default taxonomy: classes, data types with their name patterns, and value patterns.
 
 All of it is data: ``load`` reads a taxonomy document and ``merge`` replaces types by id
-and appends new ones. The default leaves out the longest lists of excluded words; a
-deployment brings them in its own document.
+and appends new ones.
 """
 
 from __future__ import annotations
@@ -10,109 +9,189 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.sources.documents import records
+
 #: Fixed values: (class, severity or None).
 CLASSES = [("pii", None), ("phi", "high"), ("pci", "high"), ("credential", "high")]
 
-#: Fixed values, a block per data type: id, category, class, sensitive, severity; then patterns, weak patterns and excluded words.
-DATA_TYPES_TEXT = """
-email | contact | pii | |
-+ email, e mail, email address, email addr, mail address
-~ mail
-- server, host, smtp, port, provider, domain
-phone | contact | pii | |
-+ phone, phone number, phone no, phonenumber, mobile, mobile number, mobile no, msisdn, telephone, cellphone, cell phone
-~ tel
-person_name | identity | pii | |
-+ full name, fullname, first name, firstname, last name, lastname, given name, family name, surname, middle name, legal name, customer name, patient name, holder name, account holder
-- file, class, type, host, field, column, table, package, module, app, bucket, method, func, function, event, screen, tag, attr, attribute, font, theme, bundle
-dob | identity | pii | |
-+ dob, date of birth, birth date, birthdate, birthday, birth day, year of birth, birth year
-address | location | pii | |
-+ street address, home address, billing address, shipping address, postal address, mailing address, residential address, zip code, zipcode, postal code, postcode
-~ address
-ip_address | online | pii | |
-+ ip address, ipaddress, ip addr, ipaddr, client ip, remote ip, user ip, remote addr, remote address, x forwarded for, real ip
-~ ip
-- server, bind, listen, host, gateway, dns, proxy, subnet, cidr, range, allow, block, whitelist, allowlist
-national_id | identity | pii | | high
-+ national id, nationalid, citizen id, citizenid, identity number, identity card, id card, idcard, id number, nric, identification number, personal id, personal number, aadhaar
-~ nid, nin
-us_ssn | identity | pii | | high
-+ ssn, social security, social security number, ss number
-passport | identity | pii | | high
-+ passport, passport number, passport no
-drivers_license | identity | pii | | high
-+ driver license, drivers license, driving license, driving licence, driver licence, license number
-tax_id | identity | pii | | high
-+ tax id, taxid, tax code, taxcode, tax number, tax identification
-~ tin
-insurance_id | identity | pii | | high
-+ social insurance, health insurance number, insurance number, medicare number, nhs number
-credit_card | financial | pci | sensitive |
-+ card number, cardnumber, card no, credit card, creditcard, debit card, cc number, ccnumber, cc num, primary account number, card pan, pan number, full pan, card data, card details
-~ pan
-- type, brand, network, view, layout, icon, logo, scheme, last4, last, 4, bin, masked, token, tokenized
-card_security_code | financial | pci | sensitive |
-+ cvv, cvc, cvv2, cvc2, cvn, card cvv, card cvc, card security code, security code, card verification value, card verification code, card verification, verification value
-~ csc
-- length, len, field, input, label, hint, help, placeholder, mask, masked, required, valid, invalid, check, otp, sms, mfa, totp, access, door, building, alarm, pin, http, status, country, region, zip, postal
-card_expiry | financial | pci | |
-+ card expiry, card expiration, card exp, cc expiry, cc exp, exp month, exp year, expiry month, expiry year, expiration month, expiration year, valid thru, valid through, expiry mm yy, exp mm yy
-~ expiry date, expiration date, exp date
-card_track_data | financial | pci | sensitive | high
-+ track data, track 1, track 2, track 1 data, track 2 data, track1, track2, magnetic stripe, mag stripe, magstripe, stripe data, pin block, pinblock, card pin, encrypted pin, emv data, chip data, icc data, discretionary data
-cardholder_name | financial | pci | |
-+ cardholder name, card holder name, cardholder, card holder, name on card, embossed name
-- file, class, type, host, field, column, table, package, module, app, bucket, method, func, function, event, screen, tag, attr, attribute, font, theme, bundle, id, agreement, present, not present
-bank_account | financial | pii | sensitive |
-+ bank account, bankaccount, account number, accountnumber, account no, acct number, acct no, iban, routing number
-request_data | request | pii | |
-location | location | pii | sensitive |
-+ latitude, longitude, lat lng, latlng, lat long, geolocation, geo location, gps, coordinates, current location, user location, last location
-~ lat, lng, lon, location
-- file, url, path, dir, header, bucket, storage, code, source, line, column, offset, permission, service, manager, enabled, settings, request, provider, client
-device_id | device | pii | |
-+ imei, imsi, android id, androidid, device id, deviceid, idfa, idfv, gaid, advertising id, advertisingid, ad id, adid, udid, mac address, macaddress, hardware id, fcm token, push token, device token, registration token, serial number
-- type, model, name, os, kind
-gender | demographic | pii | |
-+ gender
-~ sex
-ethnicity | demographic | pii | sensitive |
-+ ethnicity, ethnic, ethnic group
-~ race
-- condition, data, detector, check, trace
-religion | demographic | pii | sensitive |
-+ religion, religious
-health | health | phi | sensitive |
-+ diagnosis, medical record, medical history, health record, health condition, blood type, prescription, medication, allergy, allergies, disease, icd10
-- code, service, api, check, endpoint
-biometric | biometric | pii | sensitive |
-+ biometric, biometrics, face template, face embedding, face vector, face id, faceprint, fingerprint template, fingerprint image, voiceprint, voice print, iris scan
-license_plate | identity | pii | |
-+ license plate, licence plate, plate number, number plate
-medical_record_number | health | phi | sensitive |
-+ medical record number, medical record no, medical record id, mrn, patient number, health record number
-password | secret | credential | |
-+ password, passwd, passphrase, pass phrase
-~ pwd
-- policy, strength, rule, rules, reset, forgot, forgotten, recovery, expiry, expiration, expires, age, complexity, requirement, requirements, visibility, visible, toggle, encoder, hasher, hint, length
-api_key | secret | credential | |
-+ api key, x api key, access key, subscription key, api token
-- header, name, env, var, variable, param, query, id
-access_token | secret | credential | |
-+ access token, auth token, authentication token, authorization token, bearer token, refresh token, id token, oauth token, personal access token
-- header, name, env, type, expiry, expires, expiration, url, endpoint, lifetime, ttl, uri
-secret_key | secret | credential | |
-+ secret key, client secret, secret access key, signing key, signing secret, app secret, api secret, webhook secret, jwt secret, shared secret, master key, encryption key, hmac key, hmac secret
-~ secret
-- name, arn, ref, path, env, file, filename, version, manager, header, id
-private_key | secret | credential | |
-+ private key, priv key, privkey
-- path, file, filename, id, env, name, alias
-session_token | secret | credential | |
-+ session token, session id, session cookie, session key, session secret, sessionid
-- timeout, ttl, expiry, expires, name, duration, length, header, store, storage, manager
-"""
+def data_type(id: str, category: str, cls: str, *, sensitive: bool = False, severity: str | None = None, patterns: str = "", weak: str = "", exclude: str = "") -> dict:
+    """A data type; the lists are separated by commas."""
+    words = lambda x: [w.strip() for w in x.split(",") if w.strip()]
+    return {"id": id, "category": category, "class": cls, "sensitive": sensitive, "severity": severity, "patterns": words(patterns), "weak": words(weak), "exclude": words(exclude)}
+
+
+#: Id, category and class, whether sensitive, severity; phrases, phrases that say little, and words beside which they mean something else.
+DATA_TYPE_RECORDS = [
+    data_type(
+        "email", "contact", "pii",
+        patterns="email, e mail, email address, email addr, mail address",
+        weak="mail",
+        exclude="server, host, smtp, port, provider, domain",
+    ),
+    data_type(
+        "phone", "contact", "pii",
+        patterns="phone, phone number, phone no, phonenumber, mobile, mobile number, mobile no, msisdn, telephone, cellphone, cell phone",
+        weak="tel",
+        exclude="app, os, platform, frame, layout, screen, device, sdk, version, notch, portrait, landscape, web, tablet, redirect, uri, url, link, deeplink, scheme, client, build, view, menu, nav, navigation, breakpoint, style, theme, width, viewport, only, first",
+    ),
+    data_type(
+        "person_name", "identity", "pii",
+        patterns="full name, fullname, first name, firstname, last name, lastname, given name, family name, surname, middle name, legal name, customer name, patient name, holder name, account holder",
+        exclude="file, class, type, host, field, column, table, package, module, app, bucket, method, func, function, event, screen, tag, attr, attribute, font, theme, bundle",
+    ),
+    data_type(
+        "dob", "identity", "pii",
+        patterns="dob, date of birth, birth date, birthdate, birthday, birth day, year of birth, birth year",
+    ),
+    data_type(
+        "address", "location", "pii",
+        patterns="street address, home address, billing address, shipping address, postal address, mailing address, residential address, zip code, zipcode, postal code, postcode",
+        weak="address",
+        exclude="ip, ipv4, ipv6, mac, memory, wallet, server, remote, local, bind, listen, base, host, web, url, uri, socket, net, network, peer, proxy, gateway, contract, email, mail, ptr, pointer, offset, bluetooth, ble, hw, hardware, broadcast, multicast, sender, public, return, bar, book, resolver, dns, node, api, endpoint, virtual, physical",
+    ),
+    data_type(
+        "ip_address", "online", "pii",
+        patterns="ip address, ipaddress, ip addr, ipaddr, client ip, remote ip, user ip, remote addr, remote address, x forwarded for, real ip",
+        weak="ip",
+        exclude="server, bind, listen, host, gateway, dns, proxy, subnet, cidr, range, allow, block, whitelist, allowlist",
+    ),
+    data_type(
+        "national_id", "identity", "pii", severity="high",
+        patterns="national id, nationalid, citizen id, citizenid, identity number, identity card, id card, idcard, id number, nric, identification number, personal id, personal number, aadhaar",
+        weak="nid, nin",
+    ),
+    data_type(
+        "us_ssn", "identity", "pii", severity="high",
+        patterns="ssn, social security, social security number, ss number",
+    ),
+    data_type(
+        "passport", "identity", "pii", severity="high",
+        patterns="passport, passport number, passport no",
+    ),
+    data_type(
+        "drivers_license", "identity", "pii", severity="high",
+        patterns="driver license, drivers license, driving license, driving licence, driver licence, license number",
+    ),
+    data_type(
+        "tax_id", "identity", "pii", severity="high",
+        patterns="tax id, taxid, tax code, taxcode, tax number, tax identification",
+        weak="tin",
+    ),
+    data_type(
+        "insurance_id", "identity", "pii", severity="high",
+        patterns="social insurance, health insurance number, insurance number, medicare number, nhs number",
+    ),
+    data_type(
+        "credit_card", "financial", "pci", sensitive=True,
+        patterns="card number, cardnumber, card no, credit card, creditcard, debit card, cc number, ccnumber, cc num, primary account number, card pan, pan number, full pan, card data, card details",
+        weak="pan",
+        exclude="type, brand, network, view, layout, icon, logo, scheme, last4, last, 4, bin, masked, token, tokenized",
+    ),
+    data_type(
+        "card_security_code", "financial", "pci", sensitive=True,
+        patterns="cvv, cvc, cvv2, cvc2, cvn, card cvv, card cvc, card security code, security code, card verification value, card verification code, card verification, verification value",
+        weak="csc",
+        exclude="length, len, field, input, label, hint, help, placeholder, mask, masked, required, valid, invalid, check, otp, sms, mfa, totp, access, door, building, alarm, pin, http, status, country, region, zip, postal",
+    ),
+    data_type(
+        "card_expiry", "financial", "pci",
+        patterns="card expiry, card expiration, card exp, cc expiry, cc exp, exp month, exp year, expiry month, expiry year, expiration month, expiration year, valid thru, valid through, expiry mm yy, exp mm yy",
+        weak="expiry date, expiration date, exp date",
+        exclude="token, session, cookie, cert, certificate, license, licence, key, password, otp, code, coupon, promo, voucher, offer, discount, subscription, plan, trial, cache, ttl, lease, contract, domain, warranty, insurance, passport, visa, membership, document, product, batch, lot, food, lock, link, url, invite, invitation, order, quote, bid, reservation, booking, hold, policy, permit, id, grant, consent, deadline, ticket, pass",
+    ),
+    data_type(
+        "card_track_data", "financial", "pci", sensitive=True, severity="high",
+        patterns="track data, track 1, track 2, track 1 data, track 2 data, track1, track2, magnetic stripe, mag stripe, magstripe, stripe data, pin block, pinblock, card pin, encrypted pin, emv data, chip data, icc data, discretionary data",
+        exclude="github, repo, git, gps, audio, music, playlist, song, album, race, running, fitness, activity, analytics, event, changes, order, shipment, package, parcel, delivery, api, http, route, service, user, usage, issue, bug, error, time, progress, visitor, click, pixel, zebra",
+    ),
+    data_type(
+        "cardholder_name", "financial", "pci",
+        patterns="cardholder name, card holder name, cardholder, card holder, name on card, embossed name",
+        exclude="file, class, type, host, field, column, table, package, module, app, bucket, method, func, function, event, screen, tag, attr, attribute, font, theme, bundle, id, agreement, present, not present",
+    ),
+    data_type(
+        "bank_account", "financial", "pii", sensitive=True,
+        patterns="bank account, bankaccount, account number, accountnumber, account no, acct number, acct no, iban, routing number",
+    ),
+    data_type(
+        "request_data", "request", "pii",
+    ),
+    data_type(
+        "location", "location", "pii", sensitive=True,
+        patterns="latitude, longitude, lat lng, latlng, lat long, geolocation, geo location, gps, coordinates, current location, user location, last location",
+        weak="lat, lng, lon, location",
+        exclude="file, url, path, dir, header, bucket, storage, code, source, line, column, offset, permission, service, manager, enabled, settings, request, provider, client",
+    ),
+    data_type(
+        "device_id", "device", "pii",
+        patterns="imei, imsi, android id, androidid, device id, deviceid, idfa, idfv, gaid, advertising id, advertisingid, ad id, adid, udid, mac address, macaddress, hardware id, fcm token, push token, device token, registration token, serial number",
+        exclude="type, model, name, os, kind",
+    ),
+    data_type(
+        "gender", "demographic", "pii",
+        patterns="gender",
+        weak="sex",
+    ),
+    data_type(
+        "ethnicity", "demographic", "pii", sensitive=True,
+        patterns="ethnicity, ethnic, ethnic group",
+        weak="race",
+        exclude="condition, data, detector, check, trace",
+    ),
+    data_type(
+        "religion", "demographic", "pii", sensitive=True,
+        patterns="religion, religious",
+    ),
+    data_type(
+        "health", "health", "phi", sensitive=True,
+        patterns="diagnosis, medical record, medical history, health record, health condition, blood type, prescription, medication, allergy, allergies, disease, icd10",
+        exclude="code, service, api, check, endpoint",
+    ),
+    data_type(
+        "biometric", "biometric", "pii", sensitive=True,
+        patterns="biometric, biometrics, face template, face embedding, face vector, face id, faceprint, fingerprint template, fingerprint image, voiceprint, voice print, iris scan",
+    ),
+    data_type(
+        "license_plate", "identity", "pii",
+        patterns="license plate, licence plate, plate number, number plate",
+    ),
+    data_type(
+        "medical_record_number", "health", "phi", sensitive=True,
+        patterns="medical record number, medical record no, medical record id, mrn, patient number, health record number",
+    ),
+    data_type(
+        "password", "secret", "credential",
+        patterns="password, passwd, passphrase, pass phrase",
+        weak="pwd",
+        exclude="policy, strength, rule, rules, reset, forgot, forgotten, recovery, expiry, expiration, expires, age, complexity, requirement, requirements, visibility, visible, toggle, encoder, hasher, hint, length",
+    ),
+    data_type(
+        "api_key", "secret", "credential",
+        patterns="api key, x api key, access key, subscription key, api token",
+        exclude="header, name, env, var, variable, param, query, id",
+    ),
+    data_type(
+        "access_token", "secret", "credential",
+        patterns="access token, auth token, authentication token, authorization token, bearer token, refresh token, id token, oauth token, personal access token",
+        exclude="header, name, env, type, expiry, expires, expiration, url, endpoint, lifetime, ttl, uri",
+    ),
+    data_type(
+        "secret_key", "secret", "credential",
+        patterns="secret key, client secret, secret access key, signing key, signing secret, app secret, api secret, webhook secret, jwt secret, shared secret, master key, encryption key, hmac key, hmac secret",
+        weak="secret",
+        exclude="name, arn, ref, path, env, file, filename, version, manager, header, id",
+    ),
+    data_type(
+        "private_key", "secret", "credential",
+        patterns="private key, priv key, privkey",
+        exclude="path, file, filename, id, env, name, alias",
+    ),
+    data_type(
+        "session_token", "secret", "credential",
+        patterns="session token, session id, session cookie, session key, session secret, sessionid",
+        exclude="timeout, ttl, expiry, expires, name, duration, length, header, store, storage, manager",
+    ),
+]
 
 #: Data type, detector, expression, keywords, confidence, least entropy in bits a byte.
 VALUE_PATTERNS = [
@@ -132,27 +211,26 @@ VALUE_PATTERNS = [
 TYPE_SCHEMA = "ord int, data_type string, category string, class string, sensitive boolean, severity string, patterns array<string>, weak array<string>, exclude array<string>"
 
 
-def parse(text: str) -> list[tuple]:
-    """Rows of TYPE_SCHEMA from a taxonomy document; unknown marks and repeated ids are errors."""
-    rows: list[list] = []
-    for line in filter(None, map(str.strip, text.splitlines())):
-        mark, words = line[0], [w.strip() for w in line[1:].split(",") if w.strip()]
-        if mark in "+~-" and line[1:2] == " ":
-            if not rows:
-                raise ValueError("a list stands before the first data type")
-            rows[-1][6 + "+~-".index(mark)] += words
-            continue
-        cells = [c.strip() for c in line.split("|")]
-        if len(cells) != 5 or not cells[0] or cells[3] not in ("", "sensitive"):
-            raise ValueError(f"not a data type: {line}")
-        rows.append([len(rows), cells[0], cells[1], cells[2], cells[3] == "sensitive", cells[4] or None, [], [], []])
+_FIELDS = ("id", "category", "class", "sensitive", "severity", "patterns", "weak", "exclude")
+
+
+def rows_of(records: list[dict]) -> list[tuple]:
+    """Rows of TYPE_SCHEMA from records; unknown fields, missing ids and classes, and repeated ids are errors."""
+    rows = []
+    for k, r in enumerate(records):
+        if not isinstance(r, dict) or not r.get("id") or not r.get("class"):
+            raise ValueError(f"a data type needs an id and a class: {r}")
+        if unknown := set(r) - {*_FIELDS, "label"}:
+            raise ValueError(f"unknown fields of {r['id']}: {sorted(unknown)}")
+        lists = [[str(w) for w in r.get(f) or []] for f in _FIELDS[5:]]
+        rows.append((k, r["id"], r.get("category") or "custom", r["class"], bool(r.get("sensitive")), r.get("severity"), *lists))
     ids = [r[1] for r in rows]
     if len(ids) != len(set(ids)):
         raise ValueError("a data type is repeated")
-    return [tuple(r) for r in rows]
+    return rows
 
 
-DATA_TYPES = parse(DATA_TYPES_TEXT)
+DATA_TYPES = rows_of(DATA_TYPE_RECORDS)
 
 
 def data_types(spark: SparkSession) -> DataFrame:
@@ -160,8 +238,8 @@ def data_types(spark: SparkSession) -> DataFrame:
 
 
 def load(spark: SparkSession, text: str) -> DataFrame:
-    """A taxonomy document as a table of data types."""
-    return spark.createDataFrame(parse(text), TYPE_SCHEMA)
+    """A taxonomy document (JSON, or YAML where a reader for it is installed) with a list ``data_types``."""
+    return spark.createDataFrame(rows_of(records(text, "data_types")), TYPE_SCHEMA)
 
 
 def merge(base: DataFrame, extra: DataFrame) -> DataFrame:

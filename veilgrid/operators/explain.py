@@ -25,6 +25,7 @@ def story(decided: DataFrame, steps: DataFrame) -> DataFrame:
     where = F.when(F.col("dest_host") != "", F.concat("dest_kind", F.lit(" "), "dest_host")).otherwise(F.col("dest_kind"))
     sink = decided.select("flow", F.lit(2).alias("a"), F.lit(0).alias("b"), F.lit("sink").alias("part"), F.format_string("%s:%d matches %s, which sends to %s", "sink_file", "sink_line", "sink_rule", where).alias("text"))
     said = decided.select("flow", F.lit(3).alias("a"), F.lit(0).alias("b"), F.lit("policy").alias("part"), F.concat("status", F.lit(": "), "reason").alias("text"))
-    more = decided.select("flow", F.posexplode("changes").alias("b", "text")).select("flow", F.lit(4).alias("a"), "b", F.lit("change").alias("part"), "text")
+    more = decided.select("flow", F.posexplode("changes").alias("b", "c")).select(
+        "flow", F.lit(4).alias("a"), "b", F.lit("change").alias("part"), F.format_string("%s: %s %s, then %s", "c.setting", "c.action", "c.value", "c.status").alias("text"))
     every = source.unionByName(way).unionByName(sink).unionByName(said).unionByName(more)
     return every.withColumn("place", F.row_number().over(Window.partitionBy("flow").orderBy("a", "b"))).select("flow", "place", "part", "text")

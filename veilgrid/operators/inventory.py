@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilgrid.functions.ranking import with_place
+from veilgrid.sources.scratch import kept
 
 EXAMPLES, SOURCES = 5, 6
 #: The order of destination kinds, and kinds of declarations that persist.
@@ -80,7 +81,7 @@ def graph(flows: DataFrame, steps: DataFrame, callers: DataFrame) -> tuple[DataF
     hops = chain.withColumn("to_id", F.lead("id").over(Window.partitionBy("flow").orderBy("at"))).filter("to_id IS NOT NULL AND id != to_id")
     data = hops.join(f.select("flow", "data_type"), "flow").select(F.col("id").alias("from_id"), "to_id", "data_type", F.lit(False).alias("calls"))
     called = callers.join(entry, "flow").select(F.concat(F.lit("fn:"), "function").alias("from_id"), F.col("entry").alias("to_id"), F.lit(None).cast("string").alias("data_type"), F.lit(True).alias("calls")).filter("from_id != to_id")
-    edges = data.unionByName(called).groupBy("from_id", "to_id").agg(F.array_sort(F.collect_set("data_type")).alias("data_types"), F.bool_and("calls").alias("calls"))
+    edges = kept(data).unionByName(called).groupBy("from_id", "to_id").agg(F.array_sort(F.collect_set("data_type")).alias("data_types"), F.bool_and("calls").alias("calls"))
     kinds = F.array(*map(F.lit, ["caller", "function", "source", "sink"]))
     nodes = (
         chain.join(f.select("flow", "rank"), "flow").select("id", F.when(F.col("at") == -1, 3).when(F.col("at") == 2**31 - 1, 4).otherwise(2).alias("k"), "rank")

@@ -8,13 +8,14 @@ of the rules' own size.
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilgrid.sources.documents import records
+
 KINDS = ("sink", "source", "transform", "api")
 RULE_SCHEMA = (
     "ord int, id string, kind string, lang array<string>, call array<string>, receiver string, match_bare boolean, args array<int>, all_args boolean, "
@@ -56,17 +57,11 @@ def validate(rule: dict) -> None:
         raise ValueError(f"{rule['id']}: argument indexes start at 0, the receiver is -1")
 
 
-def load(spark: SparkSession, *documents: str) -> DataFrame:
+def load(spark: SparkSession, *texts: str) -> DataFrame:
     """Rules of YAML or JSON documents, later ones replacing earlier ones of their id; disabled rules drop out."""
     rows: dict[str, tuple] = {}
-    for text in documents:
-        try:
-            held = json.loads(text)
-        except json.JSONDecodeError:
-            import yaml
-
-            held = yaml.safe_load(text)
-        for rule in held["rules"] if isinstance(held, dict) else held:
+    for text in texts:
+        for rule in records(text, "rules"):
             validate(rule)
             dest, arg = rule.get("dest", {}), rule.get("arg", "*")
             indexes = [] if arg == "*" else [arg] if isinstance(arg, int) else list(arg)

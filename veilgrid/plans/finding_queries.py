@@ -103,7 +103,7 @@ def flow_fingerprints(spark, _):
 def _accepted(spark, sf_dir):
     cards = _cards(spark, sf_dir)
     gone = spark.createDataFrame([("0" * 24, "literal", "email", None, None, None, "gone")], cards.sparkSession.createDataFrame([], "fingerprint string, kind string, data_type string, sink_rule string, dest string, function string, file string").schema)
-    return cards, baseline.create(None, cards.filter("doc_id % 2 = 0"), "doc_id").unionByName(gone)
+    return cards, baseline.create(None, cards.filter("confidence < 0.9"), "doc_id").unionByName(gone)
 
 
 def marked(spark, sf_dir):
@@ -113,7 +113,7 @@ def marked(spark, sf_dir):
 
 def unseen(spark, sf_dir):
     cards, accepted = _accepted(spark, sf_dir)
-    return baseline.unseen(accepted, cards.filter("doc_id % 4 != 0")).select("fingerprint", "file")
+    return baseline.unseen(accepted, cards).select("fingerprint", "file")
 
 
 def created(spark, sf_dir):
@@ -232,14 +232,17 @@ def csv_inventory(spark, _):
     return reports.flow_inventory(_applied(spark)).select("data_type", "sink_rule", "dest_kind", "transforms", "guards", "file", "line", "violation")
 
 
+def _changed(spark):
+    return policy.changes(policy.decide(_flows(spark), POLICY), POLICY)
+
+
 def policy_changes(spark, _):
-    made = policy.changes(policy.decide(_flows(spark), POLICY), POLICY)
-    return made.filter("status = 'violation'").select("flow", F.size("changes").cast("long").alias("n_changes"), F.element_at("changes", -1).alias("last_change"))
+    said = F.transform("changes", lambda c: F.concat_ws(" ", c["setting"], c["action"], c["value"], F.lit("->"), c["status"]))
+    return _changed(spark).select("flow", "reason", F.array_join(said, "; ").alias("changes"))
 
 
 def explained(spark, _):
-    made = policy.changes(policy.decide(_flows(spark), POLICY), POLICY)
-    return explain.story(made, STEPS.df(spark)).filter("part != 'policy' AND part != 'change'")
+    return explain.story(_changed(spark), STEPS.df(spark))
 
 
 def picked(spark, _):
@@ -248,7 +251,11 @@ def picked(spark, _):
 
 
 def mermaid(spark, _):
-    return inventory.mermaid(_graph(spark)[1]).agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("-.->"))).alias("n_calls"))
+    return inventory.mermaid(_graph(spark)[1])
+
+
+def dot_rows(spark, _):
+    return inventory.dot(*_graph(spark)).select(F.col("line").cast("long").alias("line"), "text")
 
 
 FOUND = Fixture(
@@ -264,7 +271,7 @@ def file_rules(spark, _):
 # ---------------------------------------------------------------- SQL
 
 _cards_cte = "cards AS (" + _cards_sql("documents", "doc_id", "text") + "),\nprinted AS (SELECT *, " + digest_sql("'literal'", "data_type", "CAST(doc_id AS VARCHAR)", "value_hash") + " AS fingerprint FROM cards)"
-_accepted_cte = _cards_cte + ",\naccepted AS (SELECT DISTINCT fingerprint, CAST(doc_id AS VARCHAR) AS file FROM printed WHERE doc_id % 2 = 0 UNION ALL SELECT repeat('0', 24), 'gone')"
+_accepted_cte = _cards_cte + ",\naccepted AS (SELECT DISTINCT fingerprint, CAST(doc_id AS VARCHAR) AS file FROM printed WHERE confidence < 0.9 UNION ALL SELECT repeat('0', 24), 'gone')"
 _marked_cte = _accepted_cte + ",\nmarked AS (SELECT *, fingerprint IN (SELECT fingerprint FROM accepted) AS baselined FROM printed)"
 _flow_ctes = (FLOWS, CLASSES_SQL, KNOWN_SQL, DECIDED_SQL)
 _applied_cte = "applied AS (SELECT *, status = 'violation' AS violation, CASE WHEN dest_vendor != '' THEN dest_vendor WHEN dest_host != '' THEN dest_host ELSE dest_kind || ' (unknown host)' END AS name FROM stated WHERE status != 'dropped')"
@@ -275,6 +282,14 @@ chain AS (SELECT flow, step AS place, 'fn:' || function AS id FROM said
   UNION ALL SELECT flow, -1, 'src:' || data_type || ':' || CASE WHEN source_desc != '' THEN source_desc ELSE sink_file || ':' || sink_line END FROM applied
   UNION ALL SELECT flow, 2147483647, 'sink:' || sink_rule || ':' || sink_file || ':' || sink_line FROM applied),
 called AS (SELECT c.flow, 'fn:' || c.function AS id FROM callers c WHERE c.flow IN (SELECT flow FROM applied))"""
+_nodes_cte = """nodes AS (SELECT id, CASE max(k) WHEN 1 THEN 'caller' WHEN 2 THEN 'function' WHEN 3 THEN 'source' ELSE 'sink' END AS kind,
+  CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS severity
+FROM (SELECT c.id, CASE WHEN place = -1 THEN 3 WHEN place = 2147483647 THEN 4 ELSE 2 END AS k, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank FROM chain c JOIN applied USING (flow)
+  UNION ALL SELECT id, 1, 0 FROM called) GROUP BY id)"""
+_edges_cte = """edges AS (SELECT from_id, to_id, coalesce(list_sort(list(DISTINCT data_type) FILTER (data_type IS NOT NULL)), []) AS data_types, bool_and(calls) AS calls FROM (
+  SELECT c.id AS from_id, c.to_id, a.data_type, FALSE AS calls FROM (SELECT flow, id, lead(id) OVER (PARTITION BY flow ORDER BY place) AS to_id FROM chain) c JOIN applied a USING (flow)
+  UNION ALL SELECT k.id, e.entry, NULL, TRUE FROM called k JOIN (SELECT flow, 'fn:' || arg_min(function, step) AS entry FROM said GROUP BY flow) e USING (flow)
+) WHERE from_id != to_id GROUP BY from_id, to_id)"""
 _rate_sql = """CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall"""
 _eval_cte = f"""thresholds AS (SELECT unnest([{", ".join(map(str, evaluate.THRESHOLDS))}])::DOUBLE AS threshold),
 said AS (SELECT flow, CASE WHEN flow <= 3 OR flow = 14 THEN 'a' ELSE 'b' END AS "case", data_type, sink_rule, function, threshold FROM flows, thresholds WHERE confidence >= threshold),
@@ -295,11 +310,29 @@ _notes_cte = f"""seen0 AS (SELECT *, regexp_extract(content, '{_note_re}', 1) AS
 seen AS (SELECT *, min(CASE WHEN mark = '' THEN line END) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS target FROM seen0),
 notes AS (SELECT file, mark, trim(u) AS rule_id, target AS line FROM (SELECT file, mark, target, unnest(string_split(ids, ',')) AS u FROM seen WHERE mark != ''))"""
 
+_own = "CASE class WHEN 'credential' THEN 'policy.classes.credential.' ELSE 'policy.' END"  # settings that the class has lists of its own for
+_told_cte = f"""told AS (SELECT *, CASE decided_by
+    WHEN 'ignored class' THEN 'policy.ignore_classes: ' || class WHEN 'confidence' THEN 'min_confidence: ' || printf('%.2f', confidence) || ' < 0.35'
+    WHEN 'first party' THEN 'first_party_domains: ' || dest_host WHEN 'destination' THEN {_own} || 'fail_on: no ' || dest_kind
+    WHEN 'policy confidence' THEN 'policy.min_confidence: ' || printf('%.2f', confidence) || ' < 0.55'
+    WHEN 'transform' THEN {_own} || 'safe_transforms: ' || array_to_string(transforms, ', ') WHEN 'consent' THEN 'policy.consent_guarded: ' || dest_kind || ' after ' || array_to_string(guards, '; ')
+    WHEN 'allow' THEN CASE entry WHEN 1 THEN 'policy.allow[1]: seed data' ELSE 'policy.allow[2]: ' END ELSE {_own} || 'fail_on: ' || dest_kind || ' at ' || printf('%.2f', confidence) END AS reason,
+  list_filter([
+    CASE decided_by WHEN 'confidence' THEN ['min_confidence', 'lower', printf('%.2f', floor(confidence * 100 + 1e-9) / 100), 'shown'] WHEN 'first party' THEN ['first_party_domains', 'remove', dest_host, 'violation']
+      WHEN 'destination' THEN [{_own} || 'fail_on', 'add', dest_kind, 'violation'] WHEN 'policy confidence' THEN ['policy.min_confidence', 'lower', printf('%.2f', floor(confidence * 100 + 1e-9) / 100), 'violation']
+      WHEN 'transform' THEN [{_own} || 'safe_transforms', 'remove', array_to_string(transforms, ', '), 'violation'] WHEN 'consent' THEN ['policy.consent_guarded', 'remove', dest_kind, 'violation']
+      WHEN 'allow' THEN ['policy.allow', 'remove', CAST(entry AS VARCHAR), 'violation'] END,
+    CASE WHEN status = 'violation' AND dest_host != '' AND dest_kind IN ('network', 'third_party') THEN ['first_party_domains', 'add', dest_host, 'info'] END,
+    CASE WHEN status = 'violation' AND len(guards) > 0 THEN ['policy.consent_guarded', 'add', dest_kind, 'allowed'] END,
+    CASE WHEN status = 'violation' AND len(transforms) > 0 THEN ['policy.safe_transforms', 'add', array_to_string(transforms, ', '), 'allowed'] END,
+    CASE WHEN status = 'violation' AND confidence - 0.55 < 0.1 THEN ['policy.min_confidence', 'raise', printf('%.2f', confidence), 'info'] END,
+    CASE WHEN status = 'violation' THEN [{_own} || 'fail_on', 'remove', dest_kind, 'info'] END], lambda c: c IS NOT NULL) AS changes FROM stated)"""
+
 QUERIES = {
     "P01_decide": decide, "P03_allow": allow, "P05_severity": severity, "P04_literals": literal_policy, "B01_fingerprints": fingerprints, "B01_flow_fingerprints": flow_fingerprints,
     "B03_mark": marked, "B03_unseen": unseen, "B04_create": created, "M01_recipients": recipients, "M02_data_types": type_inventory, "M03_stores": stores, "G01_nodes": graph_nodes,
     "G01_edges": graph_edges, "V01_counts": report_counts, "V02_sorted": report_places, "A01_score": score, "A03_sweep": sweep, "A04_by_parts": by_parts, "A05_gates": gates,
-    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory, "P06_changes": policy_changes, "E01_story": explained, "E02_select": picked, "IO15_mermaid": mermaid, "L25_file_rules": file_rules,
+    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory, "P06_changes": policy_changes, "E01_story": explained, "E02_select": picked, "IO15_mermaid": mermaid, "IO15_dot": dot_rows, "L25_file_rules": file_rules,
 }
 
 ORACLE_SQL = {
@@ -308,19 +341,22 @@ ORACLE_SQL = {
   SELECT CASE WHEN baselined THEN 'note' ELSE 'error' END AS level FROM marked
   UNION ALL SELECT CASE WHEN NOT violation THEN 'note' WHEN severity = 'high' THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END FROM applied) GROUP BY level""",
     "IO14_csv": with_(*_flow_ctes, _applied_cte) + "SELECT data_type, sink_rule, dest_kind, array_to_string(transforms, ';') AS transforms, array_to_string(guards, ';') AS guards, sink_file AS file, sink_line AS line, violation FROM applied",
-    "P06_changes": with_(*_flow_ctes) + """SELECT flow, CAST(dest_host != '' AND dest_kind IN ('network', 'third_party') AS BIGINT) + CAST(len(guards) > 0 AS BIGINT) + CAST(len(transforms) > 0 AS BIGINT) + CAST(confidence - 0.55 < 0.1 AS BIGINT) + 1 AS n_changes,
-  'removing ' || dest_kind || ' from `policy.' || CASE class WHEN 'credential' THEN 'classes.credential.' ELSE '' END || 'fail_on` would make every ' || CASE class WHEN 'credential' THEN 'credential flow into ' || dest_kind ELSE dest_kind || ' flow' END || ' informational' AS last_change
-FROM stated WHERE status = 'violation'""",
-    "E01_story": with_(FLOWS, STEPS) + """, parts AS (
+    "P06_changes": with_(*_flow_ctes, _told_cte) + "SELECT flow, reason, array_to_string(list_transform(changes, lambda c: c[1] || ' ' || c[2] || ' ' || c[3] || ' -> ' || c[4]), '; ') AS changes FROM told",
+    "E01_story": with_(*_flow_ctes, _told_cte, STEPS) + """, parts AS (
   SELECT flow, 0 AS a, 0 AS b, 'source' AS part, CASE WHEN source_desc != '' THEN source_desc ELSE 'a value' END || ' holds ' || data_type AS text FROM flows
   UNION ALL SELECT flow, 1, step, 'step', 'through ' || function FROM steps
-  UNION ALL SELECT flow, 2, 0, 'sink', sink_file || ':' || sink_line || ' matches ' || sink_rule || ', which sends to ' || dest_kind || CASE WHEN dest_host != '' THEN ' ' || dest_host ELSE '' END FROM flows)
+  UNION ALL SELECT flow, 2, 0, 'sink', sink_file || ':' || sink_line || ' matches ' || sink_rule || ', which sends to ' || dest_kind || CASE WHEN dest_host != '' THEN ' ' || dest_host ELSE '' END FROM flows
+  UNION ALL SELECT flow, 3, 0, 'policy', status || ': ' || reason FROM told
+  UNION ALL SELECT flow, 4, generate_subscripts(changes, 1), 'change', unnest(list_transform(changes, lambda c: c[1] || ': ' || c[2] || ' ' || c[3] || ', then ' || c[4])) FROM told)
 SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY a, b) AS INTEGER) AS place, part, text FROM parts""",
     "E02_select": "SELECT unnest([1, 14, 7]) AS flow",
-    "IO15_mermaid": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte) + """, edges AS (SELECT from_id, to_id, bool_and(calls) AS calls FROM (
-  SELECT c.id AS from_id, c.to_id, FALSE AS calls FROM (SELECT flow, id, lead(id) OVER (PARTITION BY flow ORDER BY place) AS to_id FROM chain) c
-  UNION ALL SELECT k.id, e.entry, TRUE FROM called k JOIN (SELECT flow, 'fn:' || arg_min(function, step) AS entry FROM said GROUP BY flow) e USING (flow)) WHERE from_id != to_id GROUP BY from_id, to_id)
-SELECT count(*) AS n, count(*) FILTER (calls) AS n_calls FROM edges""",
+    "IO15_mermaid": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte, _edges_cte) + """SELECT '  n' || substr(sha256(from_id), 1, 8) || '["' || replace(from_id, '"', '\'\'') || '"]' ||
+  CASE WHEN calls THEN ' -.-> ' ELSE ' -->|' || array_to_string(data_types, ', ') || '| ' END || 'n' || substr(sha256(to_id), 1, 8) || '["' || replace(to_id, '"', '\'\'') || '"]' AS text FROM edges""",
+    "IO15_dot": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte, _edges_cte, _nodes_cte) + """, parts AS (
+  SELECT 0 AS part, 'digraph flows {' AS text UNION ALL SELECT 3, '}'
+  UNION ALL SELECT 1, '  "' || replace(id, '"', '\\"') || '" [class=' || kind || '];' FROM nodes
+  UNION ALL SELECT 2, '  "' || replace(from_id, '"', '\\"') || '" -> "' || replace(to_id, '"', '\\"') || '"' || CASE WHEN calls THEN ' [style=dashed]' ELSE ' [label="' || array_to_string(data_types, ', ') || '"]' END || ';' FROM edges)
+SELECT CAST(row_number() OVER (ORDER BY part, text) AS BIGINT) AS line, text FROM parts""",
     "L25_file_rules": with_(FOUND) + f"""SELECT * FROM (SELECT file, test, data_type, class, CASE WHEN test AND class != 'credential' THEN floor(confidence * 0.6 * 100 + 0.5) / 100 ELSE confidence END AS confidence FROM found)
 WHERE confidence >= 0.6 AND NOT (data_type = 'email' AND (regexp_matches('/' || lower(file), '/(i18n|l10n|locales|locale|translations)/') OR regexp_matches(upper(regexp_extract(file, '[^/]*$')), '^({"|".join(literals.COMMUNITY_FILES)})')))""",
     "P03_allow": with_(*_flow_ctes[:3]) + f"SELECT flow, {ALLOW_SQL} AS entry FROM known",
@@ -329,7 +365,7 @@ WHERE confidence >= 0.6 AND NOT (data_type = 'email' AND (regexp_matches('/' ||
     "B01_fingerprints": "WITH " + _cards_cte + "\nSELECT doc_id, line, col, fingerprint FROM printed",
     "B01_flow_fingerprints": with_(FLOWS) + f"SELECT flow, {digest_sql(sql_value('flow'), 'data_type', 'sink_rule', 'dest_host', 'function').replace('|| chr(0) || function', '|| chr(124) || dest_kind || chr(0) || function')} AS fingerprint FROM flows",
     "B03_mark": "WITH " + _marked_cte + "\nSELECT doc_id, line, col, baselined, NOT baselined AS is_new FROM marked",
-    "B03_unseen": "WITH " + _accepted_cte + "\nSELECT fingerprint, file FROM accepted WHERE fingerprint NOT IN (SELECT fingerprint FROM printed WHERE doc_id % 4 != 0)",
+    "B03_unseen": "WITH " + _accepted_cte + "\nSELECT fingerprint, file FROM accepted WHERE fingerprint NOT IN (SELECT fingerprint FROM printed)",
     "B04_create": "WITH " + _cards_cte + "\nSELECT DISTINCT fingerprint, 'literal' AS kind, data_type, CAST(doc_id AS VARCHAR) AS file FROM printed",
     "M01_recipients": with_(*_flow_ctes, _applied_cte) + f"""SELECT CAST(row_number() OVER (ORDER BY {_kind_rank}, name, dest_kind, dest_host, dest_vendor) AS INTEGER) AS place, name, dest_kind, flows, violations, data_types, sinks, transforms, held AS examples
 FROM (SELECT dest_kind, dest_host, dest_vendor, any_value(name) AS name, count(*) AS flows, count(*) FILTER (violation) AS violations, list_sort(list(DISTINCT data_type)) AS data_types,
@@ -340,14 +376,8 @@ FROM (SELECT data_type, list_sort(list(DISTINCT name)) AS r FROM applied GROUP B
 FULL JOIN (SELECT data_type, list_sort(list(DISTINCT regexp_replace(store, '^table:', '')) FILTER (kind IN ('entity', 'table', 'proto'))) AS s FROM hints GROUP BY data_type) USING (data_type)
 FULL JOIN (SELECT data_type, count(*) AS n FROM printed GROUP BY data_type) USING (data_type)""",
     "M03_stores": with_(HINTS) + "SELECT store, kind, list_sort(list(DISTINCT field || '=' || data_type)) AS fields FROM hints GROUP BY store, kind",
-    "G01_nodes": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte) + """SELECT id, CASE max(k) WHEN 1 THEN 'caller' WHEN 2 THEN 'function' WHEN 3 THEN 'source' ELSE 'sink' END AS kind,
-  CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS severity
-FROM (SELECT c.id, CASE WHEN place = -1 THEN 3 WHEN place = 2147483647 THEN 4 ELSE 2 END AS k, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank FROM chain c JOIN applied USING (flow)
-  UNION ALL SELECT id, 1, 0 FROM called) GROUP BY id""",
-    "G01_edges": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte) + """SELECT from_id, to_id, coalesce(list_sort(list(DISTINCT data_type) FILTER (data_type IS NOT NULL)), []) AS data_types, bool_and(calls) AS calls FROM (
-  SELECT c.id AS from_id, c.to_id, a.data_type, FALSE AS calls FROM (SELECT flow, id, lead(id) OVER (PARTITION BY flow ORDER BY place) AS to_id FROM chain) c JOIN applied a USING (flow)
-  UNION ALL SELECT k.id, e.entry, NULL, TRUE FROM called k JOIN (SELECT flow, 'fn:' || arg_min(function, step) AS entry FROM said GROUP BY flow) e USING (flow)
-) WHERE from_id != to_id GROUP BY from_id, to_id""",
+    "G01_nodes": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte, _nodes_cte) + "SELECT * FROM nodes",
+    "G01_edges": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte, _edges_cte) + "SELECT * FROM edges",
     "V01_counts": with_(*_flow_ctes, _applied_cte, _marked_cte) + """SELECT 'flow' AS finding, count(*) FILTER (violation) AS n_new, CAST(0 AS BIGINT) AS n_baselined, count(*) FILTER (NOT violation) AS n_accepted FROM applied
 UNION ALL SELECT 'literal', count(*) FILTER (NOT baselined), count(*) FILTER (baselined), CAST(0 AS BIGINT) FROM marked HAVING count(*) > 0""",
     "V02_sorted": "WITH " + _marked_cte + "\nSELECT doc_id, line, col, row_number() OVER (ORDER BY baselined, doc_id, line, col, data_type) AS place FROM marked",
