@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     docs = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 14)))) for i in range(150)] + [(200, None), (201, ""), (202, "a b c d e f g\n" * 40)]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, line string, pos int")
     made = dedup_lines(spark, df, min_words=7)
-    assert made.columns == ["doc_id", "text", "line", "pos", "n_lines_removed"]
+    assert made.columns == ["doc_id", "text", "line", "pos", "n_lines_removed", "n_words_removed"]
     gone = brute(docs, 7)
     assert len(gone) > 100
     got = {r.doc_id: (r.text, r.n_lines_removed) for r in made.collect()}
@@ -58,3 +58,12 @@ def test_repeated_ids_and_empty_table(spark):
     # the null id sorts first and keeps the passage; everything later loses it
     assert rows == [((False, 0, ""), 0), ((False, 0, text), 0), ((True, 1, ""), 2), ((True, 1, ""), 2), ((True, 2, "last"), 2)]
     assert dedup_lines(spark, df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"line {k} of a very long text that goes on and on {k * 7}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, long + "\nits own end"), (3, "before\n" + long[: len(long) // 2])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in dedup_lines(spark, docs).collect()}
+    assert rows[1].text == long and rows[2].text == "its own end" and rows[2].n_lines_removed == 20_000
+    assert rows[2].n_words_removed == 20_000 * 13
+    assert rows[3].text.startswith("before") and len(rows[3].text) < 80

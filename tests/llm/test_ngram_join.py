@@ -62,3 +62,10 @@ def test_grams_are_words_in_sequence():
     assert gram_set("A\tb  c", 3).tolist() == gram_set("a b\x0cc", 3).tolist() != gram_set("a bc", 3).tolist()
     assert gram_set("É b c", 3).tolist() != gram_set("é b c", 3).tolist()
     assert gram_set("a b", 3).tolist() != gram_set("a b", 2).tolist()
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k * 7919 % 100_003}" for k in range(100_000))
+    docs = spark.createDataFrame([(5, long), (6, long + " one more"), (7, long[: len(long) // 2]), (8, "w1 w2 w3")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in components(spark, docs).collect()}
+    assert got == {5: (99_998, 5), 6: (100_000, 5), 7: (got[7][0], 7), 8: (1, 8)}

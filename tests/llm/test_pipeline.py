@@ -1,10 +1,19 @@
+import itertools
+import random
+import re
+import string
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from veilgrid.llm.common import Scratch
-from veilgrid.llm.quality_rules import measure
+from veilgrid.llm import oracles
+from veilgrid.llm.common import WORD, Scratch
+from veilgrid.llm.quality_classifier import _row_features, fit_quality
+from veilgrid.llm.quality_rules import fit_line_field, judge, measure
+
+WORDS, LOWER = re.compile(WORD), str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -46,3 +55,112 @@ def test_stages(spark):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def written(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def odd_documents(spark):
+    """Odd rows among plain ones, in a table with columns whose names the operators use themselves."""
+    rnd = random.Random(14)
+    words = "the river of stones went over bright fields near an old town and its people sang".split()
+    # distinct words make the texts distinct
+    sentence = lambda k, n: " ".join(f"{rnd.choice(words)}{rnd.choice('abcdefgh')}{k if j % 3 == 0 else ''}" for j in range(n)).capitalize() + "."
+    texts = [(i, "\n".join(sentence(i, rnd.randint(12, 25)) for _ in range(rnd.randint(2, 5)))) for i in range(60)]
+    texts += [(100 + i, " ".join(f"{w.upper()}!!" for w in rnd.choices(words, k=40)) + f" {i}!!") for i in range(40)]
+    long = "\n".join(sentence(1000 + k, 18) for k in range(1500))
+    base = dict(texts)
+    texts += [(200, None), (201, ""), (202, " \n "), (203, long), (None, sentence(77, 30)), (None, None), (5, base[5]), (5, base[5]), (204, base[7]), (205, base[8].replace("the", "thy", 1)), (206, long + "\n" + sentence(99, 14))]
+    names = "doc kept hash size id gram n_words n_lines_removed score label component_id piece sequence_id offset".split()
+    rows = [(i, t, "en", "s", None if t is None else len(t), *("x",) * len(names)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in [*range(0, 60, 2), *range(100, 140, 2)]] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    docs, labels = odd_documents(spark)
+    folder = written(spark, tmp_path, docs, labels)
+    now, columns = docs, docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    scratch = Scratch(spark, "test-odd")
+    kept = {}
+    for name in list(stages)[:-1]:
+        now = scratch.keep(stages[name](spark, now, folder))
+        assert now.columns == columns
+        kept[name] = sorted((r.doc_id is None, r.doc_id) for r in now.collect())
+        # every stage also takes the odd rows themselves and an empty table
+        out = stages[name](spark, docs, folder)
+        assert out.columns == columns and out.count() <= docs.count()
+        assert stages[name](spark, docs.limit(0), folder).count() == 0
+    ids = {n: [i for _, i in v] for n, v in kept.items()}
+    assert not {100 + i for i in range(40)} & set(ids["quality_rules"]) and {200, 201, 202}.isdisjoint(ids["quality_rules"])
+    assert set(range(60)) | {203, 206} <= set(ids["quality_classifier"]) and ids["quality_classifier"].count(5) == 3
+    assert ids["line_dedup"].count(5) <= 1 and 206 not in ids["line_dedup"]  # it kept one line of 1,501
+    assert 203 in ids["ngram_jaccard_join"] and {204, 205}.isdisjoint(ids["ngram_jaccard_join"])
+    assert set(range(60)) <= set(ids["ngram_jaccard_join"])
+    packed = stages["best_fit_packing"](spark, now, folder).collect()
+    assert {r.doc_id for r in packed} == set(ids["ngram_jaccard_join"]) and max(r.offset + r.length for r in packed) <= 4096
+    assert stages["best_fit_packing"](spark, docs, folder).count() >= docs.count()
+    assert stages["best_fit_packing"](spark, docs.limit(0), folder).count() == 0
+
+
+def test_without_labels_only_the_base_rules_reject(spark, tmp_path):
+    docs, labels = odd_documents(spark)
+    folder = written(spark, tmp_path, docs, labels.limit(0))
+    out = corpus_pipeline.rules(spark, docs, folder)
+    assert sorted(r.text for r in out.collect()) == sorted(r.text for r in docs.collect() if not judge(r.text, None)[5])
+    assert corpus_pipeline.classifier(spark, docs, folder).count() == docs.count()
+
+
+def test_stages_against_brute_force(spark):
+    if not DATA.exists():
+        pytest.skip("no data tables here")
+    scratch = Scratch(spark, "test-brute")
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    labels = spark.read.parquet(str(DATA / "labels.parquet"))
+    rows = {r.doc_id: r.asDict() for r in docs.collect()}
+    held = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, str(DATA)))
+        held[name] = {r.doc_id: r.asDict() for r in docs.collect()}
+    whole = spark.read.parquet(str(DATA / "documents.parquet"))
+    field, model = fit_line_field(spark, whole, labels), fit_quality(spark, whole, labels)
+    expected = {i: r for i, r in rows.items() if judge(r["text"], field)[-1]}
+    assert held["quality_rules"] == expected
+    expected = {i: r for i, r in expected.items() if model.score(*_row_features(r["text"], r["lang"], r["source"], r["n_chars"]))[2] >= 0.5}
+    assert held["quality_classifier"] == expected
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO docs VALUES (?, ?)", [(i, r["text"]) for i, r in expected.items()])
+    gone = {}
+    for doc, line in con.execute(f"WITH {oracles.REMOVED_LINES.format(docs='docs')} SELECT doc, line FROM gone").fetchall():
+        gone.setdefault(doc, set()).add(line - 1)
+    after = {}
+    for i, r in expected.items():
+        lines = r["text"].split("\n")
+        text = "\n".join(x for k, x in enumerate(lines) if k not in gone.get(i, ()))
+        left, lost = len(WORDS.findall(text)), sum(len(WORDS.findall(lines[k])) for k in gone.get(i, ()))
+        if i not in gone or left >= lost:
+            after[i] = r | ({"text": text, "n_chars": len(text)} if i in gone else {})
+    assert held["line_dedup"] == after
+    sets = {}
+    for i, r in after.items():
+        w = [x.translate(LOWER) for x in WORDS.findall(r["text"])]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert held["ngram_jaccard_join"] == {i: r for i, r in after.items() if find(i) == i}

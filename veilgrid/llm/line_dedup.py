@@ -46,7 +46,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, line) of every deleted line; ``docs`` has an orderable, unique ``doc`` and a ``text``."""
+    """(doc, line, words) of every deleted line; ``docs`` has an orderable, unique ``doc`` and a ``text``."""
     scratch = Scratch(spark, "line-dedup")
     # a run's words: at most what one window needs beyond its first line
     ahead = Window.partitionBy("doc").orderBy("upto").rangeBetween(0, min_words - 1)
@@ -78,12 +78,12 @@ def removed_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     on = ["doc", "origin", "shift"]
     run = equal.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*on).orderBy("pos")))
     size = F.sum("words").over(Window.partitionBy(*on, "run"))
-    return run.withColumn("size", size).filter(F.col("size") >= min_words).select("doc", "line").distinct()
+    return run.withColumn("size", size).filter(F.col("size") >= min_words).select("doc", "line", "words").distinct()
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` with the text that stays, and ``n_lines_removed`` (replaced if there is one)."""
-    docs = docs.drop("n_lines_removed")
+    """All columns of ``docs`` with the text that stays, ``n_lines_removed`` and ``n_words_removed`` (replaced if there are such)."""
+    docs = docs.drop("n_lines_removed", "n_words_removed")
     scratch = Scratch(spark, "line-dedup-rows")
     ties = Window.partitionBy("doc_id").orderBy("text", *(c for c, k in docs.dtypes if c not in ("doc_id", "text") and not k.startswith(("map", "variant"))))
     held = docs
@@ -94,11 +94,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
         held = docs.withColumn("copy_", F.lit(1))
     doc = F.struct(F.col("doc_id").alias("id"), F.col("copy_").alias("copy"))
     gone = removed_lines(spark, held.select(doc.alias("doc"), "text"), min_words)
-    gone = scratch.keep(gone.groupBy("doc").agg(F.collect_list("line").alias("gone_")))
+    gone = scratch.keep(gone.groupBy("doc").agg(F.collect_list("line").alias("gone_"), F.sum("words").alias("words_")))
     # only texts that may lose lines are exchanged
     marked = mark_ids(scratch, held.withColumn("doc_", doc), "doc_", gone.select("doc"), "hit_")
     changed = marked.filter("hit_").join(gone.withColumnRenamed("doc", "doc_").hint("merge"), "doc_", "left")
-    joined = changed.unionByName(marked.filter("NOT hit_").withColumn("gone_", F.lit(None).cast("array<int>")))
+    joined = changed.unionByName(marked.filter("NOT hit_").withColumns({"gone_": F.lit(None).cast("array<int>"), "words_": F.lit(None).cast("long")}))
     left = F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("gone_", k))
     text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("gone_"), F.lit(0)).cast("long").alias("n_lines_removed"), F.coalesce("words_", F.lit(0)).cast("long").alias("n_words_removed"))

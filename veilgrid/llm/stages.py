@@ -25,8 +25,14 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where lines went, n_chars follows the text; a document that keeps no word goes."""
-    out = line_dedup.dedup_lines(spark, docs).filter((F.col("n_lines_removed") == 0) | F.col("text").rlike(WORD))
+    """Where lines went, n_chars follows the text, if there is such a column.
+
+    A document that lost more words than it keeps is a copy in the main, whose scraps the
+    next stage could not tell from a text of their own: it goes.
+    """
+    out = line_dedup.dedup_lines(spark, docs).filter((F.col("n_lines_removed") == 0) | (F.regexp_count("text", F.lit(WORD)) >= F.col("n_words_removed")))
+    if "n_chars" not in docs.columns:
+        return out.select(*docs.columns)
     changed = F.when(F.col("n_lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*(changed.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
