@@ -67,7 +67,7 @@ class Scratch:
 
 
 #: Whole texts that may share an Arrow batch, and bytes of one.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -107,6 +107,7 @@ def bound_batches(df: DataFrame) -> DataFrame:
 def give_back() -> None:
     """Return a finished task's free memory to the system, for workers live on between tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

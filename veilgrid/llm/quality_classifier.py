@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.llm.common import WORD, Scratch, bound_batches, keep_rows, map_texts, mark_ids
+from veilgrid.llm.common import WORD, Scratch, bound_batches, give_back, keep_rows, map_texts, mark_ids
 
 _WORD = re.compile(WORD)
 LABELLED = 3000
@@ -284,6 +284,7 @@ def _sums(frames: Iterator[pd.DataFrame], content: View, metadata: View, at: np.
     keys = sorted({k for k, _ in combinations})
     yield pd.DataFrame({"kind": 1, "place": np.array(keys, "int64"), "a": [float(combinations[k, False]) for k in keys], "b": [float(combinations[k, True]) for k in keys]})
     yield pd.DataFrame({"kind": [2], "place": [0], "a": [weight], "b": [0.0]})
+    give_back()
 
 
 def _teacher(unlabelled: DataFrame) -> Callable[[View, View, np.ndarray], Sums]:

@@ -11,7 +11,7 @@ from veilgrid.llm.common import WORD, table
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Chunks that a packing worker remembers, fewer than alone: Python workers have four stages behind them.
-PACKING_MEMO = 120_000
+PACKING_MEMO = 80_000
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
