@@ -5,21 +5,22 @@ Each round joins the newest facts with the edges and keeps what is better than b
 by a total order, so the result does not depend on how the work is dealt out. Factors
 are at most 1, so the rounds end.
 
-Nodes are variables of functions, named ``func#var``. ``edges``: src, dst, factor,
-transform (null: none), file, line. Calls are edges from arguments to parameters and from
-returned variables to results (``call_edges``).
+Nodes are variables of functions, named ``func#var``; a fact may sit at a field path below
+one. ``edges``: src, dst, factor, transform (null: none), file, line, and where fields
+matter ``via`` (copy, load or store), ``field`` and ``whole``, the factor by which a load
+takes what is known of the whole object only (null: not at all). ``analysis`` makes the
+edges, seeds and sinks of a program.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilgrid.functions.detect import rounded
-from veilgrid.operators import names
 from veilgrid.sources.scratch import kept
 
 MIN_CONFIDENCE = 0.2
@@ -27,67 +28,53 @@ MIN_CONFIDENCE = 0.2
 PLACES = 12
 #: Rounds after which the table of all facts is written.
 CUT = 4
-#: Factors of operations.
-ALIAS, COMPUTE, UNKNOWN_CALL, MUTATED, TYPE_CARRIES, SOURCE_RULE = 1.0, 1.0, 0.95, 0.9, 0.7, 0.9
+#: Segments of a field path at most; what is stored deeper sits at the last of them.
+MAX_FIELDS = 3
 
 
 def node(func: str, var: str):
     return F.concat_ws("#", func, F.col(var).cast("string"))
 
 
-def local_edges(instrs: DataFrame) -> DataFrame:
-    """Edges of assignments, phis, computations, loads and calls nobody knows. ``instrs``: func, idx, op, dst, args, operator, known_call, file, line."""
-    logical = F.col("op").isin("compute") & F.col("operator").isin("==", "!=", "<", ">", "<=", ">=", "&&", "||", "!")
-    kept = instrs.filter(F.col("op").isin("assign", "phi", "compute", "load", "call") & (F.col("dst") >= 0) & ~logical & ~(F.col("op").eqNullSafe("call") & F.col("known_call")))
-    factor = F.when(F.col("op") == "call", UNKNOWN_CALL).otherwise(ALIAS)
-    each = kept.withColumn("arg", F.explode("args")).filter("arg >= 0")
-    return each.select(node("func", "arg").alias("src"), node("func", "dst").alias("dst"), factor.alias("factor"), F.lit(None).cast("string").alias("transform"), "file", "line")
+EDGE_COLUMNS = ("src", "dst", "factor", "transform", "file", "line", "via", "field", "whole")
 
 
-def call_edges(instrs: DataFrame, funcs: DataFrame, returns: DataFrame) -> DataFrame:
-    """Arguments to parameters and returned values to results of calls with a target. ``returns``: func, var."""
-    calls = instrs.filter("op = 'call' AND target IS NOT NULL")
-    none = F.lit(None).cast("string").alias("transform")
-    args = calls.select("func", "target", "file", "line", F.posexplode("args").alias("k", "arg")).filter("arg >= 0")
-    params = funcs.select(F.col("func").alias("target"), F.posexplode("params").alias("k", "param"))
-    into = args.join(params, ["target", "k"]).select(node("func", "arg").alias("src"), node("target", "param").alias("dst"), F.lit(1.0).alias("factor"), none, "file", "line")
-    back = calls.filter("dst >= 0").join(returns.select(F.col("func").alias("target"), "var"), "target").select(node("target", "var").alias("src"), node("func", "dst").alias("dst"), F.lit(1.0).alias("factor"), none, "file", "line")
-    return into.unionByName(back)
+def _with_fields(edges: DataFrame) -> DataFrame:
+    more = {"via": F.lit("copy"), "field": F.lit(None).cast("string"), "whole": F.lit(None).cast("double")}
+    return edges.withColumns({c: x for c, x in more.items() if c not in edges.columns})
 
 
-def transform_edges(matched: DataFrame) -> DataFrame:
-    """Edges of calls that transform rules match: func, dst, args, transform, file, line."""
-    each = matched.withColumn("arg", F.explode("args")).filter("arg >= 0 AND dst >= 0")
-    return each.select(node("func", "arg").alias("src"), node("func", "dst").alias("dst"), F.lit(1.0).alias("factor"), "transform", "file", "line")
-
-
-def seeds(variables: DataFrame, types: DataFrame) -> DataFrame:
-    """Facts of variables whose name tells what they hold: func, var, name, const, type, file, line."""
-    named = names.classify(variables.filter("const IS NULL AND lower(coalesce(type, '')) NOT IN ('bool', 'boolean', 'error', 'func')"), "name", types).filter("named IS NOT NULL")
-    own = F.filter(F.array(F.col("named.transform")), lambda t: t.isNotNull())
-    return named.select(node("func", "var").alias("var"), F.col("named.data_type").alias("data_type"), own.alias("transforms"), F.col("named.confidence").alias("confidence"), F.concat(F.lit("variable "), "name").alias("source_desc"), "file", "line")
+def _carried_path() -> Column:
+    """The field path behind an edge; null: the fact does not pass it."""
+    at, f = F.col("field_path"), F.col("field")
+    loaded = F.when(at == f, "").when(F.startswith(at, F.concat(f, F.lit("."))), F.substr(at, F.length(f) + 2)).when((at == "") & F.col("whole").isNotNull(), "")
+    stored = F.substring_index(F.concat_ws(".", f, F.nullif(at, F.lit(""))), ".", MAX_FIELDS)
+    return F.when(F.col("via") == "load", loaded).when(F.col("via") == "store", stored).otherwise(at)
 
 
 def propagate(seeded: DataFrame, edges: DataFrame, rounds: int | None = None, floor: float = MIN_CONFIDENCE) -> DataFrame:
-    """The best fact of every (var, data_type, transforms) with its path, an array of (file, line).
+    """The best fact of every (var, field_path, data_type, transforms) with its path, an array of (file, line).
 
     Better is: more confident, then from a shorter path, then by source and path.
     Without ``rounds`` it goes on until no fact gets better, however long the flows are.
     """
     here = F.struct("file", F.col("line").cast("int").alias("line"))
-    key = ["var", "data_type", "transforms"]
+    key = ["var", "field_path", "data_type", "transforms"]
+    if "field_path" not in seeded.columns:
+        seeded = seeded.withColumn("field_path", F.lit(""))
     order = Window.partitionBy(*key).orderBy(F.round("confidence", PLACES).desc(), F.size("path"), "source_desc", "path")
     best = lambda df: df.withColumn("r_", F.row_number().over(order)).filter("r_ = 1").drop("r_")
     columns = [*key, "confidence", "source_desc", "path"]
     facts = newest = kept(best(seeded.withColumn("path", F.array(here)).select(*columns)))
-    steps = edges.select("src", "dst", "factor", "transform", here.alias("here"))
+    steps = _with_fields(edges).select("src", "dst", "factor", "transform", here.alias("here"), "via", "field", "whole")
+    factor = F.when((F.col("via") == "load") & (F.col("field_path") == ""), F.col("factor") * F.col("whole")).otherwise(F.col("factor"))
     for k in count(1) if rounds is None else range(1, rounds + 1):
         carried = newest.join(steps, newest["var"] == steps["src"]).select(
-            F.col("dst").alias("var"), "data_type",
+            F.col("dst").alias("var"), _carried_path().alias("field_path"), "data_type",
             F.array_sort(F.when(F.col("transform").isNull(), F.col("transforms")).otherwise(F.array_union("transforms", F.array("transform")))).alias("transforms"),
-            (F.col("confidence") * F.col("factor")).alias("confidence"), "source_desc",
+            (F.col("confidence") * factor).alias("confidence"), "source_desc",
             F.when(F.element_at("path", -1) == F.col("here"), F.col("path")).otherwise(F.concat("path", F.array("here"))).alias("path"),
-        ).filter(F.col("confidence") >= floor)
+        ).filter((F.col("confidence") >= floor) & F.col("field_path").isNotNull())
         old = facts.select(*key, F.round("confidence", PLACES).alias("c_"), F.size("path").alias("n_"))
         better = best(carried).join(old, key, "left").filter(f"c_ IS NULL OR round(confidence, {PLACES}) > c_ OR (round(confidence, {PLACES}) = c_ AND size(path) < n_)")
         newest = kept(better.select(*columns))
@@ -127,18 +114,23 @@ def guards(branches: DataFrame, dominators: DataFrame, preds: DataFrame, blocks:
     return blocks.join(held, ["func", "block"], "left").withColumn("guards", F.coalesce("guards", F.array().cast("array<string>")))
 
 
-def inherited_guards(sites: DataFrame, rounds: int = 8) -> DataFrame:
-    """(func, guards): what every call site of a function is guarded by. ``sites``: caller, callee, guards."""
+def inherited_guards(sites: DataFrame) -> DataFrame:
+    """(func, guards): what every call site of a function is guarded by. ``sites``: caller, callee, guards.
+
+    A function starts unknown (null), counts for nothing in its callees until one of its
+    own sites is known, and then only loses guards until nothing changes, so cycles of
+    calls end at what holds on every way into them. A caller that nobody calls has no
+    guards of its own; neither has a cycle without a way in.
+    """
     empty = F.array().cast("array<string>")
-    held = sites.select(F.col("callee").alias("func")).distinct().withColumn("guards", empty)
-    sign = None
-    for _ in range(rounds):
-        at = sites.withColumnRenamed("guards", "own").join(held.withColumnsRenamed({"func": "caller", "guards": "inherited"}), "caller", "left").withColumn("all_", F.array_union("own", F.coalesce("inherited", empty)))
-        met = at.groupBy("callee").agg(F.collect_list("all_").alias("lists"))
+    held = kept(sites.select(F.col("callee").alias("func")).distinct().withColumn("guards", F.lit(None).cast("array<string>")))
+    while True:
+        inherited = held.select(F.col("func").alias("caller"), F.col("guards").alias("inherited"), F.col("guards").isNull().alias("open"))
+        at = sites.withColumnRenamed("guards", "own").join(inherited, "caller", "left").withColumn("all_", F.when(~F.coalesce("open", F.lit(False)), F.array_sort(F.array_union("own", F.coalesce("inherited", empty)))))
+        met = at.groupBy("callee").agg(F.collect_set("all_").alias("lists"))
         common = F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], lambda acc, x: F.array_intersect(acc, x))
-        held = kept(met.select(F.col("callee").alias("func"), F.array_sort(common).alias("guards")))
-        now = held.agg(F.sum(F.xxhash64("func", "guards").cast("decimal(38,0)"))).first()[0]
-        if now == sign:
-            break
-        sign = now
-    return held
+        now = kept(met.select(F.col("callee").alias("func"), F.when(F.size("lists") > 0, F.array_sort(common)).alias("guards")))
+        same = now.join(held.withColumnRenamed("guards", "before"), "func").filter(~F.col("guards").eqNullSafe(F.col("before"))).isEmpty()
+        if same:
+            return now.withColumn("guards", F.coalesce("guards", empty))
+        held = now
