@@ -1,9 +1,9 @@
 """Flows from sources to sinks over a relational intermediate representation.
 
 Facts are rows (var, data_type, transforms, ...) that edges between variables carry on.
-Each round joins the newest facts with the edges and keeps what is better than before,
-by a total order, so the result does not depend on how the work is dealt out. Factors
-are at most 1, so the rounds end.
+Each round joins the newest facts with the edges a few times over and keeps what is
+better than before, by a total order, so the result does not depend on how the work is
+dealt out. Factors are at most 1, so the rounds end.
 
 Nodes are variables of functions, named ``func#var``; a fact may sit at a field path below
 one. ``edges``: src, dst, factor, transform (null: none), file, line, and where fields
@@ -14,7 +14,7 @@ edges, seeds and sinks of a program.
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,8 @@ from veilgrid.sources.scratch import kept
 MIN_CONFIDENCE = 0.2
 #: Decimals to which confidences are compared.
 PLACES = 12
-#: Rounds after which the table of all facts is written.
-CUT = 4
+#: Edges that facts follow before they are written.
+CUT = 3
 #: Segments of a field path at most; what is stored deeper sits at the last of them.
 MAX_FIELDS = 3
 
@@ -66,22 +66,34 @@ def propagate(seeded: DataFrame, edges: DataFrame, rounds: int | None = None, fl
     best = lambda df: df.withColumn("r_", F.row_number().over(order)).filter("r_ = 1").drop("r_")
     columns = [*key, "confidence", "source_desc", "path"]
     facts = newest = kept(best(seeded.withColumn("path", F.array(here)).select(*columns)))
-    steps = _with_fields(edges).select("src", "dst", "factor", "transform", here.alias("here"), "via", "field", "whole")
+    steps = kept(_with_fields(edges).select("src", "dst", "factor", "transform", here.alias("here"), "via", "field", "whole"))
     factor = F.when((F.col("via") == "load") & (F.col("field_path") == ""), F.col("factor") * F.col("whole")).otherwise(F.col("factor"))
-    for k in count(1) if rounds is None else range(1, rounds + 1):
-        carried = newest.join(steps, newest["var"] == steps["src"]).select(
+
+    def behind(now: DataFrame, old: DataFrame) -> DataFrame:
+        """What one edge makes of facts, as far as it is better than what was known."""
+        carried = now.join(steps, F.col("var") == F.col("src")).select(
             F.col("dst").alias("var"), _carried_path().alias("field_path"), "data_type",
             F.array_sort(F.when(F.col("transform").isNull(), F.col("transforms")).otherwise(F.array_union("transforms", F.array("transform")))).alias("transforms"),
             (F.col("confidence") * factor).alias("confidence"), "source_desc",
             F.when(F.element_at("path", -1) == F.col("here"), F.col("path")).otherwise(F.concat("path", F.array("here"))).alias("path"),
         ).filter((F.col("confidence") >= floor) & F.col("field_path").isNotNull())
-        old = facts.select(*key, F.round("confidence", PLACES).alias("c_"), F.size("path").alias("n_"))
-        better = best(carried).join(old, key, "left").filter(f"c_ IS NULL OR round(confidence, {PLACES}) > c_ OR (round(confidence, {PLACES}) = c_ AND size(path) < n_)")
-        newest = kept(better.select(*columns))
+        known = old.select(*key, F.round("confidence", PLACES).alias("c_"), F.size("path").alias("n_"))
+        better = best(carried).join(known, key, "left").filter(f"c_ IS NULL OR round(confidence, {PLACES}) > c_ OR (round(confidence, {PLACES}) = c_ AND size(path) < n_)")
+        return better.select(*columns)
+
+    done = 0
+    while rounds is None or done < rounds:
+        # a few edges at a time, so that a long chain does not wait for a job at each of them
+        hops = CUT if rounds is None else min(CUT, rounds - done)
+        layers = [newest]
+        for _ in range(hops):
+            layers.append(behind(layers[-1], facts))
+        made = kept(reduce(DataFrame.unionByName, [x.withColumn("hop", F.lit(h)) for h, x in enumerate(layers[1:], 1)]))
+        facts = kept(best(facts.unionByName(made.drop("hop"))))
+        newest = made.filter(F.col("hop") == hops).drop("hop")
+        done += hops
         if newest.isEmpty():
             break
-        facts = best(facts.unionByName(newest))
-        facts = facts if k % CUT else kept(facts)
     return facts
 
 

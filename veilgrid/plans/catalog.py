@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veilgrid.plans import finding_queries, literal_queries, program_queries
+from veilgrid.plans import analysis_queries, finding_queries, literal_queries, program_queries
 
-_MODULES = (literal_queries, finding_queries, program_queries)
+_MODULES = (literal_queries, finding_queries, program_queries, analysis_queries)
 
 
 def queries():
