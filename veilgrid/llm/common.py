@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if at is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
     if at is None:
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="veilgrid-")
         shared_dir.own = at
