@@ -92,6 +92,17 @@ def graph(flows: DataFrame, steps: DataFrame, callers: DataFrame) -> tuple[DataF
     return nodes.select("id", F.element_at(kinds, F.col("k")).alias("kind"), F.when(F.col("rank") > 0, F.element_at(names, F.col("rank").cast("int"))).alias("severity")), edges
 
 
+def graph_flows(flows: DataFrame, steps: DataFrame, callers: DataFrame, function: str | None = None, data_types: list[str] | None = None, violations_only: bool = True) -> DataFrame:
+    """The flows that a graph shows: violations or all, of some data types, with a function on their way whose name has a match of ``function``."""
+    out = flows.filter("violation") if violations_only else flows
+    if data_types:
+        out = out.filter(F.col("data_type").isin(*data_types))
+    if function:
+        there = steps.select("flow", "function").unionByName(callers.select("flow", "function")).unionByName(flows.select("flow", "function"))
+        out = out.join(there.filter(F.col("function").rlike(function)).select("flow").distinct(), "flow", "left_semi")
+    return out
+
+
 def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph as rows of DOT text, in order of ``line``."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))

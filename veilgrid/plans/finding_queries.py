@@ -254,6 +254,12 @@ def mermaid(spark, _):
     return inventory.mermaid(_graph(spark)[1])
 
 
+def graph_filters(spark, _):
+    made = inventory.graph_flows(_applied(spark), STEPS.df(spark), CALLERS.df(spark), "^app[.](main|pay[.])", ["email", "credit_card", "phone"])
+    every = inventory.graph_flows(_applied(spark), STEPS.df(spark), CALLERS.df(spark), violations_only=False)
+    return made.select("flow", F.lit("filtered").alias("shown")).unionByName(every.select("flow", F.lit("all").alias("shown")))
+
+
 def dot_rows(spark, _):
     return inventory.dot(*_graph(spark)).select(F.col("line").cast("long").alias("line"), "text")
 
@@ -332,7 +338,7 @@ QUERIES = {
     "P01_decide": decide, "P03_allow": allow, "P05_severity": severity, "P04_literals": literal_policy, "B01_fingerprints": fingerprints, "B01_flow_fingerprints": flow_fingerprints,
     "B03_mark": marked, "B03_unseen": unseen, "B04_create": created, "M01_recipients": recipients, "M02_data_types": type_inventory, "M03_stores": stores, "G01_nodes": graph_nodes,
     "G01_edges": graph_edges, "V01_counts": report_counts, "V02_sorted": report_places, "A01_score": score, "A03_sweep": sweep, "A04_by_parts": by_parts, "A05_gates": gates,
-    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory, "P06_changes": policy_changes, "E01_story": explained, "E02_select": picked, "IO15_mermaid": mermaid, "IO15_dot": dot_rows, "L25_file_rules": file_rules,
+    "A02_label_rates": label_rates, "A06_timing": event_timing, "A07_annotations": annotations, "A07_check": annotation_check, "IO13_sarif_levels": sarif_levels, "IO14_csv": csv_inventory, "P06_changes": policy_changes, "E01_story": explained, "E02_select": picked, "IO15_mermaid": mermaid, "IO15_dot": dot_rows, "G02_filters": graph_filters, "L25_file_rules": file_rules,
 }
 
 ORACLE_SQL = {
@@ -352,6 +358,8 @@ SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY a, b) AS INTEGER
     "E02_select": "SELECT unnest([1, 14, 7]) AS flow",
     "IO15_mermaid": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte, _edges_cte) + """SELECT '  n' || substr(sha256(from_id), 1, 8) || '["' || replace(from_id, '"', '\'\'') || '"]' ||
   CASE WHEN calls THEN ' -.-> ' ELSE ' -->|' || array_to_string(data_types, ', ') || '| ' END || 'n' || substr(sha256(to_id), 1, 8) || '["' || replace(to_id, '"', '\'\'') || '"]' AS text FROM edges""",
+    "G02_filters": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS) + """, there AS (SELECT flow FROM (SELECT flow, function FROM steps UNION ALL SELECT flow, function FROM callers UNION ALL SELECT flow, function FROM flows) WHERE regexp_matches(function, '^app[.](main|pay[.])'))
+SELECT flow, 'filtered' AS shown FROM applied WHERE violation AND data_type IN ('email', 'credit_card', 'phone') AND flow IN (SELECT flow FROM there) UNION ALL SELECT flow, 'all' FROM applied""",
     "IO15_dot": with_(*_flow_ctes, _applied_cte, STEPS, CALLERS, _graph_cte, _edges_cte, _nodes_cte) + """, parts AS (
   SELECT 0 AS part, 'digraph flows {' AS text UNION ALL SELECT 3, '}'
   UNION ALL SELECT 1, '  "' || replace(id, '"', '\\"') || '" [class=' || kind || '];' FROM nodes

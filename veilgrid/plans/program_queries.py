@@ -248,6 +248,26 @@ def strong_components(spark, _):
     return program.components(edges, FUNCS.df(spark).select(F.col("func").alias("node")))
 
 
+def work_levels(spark, _):
+    edges = EDGES.df(spark).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    return program.levels(edges, FUNCS.df(spark).select(F.col("func").alias("node")))
+
+
+IMPORTS = Fixture("imports", "src string, dst string", [("m.py", "s.py"), ("s.py", "n.py"), ("n.py", "m.py"), ("o.py", "s.py"), ("x.py", "y.py")])
+
+
+def reachable(spark, _):
+    entries = spark.createDataFrame([("o.py",), ("z.py",)], "file string")
+    return program.reachable_files(entries, IMPORTS.df(spark))
+
+
+def scan_modes(spark, _):
+    files = FUNCS.df(spark).select(F.col("file").alias("path")).distinct()
+    changed = spark.createDataFrame([("n.py",)], "file string")
+    made = [program.scanned_files(files, m, changed, FUNCS.df(spark), EDGES.df(spark), ["m.py", "o.py"]).select("path", F.lit(m).alias("mode")) for m in ("full", "diff", "paths")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 def dispatched(spark, _):
     return program.dispatch(SITES.df(spark), CLASS_EDGES.df(spark), CLASS_METHODS.df(spark)).select("call_id", "target")
 
@@ -358,6 +378,16 @@ def call_graph(spark, _):
     return program.call_graph(sites, made, created)
 
 
+_classes_sql = """classes AS (SELECT DISTINCT class FROM (SELECT sub AS class FROM class_edges UNION SELECT class FROM class_methods)),
+shorts AS (SELECT regexp_extract(class, '[^./:]*$') AS short, min(class) AS class FROM classes GROUP BY 1 HAVING count(*) = 1),
+up AS (SELECT sub, regexp_replace(super, '^[*&]+', '') AS written FROM class_edges),
+sub AS (SELECT coalesce(c.class, s.class, written) AS src, sub AS dst FROM up LEFT JOIN classes c ON c.class = written LEFT JOIN shorts s ON s.short = regexp_extract(written, '[^./:]*$')),
+below AS (SELECT src, dst FROM sub WHERE src != dst UNION SELECT b.src, s.dst FROM below b JOIN sub s ON s.src = b.dst WHERE s.src != s.dst),
+recv AS (SELECT *, regexp_replace(regexp_replace(recv_type, '^[*&]+', ''), '[?]$', '') AS r FROM sites WHERE coalesce(recv_type, '') != '' AND name != ''),
+roots AS (SELECT r.call_id, r.lang, r.name, coalesce(c.class, s.class, r.r) AS src FROM recv r LEFT JOIN classes c ON c.class = r.r LEFT JOIN shorts s ON s.short = regexp_extract(r.r, '[^./:]*$')),
+dispatched AS (SELECT call_id, target FROM sites WHERE coalesce(target, '') != ''
+  UNION SELECT r.call_id, m.func FROM roots r JOIN below b ON b.src = r.src JOIN class_methods m ON m.class = b.dst AND m.method = r.name AND (m.lang = '' OR r.lang = '' OR m.lang = r.lang))"""
+
 QUERIES = {
     "C09_keys": keys, "C10_getters": getters, "C11_fields": owned_fields, "R06_api": api_models, "R10_heuristics": heuristics, "T01_call_graph": call_graph,
     "F09_verify": ir_problems, "F13_merge": merged_modules, "I02_cache_valid": cache_valid, "I03_cache_update": cache_updated,
@@ -365,7 +395,7 @@ QUERIES = {
     "IO05_languages": languages, "IO08_files": document_files, "H01_parsed_schemas": parsed_schemas, "H03_declared_fields": declared, "H04_field_lookup": looked_up, "H05_type_carries": carried,
     "R01_override": overridden_rules, "R03_match_calls": matched_calls, "R04_match_fields": matched_fields, "R05_match_parameters": matched_parameters, "R07_arguments": sink_arguments, "R09_destination": destinations,
     "F11_predecessors": predecessors, "F12_dominators": dominators, "T02_dispatch": dispatched, "T03_components": strong_components, "T06_chain_flows": chain_flows, "T19_guards": guarded, "T19_inherited": inherited,
-    "T21_call_chain": chains, "T21_callers": chain_callers, "T22_reach": order_reach, "I01_rescan": rescans,
+    "T21_call_chain": chains, "T21_callers": chain_callers, "T22_reach": order_reach, "T22_files": reachable, "T04_levels": work_levels, "I04_modes": scan_modes, "I01_rescan": rescans,
 }
 
 _named_sql = lambda key, rows: f"SELECT {key}, data_type, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES {rows}) AS t({key}, data_type, confidence)"
@@ -376,13 +406,19 @@ ORACLE_SQL = {
     "C11_fields": _named_sql("owner, field", "('model.Customer', 'name', 'person_name', 0.6), ('Card', 'holderName', 'cardholder_name', 0.9), ('File', 'name', NULL, NULL), ('Cardholder', 'name', 'cardholder_name', 0.6), ('*app.User', 'Name', 'person_name', 0.6), ('', 'name', NULL, NULL), (NULL, 'email', 'email', 0.9)"),
     "R06_api": "SELECT call_id, rule, CAST(c AS DOUBLE) AS match_confidence FROM (VALUES (10, 'api.build', 0.75), (11, 'api.build', 1.0)) AS t(call_id, rule, c)",
     "R10_heuristics": """SELECT * FROM (VALUES ('sinks', 'log', NULL), ('sinks', 'trace', NULL), ('returns', 'size', 'long'), ('returns', 'get', 'any')) AS t("table", word, value)""",
-    "T01_call_graph": "SELECT * FROM (VALUES ('caller1', 'Animal.say'), ('caller1', 'Dog.say'), ('caller1', 'Puppy.say'), ('caller2', 'Puppy.say'), ('caller0', 'Bird.say'), ('caller1', 'Loop.go'), ('caller2', 'X.f'), ('caller0', 'closure$1')) AS t(caller, callee)",
-    "F09_verify": "SELECT * FROM (VALUES ('h', 'unknown function', '0'), ('f', 'defined twice', '1'), ('g', 'never defined', '7'), ('f', 'edge to no block', '2')) AS t(func, problem, detail)",
+    "T01_call_graph": f"WITH RECURSIVE {SITES.cte}, {CLASS_EDGES.cte}, {CLASS_METHODS.cte}, {_classes_sql}\nSELECT DISTINCT 'caller' || call_id % 3 AS caller, target AS callee FROM dispatched UNION SELECT 'caller0', 'closure$1'",
+    "F09_verify": with_(IR_FUNCS, IR, CFG) + """, known AS (SELECT DISTINCT func FROM ir_funcs WHERE file IN ('a.py', 'b.py')), defined AS (SELECT func, dst AS v FROM ir WHERE dst >= 0 UNION SELECT func, unnest(params) FROM ir_funcs WHERE file IN ('a.py', 'b.py'))
+SELECT DISTINCT func, 'unknown function' AS problem, CAST(idx AS VARCHAR) AS detail FROM ir WHERE func NOT IN (SELECT func FROM known)
+UNION SELECT func, 'defined twice', CAST(dst AS VARCHAR) FROM ir WHERE dst >= 0 GROUP BY func, dst HAVING count(*) > 1
+UNION SELECT func, 'never defined', CAST(a AS VARCHAR) FROM (SELECT func, unnest(args) AS a FROM ir) u WHERE a >= 0 AND NOT EXISTS (SELECT 1 FROM defined d WHERE d.func = u.func AND d.v = u.a)
+UNION SELECT func, 'edge to no block', CAST(to_block AS VARCHAR) FROM cfg c WHERE func = 'f' AND to_block <= 2 AND NOT EXISTS (SELECT 1 FROM ir i WHERE i.func = c.func AND i.block = c.to_block)""",
     "F13_merge": with_(IR_FUNCS) + "SELECT CASE WHEN n > 1 THEN func || '~' || n ELSE func END AS func, file FROM (SELECT *, row_number() OVER (PARTITION BY func ORDER BY file, start_line) AS n FROM ir_funcs)",
     "I02_cache_valid": with_(CACHE) + "SELECT func, file FROM cache WHERE engine = 'e1' AND (file, file_hash) IN (('a.py', '1'), ('b.py', '5'), ('c.py', '3'))",
     "I03_cache_update": with_(CACHE) + "SELECT * FROM cache WHERE file != 'a.py' UNION ALL SELECT 'f2', 'a.py', '7', 'e1'",
     "C01_tokenize": with_(NAMES) + f"SELECT name, {SPLIT_SQL} AS tokens FROM names",
     "C08_ident": with_(NAMES, _patterns_cte(), _toks_ctes) + "SELECT n.name, b.data_type, CAST(round(b.c, 4) AS DOUBLE) AS confidence, b.transform, array_to_string(b.ptoks, ' ') AS pattern FROM names n LEFT JOIN best b ON b.name = n.name AND b.r = 1",
+    "C08_table_columns": f"WITH names AS (SELECT DISTINCT column_name AS name FROM information_schema.columns WHERE table_name IN ({sql_list(TABLES)})),\n{_patterns_cte()},\n{_toks_ctes}\n"
+    + f"SELECT b.data_type, count(*) AS n_columns FROM (SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({sql_list(TABLES)})) c LEFT JOIN best b ON b.name = c.column_name AND b.r = 1 GROUP BY b.data_type",
     "C07_context": with_(LABEL_LINES, "names AS (SELECT id, content AS name FROM label_lines)", _patterns_cte()) + f""", said AS (SELECT id, {_singular} AS toks FROM (SELECT id, {SPLIT_SQL} AS raw, [{sql_list(_vocabulary())}] AS vocabulary FROM names))
 SELECT s.id, coalesce((SELECT list_sort(list(DISTINCT p.data_type)) FROM patterns p WHERE NOT (p.weak AND p.n = 1 AND length(p.joined) < 3) AND len(list_filter(range(1, len(s.toks) - p.n + 2), lambda i: s.toks[i:i + p.n - 1] = p.toks)) > 0), []) AS context FROM said s""",
     "C12_sanitizers": "SELECT * FROM (VALUES ('maskPhone', 'masked'), ('hashMap', NULL), ('sha256Hex', 'sha256'), ('verifyHash', NULL), ('encryptCard', 'encrypted'), ('tokenize', 'tokenized'), ('redactAll', 'redacted'), ('plain', NULL)) AS t(name, transform)",
@@ -419,8 +455,16 @@ SELECT id, dest_host, CASE WHEN own THEN 'first_party' ELSE dest_kind END AS des
 reach AS (SELECT func, CAST(-1 AS INTEGER) AS gone, 0 AS b FROM blocks UNION SELECT func, b, 0 FROM blocks WHERE b != 0 UNION SELECT r.func, r.gone, c.to_block FROM reach r JOIN cfg c ON c.func = r.func AND c.from_block = r.b WHERE c.to_block != r.gone)
 SELECT a.func, a.b AS block, d.b AS dominator FROM (SELECT DISTINCT func, b FROM reach WHERE gone = -1) a JOIN (SELECT DISTINCT func, b FROM reach WHERE gone = -1) d ON a.func = d.func
 WHERE d.b = 0 OR NOT EXISTS (SELECT 1 FROM reach r WHERE r.func = a.func AND r.gone = d.b AND r.b = a.b)""",
-    "T02_dispatch": "SELECT * FROM (VALUES (1, 'Animal.say'), (1, 'Dog.say'), (1, 'Puppy.say'), (2, 'Puppy.say'), (3, 'Bird.say'), (4, 'Loop.go'), (5, 'X.f')) AS t(call_id, target)",
+    "T02_dispatch": f"WITH RECURSIVE {SITES.cte}, {CLASS_EDGES.cte}, {CLASS_METHODS.cte}, {_classes_sql}\nSELECT call_id, target FROM dispatched",
     "T03_components": f"WITH RECURSIVE {EDGES.cte}, {FUNCS.cte}, e AS (SELECT caller AS src, callee AS dst FROM call_edges), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)\nSELECT func AS node, least(func, coalesce((SELECT min(a.dst) FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src WHERE a.src = func), func)) AS component FROM funcs",
+    "T04_levels": f"""WITH RECURSIVE {EDGES.cte}, {FUNCS.cte}, e AS (SELECT caller AS src, callee AS dst FROM call_edges), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+c AS (SELECT func AS node, least(func, coalesce((SELECT min(a.dst) FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src WHERE a.src = func), func)) AS component FROM funcs),
+l AS (SELECT DISTINCT a.component AS a, b.component AS b FROM e JOIN c a ON a.node = e.src JOIN c b ON b.node = e.dst WHERE a.component != b.component),
+p AS (SELECT a, b, 1 AS n FROM l UNION SELECT p.a, l.b, p.n + 1 FROM p JOIN l ON l.a = p.b)
+SELECT DISTINCT component, coalesce((SELECT max(n) FROM p WHERE p.a = component), 0) AS level FROM c""",
+    "T22_files": f"WITH RECURSIVE {IMPORTS.cte}, r AS (SELECT unnest(['o.py', 'z.py']) AS file UNION SELECT i.dst FROM r JOIN imports i ON i.src = r.file)\nSELECT file FROM r",
+    "I04_modes": f"""WITH RECURSIVE {FUNCS.cte}, {EDGES.cte}, near AS (SELECT func, 0 AS hops FROM funcs WHERE file = 'n.py' UNION SELECT e.caller, n.hops + 1 FROM near n JOIN call_edges e ON e.callee = n.func WHERE n.hops < 2)
+SELECT DISTINCT file AS path, 'full' AS mode FROM funcs UNION ALL SELECT DISTINCT f.file, 'diff' FROM funcs f JOIN near n USING (func) UNION ALL SELECT DISTINCT file, 'paths' FROM funcs WHERE file IN ('m.py', 'o.py')""",
     "T06_chain_flows": """WITH f AS (SELECT list_reduce(list_transform(range(10), lambda i: CAST(CASE WHEN i % 5 = 4 THEN 0.95 ELSE 1.0 END AS DOUBLE)), lambda a, b: a * b) AS whole)
 SELECT 'email' AS data_type, 'log.print' AS sink_rule, 'f' AS function, 99 AS sink_line, []::VARCHAR[] AS transforms, floor(0.9::DOUBLE * whole * 0.8::DOUBLE * 100 + 0.5) / 100 AS confidence, 'variable email' AS source_desc, CAST(10 AS BIGINT) AS steps FROM f
 UNION ALL SELECT 'phone', 'log.print', 'f', 99, [], floor(0.85::DOUBLE * 0.95::DOUBLE * 0.8::DOUBLE * 100 + 0.5) / 100, 'variable phone', 5
@@ -432,7 +476,8 @@ kept AS (SELECT * FROM (SELECT *, lag(function) OVER (PARTITION BY flow ORDER BY
 moved AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM call_edges e WHERE e.caller = p AND e.callee = function) THEN 1 WHEN EXISTS (SELECT 1 FROM call_edges e WHERE e.caller = function AND e.callee = p) THEN -1 ELSE 0 END AS d FROM (SELECT *, lag(function) OVER (PARTITION BY flow ORDER BY pos) AS p FROM kept)),
 deep AS (SELECT *, sum(d) OVER (PARTITION BY flow ORDER BY pos) AS s FROM moved)
 SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY pos) - 1 AS INTEGER) AS step, function, line, CAST(s - min(s) OVER (PARTITION BY flow) AS INTEGER) AS depth FROM deep""",
-    "T21_callers": "SELECT * FROM (VALUES (1, 'main'), (3, 'save')) AS t(flow, function)",
+    "T21_callers": with_(TRACE, FUNCS, EDGES) + """, first_ AS (SELECT t.flow, arg_min(f.func, {'n': f.end_line - f.start_line, 'f': f.func}) AS function FROM (SELECT * FROM trace WHERE pos = 0) t JOIN funcs f ON f.file = t.file AND t.line BETWEEN f.start_line AND f.end_line GROUP BY t.flow)
+SELECT flow, caller AS function FROM (SELECT DISTINCT x.flow, e.caller, dense_rank() OVER (PARTITION BY x.flow ORDER BY e.caller) AS r FROM first_ x JOIN call_edges e ON e.callee = x.function AND e.caller != x.function) WHERE r <= 5""",
     "T22_reach": "WITH RECURSIVE e AS (SELECT CAST(n_regionkey AS BIGINT) AS src, CAST((n_nationkey * 7 + 3) % 25 + 100 AS BIGINT) AS dst FROM nation UNION SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_nationkey % 3 + 200 AS BIGINT) FROM nation),\n" + _reach("", "e", 64) + "\nSELECT src, dst, min(hops) AS hops FROM hop GROUP BY src, dst",
     "H01_parsed_schemas": """SELECT * FROM (VALUES ('User', 'proto', 'email', 'string', NULL), ('User', 'proto', 'phones', '[]string', 'phone'), ('User.Inner', 'proto', 'zip', 'string', 'address'), ('User', 'proto', 'a', 'string', NULL),
   ('table:app.users', 'table', 'id', 'bigint', NULL), ('table:app.users', 'table', 'e_mail', 'varchar(20)', 'email'), ('table:app.users', 'table', 'balance', 'decimal(10,2)', 'bank_account'), ('table:app.users', 'table', 'dob', 'date', NULL)) AS t(type, kind, field, field_type, pii)""",
@@ -442,5 +487,6 @@ SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY pos) - 1 AS INTE
   ('lib.Ext', 'phone', 'phone', 0.9, FALSE, FALSE, 'field name phone'), ('Card', 'holderName', 'cardholder_name', 0.95, FALSE, FALSE, '@SerializedName("holder_name")'), ('Proto', 'b', 'passport', 0.95, FALSE, FALSE, 'protobuf:"passport_no"'),
   ('table:people', 'x1', 'phi', 1.0, FALSE, FALSE, 'phi:"phi"'), ('table:people', 'dob', 'dob', 1.0, FALSE, FALSE, 'pii:"dob"')) AS t(type, field, data_type, confidence, suppressed, contextual, via)""",
     "R01_override": "SELECT * FROM (VALUES (0, 'log.python', 'sink', 'log'), (1, 'sdk.track', 'sink', 'third_party'), (2, 'net.post', 'sink', 'ipc'), (3, 'xf.mask', 'transform', NULL), (4, 'src.body', 'source', NULL), (5, 'src.param', 'source', NULL), (6, 'api.build', 'api', NULL), (7, 'new.rule', 'sink', 'log')) AS t(ord, id, kind, dest_kind)",
-    "I01_rescan": "SELECT * FROM (VALUES ('n.py', 'changed'), ('s.py', 'calls a changed file'), ('m.py', 'calls a changed file'), ('o.py', 'calls a changed file')) AS t(file, why)",
+    "I01_rescan": f"""WITH RECURSIVE {FUNCS.cte}, {EDGES.cte}, near AS (SELECT func, 0 AS hops FROM funcs WHERE file = 'n.py' UNION SELECT e.caller, n.hops + 1 FROM near n JOIN call_edges e ON e.callee = n.func WHERE n.hops < 2)
+SELECT DISTINCT f.file, CASE WHEN f.file = 'n.py' THEN 'changed' ELSE 'calls a changed file' END AS why FROM funcs f JOIN near n USING (func)""",
 }

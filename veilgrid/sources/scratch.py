@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset (a local session) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="veilgrid-"))
         at = _own[0]
