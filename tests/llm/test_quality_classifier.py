@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.quality_classifier import SHAPES, _bucket, _logistic, _Rows, fit_quality, retain_documents, score_documents
+from veilgrid.llm.quality_classifier import SHAPES, _bucket, _logistic, _Rows, fit_quality, pack_features, retain_documents, score_documents, score_packed
 
 WORDS = [f"{a}{b}{c}" for a in ("th", "on", "re", "wa") for b in ("er", "al", "in") for c in ("ing", "ed", "s", "ly")]
 
@@ -74,3 +74,20 @@ def test_every_unlabelled_document_teaches(spark):
     model = fit_quality(spark, docs, labels)
     omega, zeta = (model.content[1 + SHAPES + _bucket(w)] for w in ("omega", "zeta"))
     assert docs.filter("text like '%zeta'").count() > 50 and omega > 0.05 and zeta < -0.05
+
+
+def test_scores_from_packed_features(spark):
+    rnd = random.Random(21)
+    words = "the river and old town of bright stones walks over fields".split()
+    rows = [(i, " ".join(rnd.choice(words) if i % 2 else rnd.choice(words).upper() + "!!" for _ in range(rnd.randint(5, 60))), "en", "web" if i % 3 else "shop", 10 * i) for i in range(120)]
+    rows += [(500, None, None, None, None), (501, "", "en", "web", 0), (502, "the river " * 30_000, "en", "web", 300_000), (None, "no id", "en", "web", 5), (7, rows[7][1], "en", "web", 70)]
+    docs = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, label string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 3)] + [(None, 1)], "doc_id long, quality int")
+    model = fit_quality(spark, docs, labels)
+    plain = sorted((r.doc_id or -1, r.content_score, r.metadata_score, r.score) for r in score_documents(docs, model).collect())
+    quick = sorted((r.doc_id or -1, r.content_score, r.metadata_score, r.score) for r in score_packed(pack_features(docs), model).collect())
+    assert len(plain) == len(quick) == len(rows) and np.allclose(plain, quick, atol=1e-5)
+    kept = retain_documents(docs, model)
+    assert kept.columns == docs.columns and {r.label for r in kept.collect()} <= {"x"}
+    assert [r.score for r in score_packed(pack_features(docs), None).collect()] == [None] * len(rows)
+    assert score_packed(pack_features(docs.limit(0)), model).count() == 0

@@ -21,9 +21,11 @@ upper bound of the pseudo-labelled loss that these make, PASSES times a round, s
 fit lowers the loss over all of them; the sums do not grow with the number of rows.
 Scoring covers every row and its whole text in one map without a shuffle.
 
-Null texts have no words, null metadata is a value of its own. Without labels of
+Null texts have no words, texts of any length are read whole, null metadata is a value of
+its own. Columns but doc_id, text and the metadata are not read and, in
+``retain_documents``, come along. Without labels of
 both kinds there is no model: scores are null and every document stays. Repeated
-rows are scored as often as they occur.
+rows and rows without an id are scored as often as they occur.
 """
 
 from __future__ import annotations
@@ -221,21 +223,41 @@ def co_train(sample: list[tuple[int, list[float], list[int], list[float], list[i
     return Model(models[0].astype("float32"), models[1].astype("float32"), tuple(odds), tuple(map(float, mixed)))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """The features of every row as bytes: shapes, word buckets with their counts, and metadata."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("shapes", "buckets", "weights", "meta"))])
+KINDS = {"shapes": "f4", "buckets": "u2", "weights": "f4", "meta": "u1"}
+
+
+def pack_features(docs: DataFrame) -> DataFrame:
+    """The features of every row as bytes beside its doc_id: shapes, word buckets with their weights, and metadata."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in KINDS)])
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            kinds = ("f4", "u2", "f4", "u1")
-            rows = [[np.array(x, k).tobytes() for x, k in zip(f, kinds)] for f in _features(frame)]
-            out = pd.DataFrame(rows, columns=["shapes", "buckets", "weights", "meta"])
+            rows = [[np.array(x, k).tobytes() for x, k in zip(f, KINDS.values())] for f in _features(frame)]
+            out = pd.DataFrame(rows, columns=list(KINDS))
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
     return map_texts(_with_metadata(docs), each, schema)
 
 
+class _Packed:
+    """A batch of packed features as arrays."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.n = len(frame)
+        read = lambda c: np.frombuffer(b"".join(frame[c]), KINDS[c])
+        self.shapes = read("shapes").reshape(self.n, SHAPES).astype(float)
+        self.buckets, self.weights = read("buckets").astype(int), read("weights").astype(float)
+        self.meta = read("meta").reshape(self.n, -1).astype(int)
+        self.row = np.repeat(np.arange(self.n), [len(b) // 2 for b in frame["buckets"]])
+
+    def content(self, w: np.ndarray) -> np.ndarray:
+        return w[0] + self.shapes @ w[1 : SHAPES + 1] + np.bincount(self.row, w[SHAPES + 1 :][self.buckets] * self.weights, self.n)
+
+    def metadata(self, w: np.ndarray) -> np.ndarray:
+        return w[0] + w[1:][self.meta].sum(1)
+
+
 def _log_odds(z: np.ndarray, calibration: tuple[float, float]) -> np.ndarray:
     return np.clip(calibration[0] * z + calibration[1], -35, 35)
 
@@ -251,25 +273,16 @@ def _sums(frames: Iterator[pd.DataFrame], content: View, metadata: View, at: np.
     combinations: Counter = Counter()
     sure = math.log(CONFIDENT / (1 - CONFIDENT))
     for frame in frames:
-        n = len(frame)
-        if not n:
+        if not len(frame):
             continue
-        shapes = np.frombuffer(b"".join(frame["shapes"]), "f4").reshape(n, SHAPES).astype(float)
-        sizes = np.array([len(b) // 2 for b in frame["buckets"]], int)
-        buckets = np.frombuffer(b"".join(frame["buckets"]), "u2").astype(int)
-        weights = np.frombuffer(b"".join(frame["weights"]), "f4").astype(float)
-        meta = np.frombuffer(b"".join(frame["meta"]), "u1").reshape(n, -1).astype(int)
-        row = np.repeat(np.arange(n), sizes)
-
-        def times(w: np.ndarray) -> np.ndarray:
-            return w[0] + shapes @ w[1 : SHAPES + 1] + np.bincount(row, w[SHAPES + 1 :][buckets] * weights, n)
-
-        says = _log_odds(times(content[0]), content[1])
+        held = _Packed(frame)
+        shapes, buckets, weights, meta, row, n = held.shapes, held.buckets, held.weights, held.meta, held.row, held.n
+        says = _log_odds(held.content(content[0]), content[1])
         for key, good in zip(meta[np.abs(says) >= sure] @ (1 << META_BITS * np.arange(meta.shape[1])), says[np.abs(says) >= sure] > 0):
             combinations[int(key), bool(good)] += 1
-        told = _log_odds(metadata[0][0] + metadata[0][1:][meta].sum(1), metadata[1])
+        told = _log_odds(held.metadata(metadata[0]), metadata[1])
         share = np.where(np.abs(told) >= sure, PSEUDO, 0.0)
-        z = np.clip(times(at), -35, 35)
+        z = np.clip(held.content(at), -35, 35)
         missing = share * ((told > 0) - 1 / (1 + np.exp(-z)))
         half = np.maximum(np.abs(z) / 2, 1e-6)
         # of a row's curvature, its largest for any weights by the tangent bound, each weight takes its part of the row's sum
@@ -322,33 +335,35 @@ def _features(frame: pd.DataFrame) -> Iterator[tuple]:
         yield _row_features(*row)
 
 
-def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None) -> Model | None:
+def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None, packed: DataFrame | None = None) -> Model | None:
+    """Co-train on the documents' features; ``packed`` are those of ``pack_features``, if they are already written."""
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     number = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
     if len(number) < 2:
         return None
+    scratch = Scratch(spark, "quality")
+    own = packed is None
+    if own:
+        packed = scratch.keep(pack_features(docs))
     order = [F.xxhash64(F.lit("co-training"), "doc_id"), F.col("doc_id")]
     kinds = [ids.filter(F.col("label") == q).orderBy(*order).limit(labelled // 2) for q in (0, 1)]
     chosen = spark.createDataFrame(kinds[0].unionByName(kinds[1]).collect(), "doc_id long, label int")
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = list(_features(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"].astype("Int32"), **{c: [r[k] for r in rows] for k, c in enumerate(("shapes", "buckets", "weights", "meta"))}})
-
-    schema = "doc_id long, label int, shapes array<float>, buckets array<int>, weights array<float>, meta array<int>"
-    found = bound_batches(_with_metadata(docs)).join(F.broadcast(chosen), "doc_id").mapInPandas(each, schema).collect()
-    found = sorted({r.doc_id: r for r in found}.values(), key=lambda r: zlib.crc32(b"%d" % r.doc_id))
-    others = docs
+    # of rows that repeat an id, the one of the least features stands for it
+    found = packed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*KINDS)).alias("f")).select("doc_id", "label", "f.*").collect()
+    read = lambda r, c: np.frombuffer(r[c], KINDS[c]).tolist()
+    sample = [(r.label, *(read(r, c) for c in KINDS)) for r in sorted(found, key=lambda r: zlib.crc32(b"%d" % r.doc_id))]
+    others = packed
     if pool is not None:
-        least = docs.select("doc_id").filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
-        others = docs.join(least, "doc_id", "left_semi")
-    scratch = Scratch(spark, "quality")
+        least = packed.select("doc_id").filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
+        others = packed.join(least, "doc_id", "left_semi")
     # only rows that could be labelled meet the labels, so the features of the others stay where they are
-    marked = mark_ids(scratch, _with_metadata(others), "doc_id", ids.select("doc_id"), "maybe")
-    unlabelled = scratch.keep(_packed(marked.filter("NOT maybe")).unionByName(_packed(marked.filter("maybe")).join(ids, "doc_id", "left_anti")))
-    model = co_train([(r.label, r.shapes, r.buckets, r.weights, r.meta) for r in found], (number[0], number[1]), _teacher(unlabelled))
-    scratch.drop(unlabelled)
+    marked = mark_ids(scratch, others, "doc_id", ids.select("doc_id"), "maybe")
+    doubtful = scratch.keep(marked.filter("maybe").join(ids, "doc_id", "left_anti").select(*KINDS))
+    unlabelled = marked.filter("NOT maybe").select(*KINDS).unionByName(doubtful)
+    model = co_train(sample, (number[0], number[1]), _teacher(unlabelled))
+    scratch.drop(doubtful)
+    if own:
+        scratch.drop(packed)
     return model
 
 
@@ -369,6 +384,27 @@ def score_documents(docs: DataFrame, model: Model | None, min_score: float = MIN
     return map_texts(_with_metadata(docs), each, schema)
 
 
+def score_packed(packed: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """What ``score_documents`` gives, from features that are already written."""
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in COLUMNS[:3]), T.StructField("kept", T.BooleanType())])
+    if model is None:
+        return packed.select("doc_id", *(F.lit(None).cast("double").alias(c) for c in COLUMNS[:3]), F.lit(True).alias("kept"))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            held = _Packed(frame)
+            x, y = (a * z + b for z, (a, b) in zip((held.content(model.content.astype(float)), held.metadata(model.metadata.astype(float))), model.calibration))
+            k, m, n = model.mixture
+            scores = [1 / (1 + np.exp(-np.clip(z, -35, 35))) for z in (x, y, k + m * x + n * y)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], **dict(zip(COLUMNS, scores)), "kept": scores[2] >= min_score})
+        give_back()
+
+    texts = packed.select(F.col("doc_id").cast("string").alias("doc_id"), *KINDS)
+    return bound_batches(texts).mapInPandas(each, schema).withColumn("doc_id", F.col("doc_id").cast(packed.schema["doc_id"].dataType))
+
+
 def retain_documents(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows that are kept, with all their columns."""
     if model is None:

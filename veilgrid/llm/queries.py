@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veilgrid.llm.ann import every_nth, nearest
 from veilgrid.llm.bpe import digest_documents
 from veilgrid.llm.chat_format import conversation_digest
-from veilgrid.llm.common import table
+from veilgrid.llm.common import Scratch, table
 from veilgrid.llm.html_extract import extract_pages
 from veilgrid.llm.line_dedup import dedup_lines
 from veilgrid.llm.ngram_join import components
 from veilgrid.llm.packing import pack_documents
-from veilgrid.llm.quality_classifier import fit_quality, score_documents
+from veilgrid.llm.quality_classifier import fit_quality, pack_features, score_packed
 from veilgrid.llm.quality_rules import fit_line_field, judge_documents
 from veilgrid.llm.sharding import shard_digest
 
@@ -48,7 +48,8 @@ def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, fit_quality(spark, docs, table(spark, sf_dir, "labels")))
+    packed = Scratch(spark, "op6").keep(pack_features(docs))  # once for fitting and scoring
+    return score_packed(packed, fit_quality(spark, docs, table(spark, sf_dir, "labels"), packed=packed))
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
