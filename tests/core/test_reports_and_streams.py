@@ -1,8 +1,9 @@
 import json
+from pathlib import Path
 
 import pytest
 
-from veilgrid.operators import baseline
+from veilgrid.operators import baseline, inventory
 from veilgrid.plans import finding_queries as q
 from veilgrid.sources import files, reports
 from veilgrid.streaming import literal_stream
@@ -15,18 +16,35 @@ def findings(spark):
     return reports.flow_findings(baseline.mark(flows, accepted))
 
 
-def test_documents(findings):
+def document(findings, name):
+    return "\n".join(r.text for r in reports.render(findings, name).orderBy("place").collect())
+
+
+def test_documents(findings, tmp_path):
     assert reports.formats() == ["gitlab", "json", "markdown", "sarif", "text"]
     rows = findings.collect()
-    made = {f: reports.render(findings, f).first().document for f in reports.formats()}
+    made = {f: document(findings, f) for f in reports.formats()}
     sarif = json.loads(made["sarif"])
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) == len(rows)
     assert len(json.loads(made["json"])["findings"]) == len(rows)
     assert len(json.loads(made["gitlab"])["vulnerabilities"]) == sum(r.is_new for r in rows)
-    assert made["markdown"].count("\n| ") == len(rows) + 1 and made["text"].count("\n") == len(rows)
+    assert made["markdown"].count("\n| ") == len(rows) + 1 and made["text"].count("\n") == len(rows) - 1
+    reports.write_document(reports.render(findings, "sarif"), str(tmp_path / "sarif"))
+    written = "".join(p.read_text() for p in sorted((tmp_path / "sarif").glob("part-*")))
+    assert written.rstrip("\n") == made["sarif"]
     with pytest.raises(ValueError):
         reports.render(findings, "carrier pigeon")
-    assert json.loads(reports.render(findings.limit(0), "sarif").first().document)["runs"][0]["results"] == []
+    assert json.loads(document(findings.limit(0), "sarif"))["runs"][0]["results"] == []
+
+
+def test_impact_report(spark):
+    flows = q._applied(spark)
+    kinds = q.type_inventory(spark, "/root/testdata/sf0.001") if Path("/root/testdata/sf0.001").exists() else None
+    if kinds is None:
+        pytest.skip("no data tables here")
+    rows = reports.impact_report(inventory.recipients(flows), kinds).collect()
+    assert {r.section for r in rows} == {"recipients", "data types"}
+    assert sorted(r.place for r in rows if r.section == "data types") == list(range(1, kinds.count() + 1))
 
 
 def test_inventory_columns(spark):

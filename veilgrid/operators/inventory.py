@@ -110,7 +110,7 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     style = F.when(F.col("calls"), " [style=dashed]").otherwise(F.format_string(' [label="%s"]', F.array_join("data_types", ", ")))
     e = edges.select(F.lit(2).alias("part"), F.format_string("  %s -> %s%s;", quoted(F.col("from_id")), quoted(F.col("to_id")), style).alias("text"))
     ends = nodes.sparkSession.createDataFrame([(0, "digraph flows {"), (3, "}")], "part int, text string")
-    return ends.unionByName(n).unionByName(e).withColumn("line", F.row_number().over(Window.orderBy("part", "text"))).select("line", "text")
+    return with_place(ends.unionByName(kept(n)).unionByName(kept(e)), [F.col("part"), F.col("text")]).select(F.col("place").alias("line"), "text")
 
 
 def mermaid(edges: DataFrame) -> DataFrame:

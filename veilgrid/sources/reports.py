@@ -2,8 +2,9 @@
 
 Renderers are a table of functions by name; ``register`` adds others. Findings have kind,
 rule, data_type, severity, file, line, col, message, fingerprint, is_new, violation. A
-document is one string per report; findings lists of any size go out row-wise with
-``write_rows`` instead.
+document is a table of text lines with their places, so that no task and no string holds
+all findings; ``write_document`` writes it in parallel, to files that make the document in
+the order of their names.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from veilgrid.functions.ranking import with_place
+from veilgrid.sources.scratch import kept
 
 TOOL, VERSION = "veilgrid", "1"
 SARIF_VERSION, GITLAB_VERSION = "2.1.0", "15.0.7"
@@ -33,7 +36,7 @@ def formats() -> list[str]:
 
 
 def render(findings: DataFrame, name: str) -> DataFrame:
-    """One row with the column ``document``."""
+    """(place, text): the lines of a document in order."""
     if name not in _RENDERERS:
         raise ValueError(f"no renderer {name!r}; there are {', '.join(formats())}")
     return _RENDERERS[name](findings)
@@ -57,23 +60,29 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("fingerprint", "file", "line", "col", level().alias("level"), F.to_json(result).alias("result"))
 
 
-def _listed(findings: DataFrame, item: str) -> DataFrame:
-    """All items as one JSON array, in report order."""
-    order = F.struct("file", "line", "col", "fingerprint", item)
-    held = findings.agg(F.array_sort(F.collect_list(order)).alias("rows"))
-    return held.select(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r[item]), ","), F.lit("]")).alias("items"))
+def _lines(items: DataFrame, order: list, head: str | Column, tail: str = "", separator: str = "") -> DataFrame:
+    """Lines of ``item`` in their order between a head and a tail; the head may count ``n`` new findings."""
+    spark = items.sparkSession
+    placed = kept(with_place(items.select("item", *(F.col(c).alias(f"o{k}") for k, c in enumerate(order))), [F.col(f"o{k}") for k in range(len(order))] + [F.col("item")]))
+    body = placed.select(F.col("place").cast("long").alias("place"), F.concat(F.when(F.col("place") > 1, separator).otherwise(""), "item").alias("text"))
+    top = spark.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(head).alias("text")) if isinstance(head, str) else items.agg(F.count_if("is_new").alias("n")).select(F.lit(0).cast("long").alias("place"), head.alias("text"))
+    out = body if isinstance(head, str) and not head else body.unionByName(kept(top))
+    return out.unionByName(spark.createDataFrame([(2**62, tail)], "place long, text string")) if tail else out
+
+
+_ORDER = ["file", "line", "col", "fingerprint"]
 
 
 @register("sarif")
 def sarif(findings: DataFrame) -> DataFrame:
     head = f'{{"version":"{SARIF_VERSION}","$schema":"https://json.schemastore.org/sarif-{SARIF_VERSION}.json","runs":[{{"tool":{{"driver":{{"name":"{TOOL}"}}}},"results":'
-    return _listed(sarif_results(findings), "result").select(F.concat(F.lit(head), "items", F.lit("}]}")).alias("document"))
+    return _lines(sarif_results(findings).withColumnRenamed("result", "item"), _ORDER, head + "[", "]}]}", ",")
 
 
 @register("json")
 def json_report(findings: DataFrame) -> DataFrame:
     rows = findings.withColumn("item", F.to_json(F.struct(*findings.columns)))
-    return _listed(rows, "item").select(F.concat(F.lit(f'{{"version":{VERSION},"findings":'), "items", F.lit("}")).alias("document"))
+    return _lines(rows, _ORDER, f'{{"version":{VERSION},"findings":[', "]}", ",")
 
 
 @register("gitlab")
@@ -86,7 +95,7 @@ def gitlab(findings: DataFrame) -> DataFrame:
     )
     rows = findings.filter("is_new").withColumn("item", F.to_json(item))
     scan = f'"scan":{{"type":"sast","analyzer":{{"id":"{TOOL}","name":"{TOOL}"}},"status":"success"}}'
-    return _listed(rows, "item").select(F.concat(F.lit(f'{{"version":"{GITLAB_VERSION}",{scan},"vulnerabilities":'), "items", F.lit("}")).alias("document"))
+    return _lines(rows, _ORDER, f'{{"version":"{GITLAB_VERSION}",{scan},"vulnerabilities":[', "]}", ",")
 
 
 def markdown_rows(findings: DataFrame) -> DataFrame:
@@ -98,17 +107,19 @@ def markdown_rows(findings: DataFrame) -> DataFrame:
 
 @register("markdown")
 def markdown(findings: DataFrame) -> DataFrame:
-    order = F.struct(~F.col("is_new"), "file", "line", "col", "item")
-    held = markdown_rows(findings).agg(F.count_if("is_new").alias("n"), F.array_sort(F.collect_list(order)).alias("rows"))
-    head = F.concat(F.lit("## Sensitive data: "), F.col("n").cast("string"), F.lit(" new\n\n| status | severity | data | place | finding |\n|---|---|---|---|---|\n"))
-    return held.select(F.concat(head, F.array_join(F.transform("rows", lambda r: r["item"]), "\n"), F.lit("\n")).alias("document"))
+    head = F.concat(F.lit("## Sensitive data: "), F.col("n").cast("string"), F.lit(" new\n\n| status | severity | data | place | finding |\n|---|---|---|---|---|"))
+    return _lines(markdown_rows(findings).withColumn("old", ~F.col("is_new")), ["old", *_ORDER], head)
 
 
 @register("text")
 def text(findings: DataFrame) -> DataFrame:
     line = F.format_string("%s:%d:%d: %s: %s [%s]", "file", F.col("line").cast("long"), F.col("col").cast("long"), "severity", "message", "rule")
-    held = findings.withColumn("item", line).agg(F.array_sort(F.collect_list(F.struct("file", "line", "col", "item"))).alias("rows"))
-    return held.select(F.concat(F.array_join(F.transform("rows", lambda r: r["item"]), "\n"), F.lit("\n")).alias("document"))
+    return _lines(findings.withColumn("item", line), _ORDER, "")
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """A document's lines as text files, whose concatenation in the order of their names is the document."""
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("text").write.mode("overwrite").text(path)
 
 
 def flow_findings(flows: DataFrame) -> DataFrame:
@@ -151,6 +162,6 @@ def write_rows(findings: DataFrame, path: str) -> None:
 def impact_report(recipients: DataFrame, data_types: DataFrame) -> DataFrame:
     """An impact assessment as rows (section, place, text) of Markdown."""
     to = recipients.select(F.lit("recipients").alias("section"), "place", F.format_string("| %s | %s | %d | %d | %s |", "name", "dest_kind", "flows", "violations", F.array_join("data_types", ", ")).alias("text"))
-    kinds = data_types.withColumn("place", F.row_number().over(Window.orderBy("data_type")))
+    kinds = with_place(data_types, [F.col("data_type")])
     of = kinds.select(F.lit("data types").alias("section"), "place", F.format_string("| %s | %s | %s | %d |", "data_type", F.array_join("recipients", ", "), F.array_join("stored_in", ", "), "committed").alias("text"))
-    return of.unionByName(to)
+    return kept(of).unionByName(kept(to))
