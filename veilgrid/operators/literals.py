@@ -87,16 +87,21 @@ def scan(
     kept = [c for c in df.columns if c != text_col]
     rows = lines(readable(df, text_col), text_col).filter(F.col("n_bytes") <= D.MAX_LINE_BYTES)
     line = F.col("content")
-    secrets = []
-    for data_type, detector, pattern, keywords, confidence, bits in value_patterns:
-        if confidence < min_confidence:
-            continue
-        held = rows.filter(reduce(lambda a, b: a | b, [F.contains(line, F.lit(k)) for k in keywords]))
-        held = held.withColumn("m", F.explode(D.matches(line, D.within_ascii(pattern), 1))).filter(~D.placeholder_secret(F.col("m.value")) & (D.entropy(F.col("m.value")) >= bits))
-        t = F.lit(data_type)
-        secrets.append(held.select(*kept, "line", F.col("m.col").cast("long").alias("col"), t.alias("data_type"), D.mask_secret(F.col("m.value")).alias("masked"), D.value_hash(t, F.col("m.value")).alias("value_hash"), F.lit(confidence).alias("confidence"), F.lit(detector).alias("detector")))
+    said = lambda keywords: reduce(lambda a, b: a | b, [F.contains(line, F.lit(k)) for k in keywords])
+    patterns = [p for p in value_patterns if p[4] >= min_confidence]
 
-    marked = rows.filter(line.rlike("[0-9]{3}|@|[A-Z]{2}[0-9]{2}"))
+    def secret(data_type: str, detector: str, pattern: str, keywords: list[str], confidence: float, bits: float) -> Column:
+        """The findings of one value pattern in a line, or null where none of its keywords stands."""
+        t = F.lit(data_type)
+        fine = F.filter(D.matches(line, D.within_ascii(pattern), 1), lambda m: ~D.placeholder_secret(m["value"]) & (D.entropy(m["value"]) >= bits))
+        return F.when(said(keywords), F.transform(fine, lambda m: F.struct(
+            m["col"].cast("long").alias("col"), t.alias("data_type"), D.mask_secret(m["value"]).alias("masked"), D.value_hash(t, m["value"]).alias("value_hash"),
+            F.lit(confidence).cast("double").alias("confidence"), F.lit(detector).alias("detector"), m["start"].alias("start"), F.length(m["value"]).alias("size"))))
+
+    # every line is read once, whatever the number of detectors
+    secrets = F.flatten(F.filter(F.array(*(secret(*p) for p in patterns)), lambda x: x.isNotNull())) if patterns else None
+    likely = line.rlike("[0-9]{3}|@|[A-Z]{2}[0-9]{2}")
+    marked = rows.filter(likely | said([k for p in patterns for k in p[3]]) if patterns else likely)
     mails = F.filter(
         F.transform(D.matches(line, D.EMAIL), lambda m: _finding("email", _raw(m), D.email_confidence(m["value"], line, m["start"], placeholder_domains), "email-format")), lambda f: f["confidence"] > 0
     )
@@ -112,22 +117,22 @@ def scan(
     ibans = F.transform(F.filter(D.matches(line, D.IBAN), lambda m: D.valid_iban(plain(m)) & ~plain(m).isin(D.DOC_IBANS)), lambda m: _finding("bank_account", _raw(m, plain(m)), F.lit(0.8), "iban-mod97"))
     free = lambda held: lambda f: ~F.exists(held, lambda o: (f["start"] < o["start"] + o["size"]) & (f["start"] + f["size"] > o["start"]))
     found = marked.withColumn("mails", mails).withColumn("cards", F.filter(cards, free(F.col("mails")))).withColumn("ssns", F.filter(ssns, free(F.concat("mails", "cards"))))
-    found = found.withColumn("f", F.explode(F.concat("mails", "cards", "ssns", ibans)))
+    every = ["mails", "cards", "ssns", ibans]
+    found = found.withColumn("f", F.explode(F.concat(*every, secrets) if patterns else F.concat(*every)))
     if types is not None:
         found = names.with_context(found, "content", types)
-        said = lambda *ids: F.arrays_overlap("context", F.array(*map(F.lit, ids)))
+        beside = lambda *ids: F.arrays_overlap("context", F.array(*map(F.lit, ids)))
         raised = (
-            F.when((F.col("f.data_type") == "email") & said("email"), F.col("f.confidence") + 0.1)
-            .when((F.col("f.data_type") == "credit_card") & said("credit_card", "card_security_code", "card_expiry", "cardholder_name"), F.col("f.confidence") + 0.1)
-            .when((F.col("f.data_type") == "us_ssn") & said("us_ssn"), 0.92)
-            .when((F.col("f.data_type") == "bank_account") & said("bank_account"), 0.95)
+            F.when((F.col("f.data_type") == "email") & beside("email"), F.col("f.confidence") + 0.1)
+            .when((F.col("f.data_type") == "credit_card") & beside("credit_card", "card_security_code", "card_expiry", "cardholder_name"), F.col("f.confidence") + 0.1)
+            .when((F.col("f.data_type") == "us_ssn") & beside("us_ssn"), 0.92)
+            .when((F.col("f.data_type") == "bank_account") & beside("bank_account"), 0.95)
             .otherwise(F.col("f.confidence"))
         )
     else:
         raised = F.col("f.confidence")
     values = found.withColumn("confidence", raised).filter(F.col("confidence") >= min_confidence)
-    values = values.select(*kept, "line", "f.col", "f.data_type", "f.masked", "f.value_hash", D.rounded(F.col("confidence")).alias("confidence"), "f.detector")
-    return reduce(DataFrame.unionByName, secrets, values)
+    return values.select(*kept, "line", "f.col", "f.data_type", "f.masked", "f.value_hash", D.rounded(F.col("confidence")).alias("confidence"), "f.detector")
 
 
 #: Folders of translation catalogs and names of community files.
