@@ -17,7 +17,7 @@ def test_all_detectors_find_what_the_sql_finds(spark, name, table, key, text):
     if not DATA.exists():
         pytest.skip("no data tables here")
     fixture = catalog.oracle_sql()["L16_all_detectors"]
-    sql = f"WITH texts AS (SELECT {key} AS id, {text} AS text FROM '{DATA}/{table}.parquet'), {fixture[fixture.index('raw_lines AS') :]}"
+    sql = f"WITH texts AS (SELECT {key} AS id, {text} AS text FROM '{DATA}/{table}.parquet'), {fixture[fixture.index('raw_lines AS') :]}"  # without the labels
     columns = ["line", "col", "data_type", "masked", "value_hash", "detector"]
     expected = duckdb.connect().sql(f"SELECT id, {', '.join(columns)}, confidence FROM ({sql})").fetchall()
     found = catalog.queries()[f"L16_all_detectors_{name}"](spark, str(DATA)).select(key, *columns, "confidence").collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import detect as D
 from veilgrid.functions import taxonomy
 from veilgrid.operators import literals
+from veilgrid.plans import program_queries as P
 from veilgrid.plans.fixtures import Fixture, sql_list, sql_value, with_
 from veilgrid.sources.tables import table
 
@@ -225,6 +226,16 @@ def mixed(spark, _):
     return literals.scan(MIXED.df(spark))
 
 
+LABELLED = Fixture(
+    "labelled", "id int, text string",
+    [(1, "email: jane.roe@corp.io"), (2, "jane.roe@corp.io"), (3, "card number 4532 1098 3172 6508 and cvv"), (4, "4532 1098 3172 6508"), (5, "SSN 536-22-1234\nother 536-22-1234"), (6, "iban FR76 3000 6000 0112 3456 7890 189"), (7, "pay FR76 3000 6000 0112 3456 7890 189"), (8, "phone of jane.roe@corp.io")],
+)
+
+
+def labelled(spark, _):
+    return literals.scan(LABELLED.df(spark), types=taxonomy.data_types(spark))
+
+
 def all_detectors_documents(spark, sf_dir):
     return literals.scan(_docs(spark, sf_dir), types=taxonomy.data_types(spark))
 
@@ -233,7 +244,8 @@ def all_detectors_pages(spark, sf_dir):
     return literals.scan(table(spark, sf_dir, "pages").select("page_id", "html"), "html", types=taxonomy.data_types(spark))
 
 
-def _mixed_sql() -> str:
+def _mixed_ctes() -> str:
+    """CTEs from ``texts`` (id, text) to ``every``, the findings of all detectors."""
     secrets = []
     for data_type, detector, pattern, keywords, confidence, bits in taxonomy.VALUE_PATTERNS:
         said = " OR ".join(f"contains(content, '{k}')" for k in keywords)
@@ -249,7 +261,7 @@ WHERE NOT (contains(v, '{D.SAMPLE_TOKEN}') OR {marks}) AND {ENTROPY_SQL} >= {bit
     shape = "id, line, col, start, length(m) AS size"
     found = lambda t, det: f"'{t}' AS data_type, {mask_sql(sql_value(t), 'v')} AS masked, {digest_sql(sql_value(D.HASH_PREFIX), sql_value(t), 'lower(v)')} AS value_hash, CAST(c AS DOUBLE) AS confidence, '{det}' AS detector"
     free = lambda other: f"NOT EXISTS (SELECT 1 FROM {other} o WHERE o.id = f.id AND o.line = f.line AND f.start < o.start + o.size AND f.start + f.size > o.start)"
-    return f"""{with_(MIXED, lines_sql("texts", "id", "text"))},
+    return f"""{lines_sql("texts", "id", "text")},
 {matches_sql(EMAIL_RE, "id", "@", "em")},
 {matches_sql(CARD_RE, "id", "[0-9]", "cm")},
 {matches_sql(SSN_RE, "id", "[0-9]", "sm")},
@@ -261,10 +273,25 @@ taken AS (SELECT id, line, start, size FROM mails UNION ALL SELECT id, line, sta
 ssns AS (SELECT * FROM (SELECT {shape}, {found("us_ssn", "ssn-structure")} FROM (SELECT *, m AS v, 0.6 AS c FROM sm)
   WHERE NOT (substr(v, 1, 3) IN ('000', '666') OR v[1] = '9' OR substr(v, 5, 2) = '00' OR substr(v, 8) = '0000' OR replace(v, '-', '') IN ({sql_list(D.AD_SSNS)}))) f WHERE {free("taken")}),
 ibans AS (SELECT {shape}, {found("bank_account", "iban-mod97")} FROM (SELECT *, replace(m, ' ', '') AS v, 0.8 AS c FROM im) WHERE v NOT IN ({sql_list(D.DOC_IBANS)}) AND {valid_iban_sql("v")}),
-secrets AS ({" UNION ALL ".join(secrets)})
-SELECT id, line, col, data_type, masked, value_hash, confidence, detector FROM (
+secrets AS ({" UNION ALL ".join(secrets)}),
+every AS (SELECT id, line, col, data_type, masked, value_hash, confidence, detector FROM (
   SELECT * EXCLUDE (start, size) FROM mails UNION ALL BY NAME SELECT * EXCLUDE (start, size) FROM cards UNION ALL BY NAME
-  SELECT * EXCLUDE (start, size) FROM ssns UNION ALL BY NAME SELECT * EXCLUDE (start, size) FROM ibans UNION ALL BY NAME SELECT * FROM secrets)"""
+  SELECT * EXCLUDE (start, size) FROM ssns UNION ALL BY NAME SELECT * EXCLUDE (start, size) FROM ibans UNION ALL BY NAME SELECT * FROM secrets))"""
+
+
+def _labelled_sql(table_name: str, key: str, text: str) -> str:
+    """All findings of a table, with the confidence that labels in their lines give them."""
+    said = "(SELECT unnest(context) FROM contexts c WHERE c.name = l.content)"
+    raised = f"""CASE WHEN e.data_type = 'email' AND 'email' IN {said} THEN e.confidence + 0.1
+  WHEN e.data_type = 'credit_card' AND len(list_intersect(coalesce((SELECT context FROM contexts c WHERE c.name = l.content), []), ['credit_card', 'card_security_code', 'card_expiry', 'cardholder_name'])) > 0 THEN e.confidence + 0.1
+  WHEN e.data_type = 'us_ssn' AND 'us_ssn' IN {said} THEN 0.92 WHEN e.data_type = 'bank_account' AND 'bank_account' IN {said} THEN 0.95 ELSE e.confidence END"""
+    return f"""WITH texts AS (SELECT {key} AS id, {text} AS text FROM {table_name}),
+{_mixed_ctes()},
+names AS (SELECT DISTINCT l.content AS name FROM lines l JOIN every e ON e.id = l.id AND e.line = l.line),
+{P._patterns_cte()},
+said AS (SELECT name, {P._singular} AS toks FROM (SELECT name, {P.SPLIT_SQL} AS raw, [{sql_list(P._vocabulary())}] AS vocabulary FROM names)),
+contexts AS (SELECT s.name, list(DISTINCT p.data_type) AS context FROM said s JOIN patterns p ON NOT (p.weak AND p.n = 1 AND length(p.joined) < 3) AND len(list_filter(range(1, len(s.toks) - p.n + 2), lambda i: s.toks[i:i + p.n - 1] = p.toks)) > 0 GROUP BY s.name)
+SELECT e.id AS {key}, e.line, col, data_type, masked, value_hash, {rounded_sql(f"({raised})")} AS confidence, detector FROM every e JOIN lines l ON l.id = e.id AND l.line = e.line"""
 
 
 QUERIES = {
@@ -277,6 +304,7 @@ QUERIES = {
     "L14_ssn": ssn,
     "L15_iban": iban,
     "L16_all_detectors": mixed,
+    "L05_labelled": labelled,
     "L16_all_detectors_documents": all_detectors_documents,
     "L16_all_detectors_pages": all_detectors_pages,
     "L19_entropy": entropy,
@@ -297,7 +325,10 @@ ORACLE_SQL = {
     "L09_card_findings_pages": _cards_sql("pages", "page_id", "html"),
     "L14_ssn": with_(VALUES) + f"SELECT id, NOT (substr(v, 1, 3) IN ('000', '666') OR v[1] = '9' OR substr(v, 5, 2) = '00' OR substr(v, 8) = '0000' OR replace(v, '-', '') IN ({sql_list(D.AD_SSNS)})) AS valid FROM samples WHERE data_type = 'us_ssn'",
     "L15_iban": with_(VALUES) + f"SELECT id, {valid_iban_sql('v')} AS valid FROM samples WHERE data_type = 'bank_account'",
-    "L16_all_detectors": _mixed_sql(),
+    "L16_all_detectors": with_(MIXED, _mixed_ctes()) + "SELECT * FROM every",
+    "L16_all_detectors_documents": _labelled_sql("documents", "doc_id", "text"),
+    "L16_all_detectors_pages": _labelled_sql("pages", "page_id", "html"),
+    "L05_labelled": with_(LABELLED) + "SELECT * FROM (" + _labelled_sql("labelled", "id", "text").replace("WITH texts", "WITH texts", 1) + ")",
     "L19_entropy": with_(VALUES) + f"SELECT id, round({ENTROPY_SQL}, 6) AS bits FROM samples",
     "L20_masks": with_(VALUES) + f"SELECT id, {mask_sql('data_type', 'v')} AS masked, CASE WHEN length(v) <= 8 THEN '********' ELSE substr(v, 1, 4) || '********' END AS as_secret FROM samples",
     "L22_value_hashes": with_(VALUES) + f"SELECT id, {digest_sql(sql_value(D.HASH_PREFIX), 'data_type', 'lower(v)')} AS value_hash FROM samples",
