@@ -159,6 +159,11 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     return BytePairCodec(path, pattern)
 
 
+def forget() -> None:
+    """Let go the codecs."""
+    codec.cache_clear()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, its token ids as little-endian 32-bit bytes, and their decoded bytes.
 

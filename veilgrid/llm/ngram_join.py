@@ -75,6 +75,11 @@ def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
+def forget() -> None:
+    """Let go the powers."""
+    _powers.cache_clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(31))) * _U(_MULTIPLIERS[1])
     x = (x ^ (x >> _U(27))) * _U(_MULTIPLIERS[2])

@@ -131,6 +131,11 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+def forget() -> None:
+    """Let go the tokenizers with the chunks that they remember."""
+    tokenizer.cache_clear()
+
+
 def _groups(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
     """Texts in groups of about GROUP_CHARS characters; a longer one is a group of its own."""
     begin, size = 0, 0

@@ -68,6 +68,11 @@ def _bucket(word: str) -> int:
     return known
 
 
+def forget() -> None:
+    """Let go the remembered words."""
+    _buckets.clear()
+
+
 def content_features(text: str | None) -> tuple[list[float], list[int], list[float]]:
     """Shape measures in 0..1, and word buckets with weights of unit length."""
     text = text or ""
