@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
@@ -185,3 +186,16 @@ def test_workers_hold_no_tables_of_earlier_operators(spark):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("left", T.LongType()), T.StructField("met", T.BooleanType())])
     rows = map_texts(docs, held, schema).collect()
     assert {(r.left, r.met) for r in rows} == {(0, True)}
+
+
+def test_stages_hold_little_of_a_table_at_once(spark, tmp_path):
+    """Every task has a row group that it reads and one that it writes on the heap."""
+    words = "array_join(transform(sequence(1, 40), k -> sha2(concat(id, ' ', k), 512)), ' ')"
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", f"{words} AS text")
+    folder = written(spark, tmp_path, docs, spark.createDataFrame([], "doc_id long, quality int"))
+    corpus_pipeline.rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).coalesce(1).write.parquet(f"{folder}/out")
+    (path,) = Path(folder, "out").glob("*.parquet")
+    made = pq.ParquetFile(path).metadata
+    assert made.num_rows == 9000
+    assert max(made.row_group(k).total_byte_size for k in range(made.num_row_groups)) < 20 << 20 < sum(made.row_group(k).total_byte_size for k in range(made.num_row_groups))
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000

@@ -42,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bytes of a Parquet row group, and rows of whole texts that a reader decodes at once. Each task holds
+#: a group and a batch of its input and a group of its output on the heap, beside what Spark manages.
+ROW_GROUP_BYTES, READ_ROWS = 16 << 20, 1000
+
+
+def bound_tables(spark: SparkSession) -> None:
+    """Let this session write row groups of ROW_GROUP_BYTES and read READ_ROWS rows at once, where nothing else is set.
+
+    It counts when a plan runs, so it stays set afterwards.
+    """
+    given = spark.sparkContext._jsc.hadoopConfiguration().get("parquet.block.size")
+    if given is None and spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READ_ROWS:
+        spark.conf.set(name, str(READ_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to read a result more than once.
 
@@ -58,6 +76,7 @@ class Scratch:
         """Write ``df`` and return a reader of what was written."""
         self.n += 1
         path = f"{self.root}/{self.n}"
+        bound_tables(self.spark)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
@@ -93,11 +112,12 @@ ship.sent = set()
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``, for a Python map: the package is shipped and Arrow batches are bounded for whole texts.
+    """``df``, for a Python map: the package is shipped; Arrow batches and what the JVM holds of tables are bounded for whole texts.
 
     Lower settings stay. They count when a plan runs, so they stay set afterwards.
     """
     ship(df.sparkSession)
+    bound_tables(df.sparkSession)
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = conf.get(f"spark.sql.execution.arrow.{name}", None)
